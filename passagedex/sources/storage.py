@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+# Spark's stand-in for the size of data it knows nothing about.
+UNKNOWN_BYTES = 2**60
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -53,6 +56,13 @@ def total_bytes(spark: SparkSession, path: str) -> int:
     return system.getContentSummary(location).getLength()
 
 
+def input_bytes(df: DataFrame) -> int | None:
+    """Size of the files behind a DataFrame as the optimizer knows it, or None."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return None if any(size >= UNKNOWN_BYTES for size in sizes) else sum(sizes)
+
+
 def plain_path(spark: SparkSession, path: str) -> str:
     """Absolute path without scheme and host, as it appears inside a file URI."""
     system, location = _locate(spark, path)

@@ -15,9 +15,6 @@ from passagedex.plans.lexical import LexicalIndex, create_index, open_index, sha
 from passagedex.sources import articles as A
 from passagedex.sources import storage
 
-# Text per byte of bz2 input, for choosing a shard count before parsing.
-BZ2_EXPANSION = 5
-
 
 def ingest_folder(
     spark: SparkSession,
@@ -40,7 +37,7 @@ def ingest_folder(
         index = None
     if index is None:
         size = storage.total_bytes(spark, source)
-        index = create_index(spark, index_path, shards_for(size * BZ2_EXPANSION))
+        index = create_index(spark, index_path, shards_for(size))
 
     def take(batch: DataFrame, batch_id: int) -> None:
         number = index.claim_batch(f"stream-{batch_id}")
