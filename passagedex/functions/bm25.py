@@ -35,7 +35,7 @@ def saturated_tf(tf: Column, doc_len: Column, avgdl: float, p: Parameters) -> Co
 
 
 def to_units(score: Column) -> Column:
-    return (score * F.lit(SCORE_UNIT)).cast("bigint")
+    return F.rint(score * F.lit(SCORE_UNIT)).cast("bigint")
 
 
 def from_units(units: Column) -> Column:

@@ -23,7 +23,7 @@ class VectorIndex:
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path.rstrip("/")
-        settings = spark.read.parquet(f"{self.path}/settings").first()
+        settings = storage.load_json(spark, f"{self.path}/settings.json")
         self.dimension: int = settings["dimension"]
         self.n_vectors: int = settings["n_vectors"]
 
@@ -46,7 +46,7 @@ class VectorIndex:
         records = self.records()
         keys = [r[0] for r in fixed.select("doc_key").distinct().take(PUSHDOWN_VALUES + 1)]
         if len(keys) <= PUSHDOWN_VALUES:
-            records = F.broadcast(records.where(F.col("doc_key").isin(keys)))
+            records = records.where(F.col("doc_key").isin(keys))
         shown = formatted_passage(
             F.col("type"), F.col("title"), F.col("text"), F.struct(*RECORD_FIELDS)
         )
@@ -74,10 +74,8 @@ def save_vectors(vectors: DataFrame, records: DataFrame, path: str) -> VectorInd
     )
     if found[0] != found[1] or found[2] != found[3]:
         raise ValueError(f"vectors of different dimensions: {found[0]} to {found[1]}")
-    row = [(found[1] or 0, found[2])]
-    spark.createDataFrame(row, "dimension int, n_vectors bigint").coalesce(1).write.parquet(
-        f"{root}/settings"
-    )
+    settings = {"dimension": found[1] or 0, "n_vectors": found[2]}
+    storage.save_json(spark, f"{root}/settings.json", settings)
     return VectorIndex(spark, root)
 
 
@@ -88,5 +86,5 @@ def build_vector_index(
 
 
 def open_vector_index(spark: SparkSession, path: str) -> VectorIndex:
-    storage.require(spark, f"{path.rstrip('/')}/settings/_SUCCESS", "vector index")
+    storage.require(spark, f"{path.rstrip('/')}/settings.json", "vector index")
     return VectorIndex(spark, path)

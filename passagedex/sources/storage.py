@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -51,6 +52,25 @@ def make_folder(spark: SparkSession, path: str) -> None:
     system.mkdirs(location)
 
 
+def save_json(spark: SparkSession, path: str, values: dict) -> None:
+    """A small file of settings, in place only once it is complete."""
+    system, target = _locate(spark, path)
+    _, draft = _locate(spark, f"{path.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}.tmp")
+    stream = system.create(draft, True)
+    stream.write(bytearray(json.dumps(values).encode()))
+    stream.close()
+    system.delete(target, False)
+    system.rename(draft, target)
+
+
+def load_json(spark: SparkSession, path: str) -> dict:
+    system, location = _locate(spark, path)
+    stream = system.open(location)
+    text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    stream.close()
+    return json.loads(text)
+
+
 def total_bytes(spark: SparkSession, path: str) -> int:
     system, location = _locate(spark, path)
     return system.getContentSummary(location).getLength()

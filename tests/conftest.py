@@ -15,7 +15,7 @@ def spark(tmp_path_factory):
         "local[8]",
         "tests",
         **{
-            "spark.sql.shuffle.partitions": "4",
+            "spark.sql.shuffle.partitions": "2",
             "spark.ui.enabled": "false",
             "spark.driver.memory": "6g",
             "spark.sql.warehouse.dir": str(work / "warehouse"),
