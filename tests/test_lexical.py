@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from passagedex.functions.bm25 import Parameters
 from passagedex.plans import lexical
@@ -194,6 +195,13 @@ def test_empty_and_missing_indexes(spark, tmp_path):
     assert stats["average_document_length"] == 0
 
 
+def test_passages_given_as_words(spark, tmp_path):
+    texts = ["red fox", "blue whale", "red whale"]
+    words = passages(spark, texts).withColumn("tokens", F.split("text", " ")).drop("text")
+    index = build_index(spark, words, str(tmp_path / "ix"), n_shards=2)
+    check(index, spark, texts, ["red", "blue red"], 3)
+
+
 def test_weights_agree_with_scores(spark, built):
     index, _ = built
     weights = {(r["term"], r["doc_key"]): r["weight"] for r in index.weights().collect()}
