@@ -24,9 +24,13 @@ def ingest_folder(
     glob: str = A.LINES_GLOB,
     multi_line: bool = False,
     max_files_per_batch: int | None = None,
+    publish_each_batch: bool = False,
 ) -> LexicalIndex:
     """Index all files not seen before, then publish; run again for new files.
 
+    Publishing each batch makes it searchable at once, at the price of merging
+    the vocabulary every time.
+
     `rebuild` starts a new generation, forgetting both the index and the list
     of processed files. A shard count is fixed when a generation starts.
     """
@@ -47,6 +51,8 @@ def ingest_folder(
         A.save_articles(batch, folder, by_source_dir=False)
         good = A.usable(A.load_articles(spark, folder))
         index.write_batch(flatten_articles(good), number)
+        if publish_each_batch:
+            index.publish()
 
     stream = A.stream_articles(spark, source, glob, multi_line, max_files_per_batch)
     query = (

@@ -50,3 +50,20 @@ def test_folder_is_ingested_file_by_file_and_once(spark, tmp_path):
 def test_missing_folder(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         ingest.ingest_folder(spark, str(tmp_path / "no"), str(tmp_path / "ix"))
+
+
+def test_each_batch_can_be_published(spark, tmp_path):
+    source, path = tmp_path / "in", str(tmp_path / "ix")
+    put(source, "1.bz2", ["broken", "also broken"])
+    index = ingest.ingest_folder(spark, str(source), path)
+    assert index.document_count() == 0 and index.version == 0
+    assert index.search_one("title", 3).collect() == []
+    assert ingest.quarantine(index).count() == 2
+    for number in (1, 2, 3):
+        put(source, f"{number + 1}.bz2", [article(number)])
+    index = ingest.ingest_folder(
+        spark, str(source), path, max_files_per_batch=1, publish_each_batch=True
+    )
+    assert index.version == 3 and index.document_count() == 6
+    assert index.records(index.search_one("word2", 1)).first()["metadata"]["id"] == "2"
+    assert index.statistics().first()["average_document_length"] == 2.0
