@@ -13,7 +13,7 @@ def _doc_key(articles: DataFrame, position: Column) -> Column:
 
     A relative path has no '//' and the position is digits, so keys of two
     different passages never meet. Ordering by it orders by file, article and
-    place in the article.
+    place in the article. Articles without `row_no` must differ in path or id.
     """
     key = F.format_string("%s//%s#%06d", F.col("rel_path"), F.col("id"), position)
     if "row_no" in articles.columns:
