@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from passagedex.registry import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = ["documents", "embeddings", "pages", "benchmark"]
@@ -33,7 +34,7 @@ def ordered(columns, rows):
     return [columns[i] for i in places], sorted([plain(row[i]) for i in places] for row in rows)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_its_sql(spark, sql, name):
     df = contract.queries()[name](spark, FOLDER)
     result = sql.sql(contract.oracle_sql()[name])
