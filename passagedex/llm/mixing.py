@@ -6,10 +6,9 @@ whole mix to the sources by highest quotient, target / (2k + 1). As a larger
 house only adds seats, cutting the seats in quotient order gives every shard of
 the mix its own integer quotas. Which blocks fill a source's seats is a seeded
 rotation: the run is entered at a seeded block and followed round, so a source
-that is asked for more than it has is repeated evenly.
-
-A document belongs to the block in which it starts and is taken whole, so taken
-words differ from a quota by parts of the documents at its two ends only.
+that is asked for more than it has is repeated evenly. Seats of a source thus
+follow each other in the run, and only the documents at the two ends of what is
+taken are cut.
 """
 
 from __future__ import annotations
@@ -19,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from passagedex.llm.common import column, unused, whole, word_count
+from passagedex.llm.common import WORD, column, unused, whole, word_count
 
 # Seats of a mix; one is a ten-thousandth of the words it takes.
 HOUSE = 10_000
@@ -123,23 +122,87 @@ def apportion(targets: DataFrame, house: int = HOUSE, max_repeat: int = 2) -> Da
     return ranked.where(F.col("seat") < F.col("seats")).drop("target")
 
 
-def seated_blocks(seats: DataFrame, seed: int, shards: int) -> DataFrame:
-    """Which block fills which seat: key, block, mix_shards (the shard of each seat).
+def source_turns(seats: DataFrame, seed: int, shards: int) -> DataFrame:
+    """Per source, what its seats take: rows (key, turn), one per source with a seat.
 
-    The house is cut into `shards` equal parts in the order of the seats. A block
-    has at most `max_repeat` seats, as the rotation passes it once a round.
+    turn has block_words, n_blocks, entry (the block the run is entered at), laps
+    (how often the whole run is taken), rest (blocks of the last, partial lap)
+    and quotas: (shard, n), the seats the source has in each shard of the mix.
     """
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col("key")).cast("binary"))
-    entry = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
-    block = F.pmod(F.col("k") + entry, F.col("n_blocks"))
+    entry = F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.col("n_blocks"))
     shard = F.floor(F.col("seat") * shards / F.col("seats")).cast("int")
     return (
-        seats.select("key", block.alias("block"), shard.alias("shard"))
-        .groupBy("key", "block")
-        .agg(F.sort_array(F.collect_list("shard")).alias("mix_shards"))
+        seats.groupBy("key", "block_words", "n_blocks", shard.alias("shard"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("key", "block_words", "n_blocks")
+        .agg(
+            F.sum("n").alias("seats"),
+            F.sort_array(F.collect_list(F.struct("shard", "n"))).alias("quotas"),
+        )
+        .select(
+            "key",
+            F.struct(
+                "block_words",
+                "n_blocks",
+                entry.alias("entry"),
+                F.floor(F.col("seats") / F.col("n_blocks")).alias("laps"),
+                (F.col("seats") % F.col("n_blocks")).alias("rest"),
+                "quotas",
+            ).alias("turn"),
+        )
     )
 
 
+def _shard_of(turn: Column, lap: Column, word: Column) -> Column:
+    """Shard of the seat that takes this word of the source's run in this lap."""
+    block = F.floor(word / turn["block_words"])
+    seat = lap * turn["n_blocks"] + F.pmod(block - turn["entry"], turn["n_blocks"])
+    none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("int").alias("shard"))
+    return F.aggregate(
+        turn["quotas"],
+        none,
+        lambda acc, x: F.struct(
+            (acc["n"] + x["n"]).alias("n"),
+            F.coalesce(acc["shard"], F.when(seat < acc["n"] + x["n"], x["shard"])).alias("shard"),
+        ),
+        lambda acc: acc["shard"],
+    )
+
+
+def taken_pieces(turn: Column, source_size: Column, start: Column, size: Column) -> Column:
+    """array of struct(lap, from, to): the words taken of a document at `start` of its source."""
+    words, end = turn["block_words"], turn["entry"] + turn["rest"]
+    stretches = F.array(
+        F.struct(
+            F.lit(0).cast("long").alias("low"),
+            ((end - turn["n_blocks"]) * words).alias("high"),
+        ),
+        F.struct(
+            (turn["entry"] * words).alias("low"), F.least(end * words, source_size).alias("high")
+        ),
+    )
+    whole_laps = F.when(
+        turn["laps"] > 0,
+        F.transform(
+            F.sequence(F.lit(1).cast("long"), turn["laps"]),
+            lambda lap: F.struct(
+                (lap - 1).alias("lap"), F.lit(0).cast("long").alias("from"), size.alias("to")
+            ),
+        ),
+    ).otherwise(F.array().cast("array<struct<lap:bigint,from:bigint,to:bigint>>"))
+    partial = F.transform(
+        stretches,
+        lambda x: F.struct(
+            turn["laps"].alias("lap"),
+            F.greatest(x["low"] - start, F.lit(0)).alias("from"),
+            F.least(x["high"] - start, size).alias("to"),
+        ),
+    )
+    pieces = F.filter(F.concat(whole_laps, partial), lambda x: x["from"] < x["to"])
+    return F.coalesce(pieces, F.array().cast("array<struct<lap:bigint,from:bigint,to:bigint>>"))
+
+
 def plan_mix(
     docs: DataFrame,
     weights: Callable[[DataFrame], DataFrame] = cycling_weights,
@@ -153,12 +216,13 @@ def plan_mix(
     shards: int = 8,
     house: int = HOUSE,
 ) -> DataFrame:
-    """The table with one more column `mix`, telling how often each document is taken.
+    """The table with one more column `mix`, telling which words of each document are taken.
 
-    mix is a struct of size (words), source_size, target (of its source, in
-    words), mix_shards (the shard of each copy) and taken (copies x size).
-    `weights` adds a column `weight` to a table that has one row (key,
-    source_size) per source; see `source_key`.
+    mix is a struct of size (words), source_size and target (of its source, in
+    words), start (its place in the run of its source), turn (see
+    `source_turns`), pieces (lap, from, to: words, `to` excluded) and taken
+    (words, repeats counted). `weights` adds a column `weight` to a table that
+    has one row (key, source_size) per source; see `source_key`.
 
     Null texts have 0 words. A null source is a source of its own, ordered last.
     Rows with the same id, source and text follow each other and are taken
@@ -189,53 +253,60 @@ def plan_mix(
     )
     sources = runs.groupBy("key").agg(F.sum("run_words").alias("source_size"))
     targets = source_targets(weights(sources), percent, max_repeat)
-    seats = apportion(targets, house, max_repeat)
-    # No more rows than the house has seats.
-    blocks = F.broadcast(seated_blocks(seats, seed, shards))
-    block_words = seats.groupBy("key").agg(F.first("block_words").alias("block_words"))
+    turns = source_turns(apportion(targets, house, max_repeat), seed, shards)
 
     # Each run of a source begins where the runs before it end.
     earlier = Window.partitionBy("key").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     begins = (
         runs.withColumn("begin", F.coalesce(F.sum("run_words").over(earlier), F.lit(0)))
         .join(targets, "key")
-        .join(block_words, "key", "left")
+        .join(turns, "key", "left")
         .select(
             F.col("key").alias("begin_key"),
             F.col("run").alias("begin_run"),
-            F.struct("begin", "source_size", "target", "block_words").alias("mix"),
+            F.struct("begin", "source_size", "target", "turn").alias("mix"),
         )
     )
     placed = measured.join(
         begins, (F.col(key) == F.col("begin_key")) & (F.col(run) == F.col("begin_run"))
-    ).drop("begin_key", "begin_run")
-    within = Window.partitionBy(key, run).orderBy(order)
-    start = F.col("mix.begin") + F.sum(size).over(
-        within.rowsBetween(Window.unboundedPreceding, 0)
-    ) - F.col(size)
-    place = F.floor(start / F.col("mix.block_words"))
-    seated = placed.withColumn("mix", F.col("mix").withField("block", place)).join(
-        blocks.select(
-            F.col("key").alias("begin_key"),
-            F.col("block").alias("begin_block"),
-            F.col("mix_shards").alias("begin_shards"),
+    )
+    ahead = Window.partitionBy(key, run).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    start = F.col("mix.begin") + F.sum(size).over(ahead) - F.col(size)
+    placed = placed.withColumn("mix", F.col("mix").withField("start", start))
+    mix, n = F.col("mix"), F.col(size)
+    placed = placed.withColumn(
+        "mix",
+        F.struct(
+            n.alias("size"),
+            *(mix[c].alias(c) for c in ("source_size", "target", "start", "turn")),
+            taken_pieces(mix["turn"], mix["source_size"], mix["start"], n).alias("pieces"),
         ),
-        (F.col(key) == F.col("begin_key")) & (F.col("mix.block") == F.col("begin_block")),
-        "left",
     )
-    copies = F.coalesce(F.col("begin_shards"), F.array().cast("array<int>"))
-    mix = F.struct(
-        F.col(size).alias("size"),
-        F.col("mix.source_size"),
-        F.col("mix.target"),
-        copies.alias("mix_shards"),
-        (F.col(size) * F.size(copies)).cast("long").alias("taken"),
+    taken = F.aggregate(
+        mix["pieces"], F.lit(0).cast("long"), lambda acc, x: acc + x["to"] - x["from"]
+    )
+    return placed.select(
+        *[column(docs, c) for c in docs.columns], mix.withField("taken", taken).alias("mix")
     )
-    return seated.select(*[column(docs, c) for c in docs.columns], mix.alias("mix"))
 
 
-def mix_sources(docs: DataFrame, **settings) -> DataFrame:
-    """The mix itself: a row for every taken copy of a document, with its columns and
-    `mix_shard`, the shard of the mix it goes to. Settings as for `plan_mix`."""
-    planned = plan_mix(docs.drop("mix_shard"), **settings)
-    return planned.withColumn("mix_shard", F.explode("mix.mix_shards")).drop("mix")
+def mix_sources(docs: DataFrame, *, text: str = "text", **settings) -> DataFrame:
+    """The mix itself: a row for every taken piece of a document, with its columns and
+    `mix_shard`, the shard of the mix it goes to; the house is cut into `shards`
+    equal parts in the order of its seats, and a piece goes where its first word
+    goes. A cut document's text is the words taken with the white space that
+    follows them; other texts stay as they are. Settings as for `plan_mix`.
+    """
+    docs = docs.drop("mix_shard", "mix")
+    piece, mix = unused(docs, "piece"), F.col("mix")
+    taken = plan_mix(docs, text=text, **settings).withColumn(piece, F.explode("mix.pieces"))
+    first, stop = F.col(piece)["from"], F.col(piece)["to"]
+    words = F.regexp_extract_all(column(taken, text), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
+    part = F.array_join(F.slice(words, (first + 1).cast("int"), (stop - first).cast("int")), "")
+    uncut = (first == 0) & (stop == mix["size"])
+    shown = F.when(uncut, column(taken, text)).otherwise(part)
+    shard = _shard_of(mix["turn"], F.col(piece)["lap"], mix["start"] + first)
+    return taken.select(
+        *[(shown.alias(c) if c == text else column(taken, c)) for c in docs.columns],
+        shard.alias("mix_shard"),
+    )

@@ -107,13 +107,16 @@ WITH d AS (
 ), quotients AS (
   SELECT key, n_blocks, seats, k, row_number() OVER (ORDER BY target / (k * 2 + 1) DESC, key, k) - 1 AS seat
   FROM (SELECT *, unnest(range(0, n_blocks * 2)) AS k FROM sized)
-), copies AS (
-  SELECT key, (k + ('0x' || substr(md5('17:' || key), 1, 8))::BIGINT) % n_blocks AS block, count(*) AS copies
-  FROM quotients WHERE seat < seats GROUP BY ALL
+), turns AS (
+  SELECT key, n_blocks, ('0x' || substr(md5('17:' || key), 1, 8))::BIGINT % n_blocks AS entry,
+         count(*) // n_blocks AS laps, count(*) % n_blocks AS rest
+  FROM quotients WHERE seat < seats GROUP BY key, n_blocks
 ), placed AS (
-  SELECT *, (sum(size) OVER (PARTITION BY key ORDER BY o, rid) - size) // greatest(1, (SELECT block_words FROM house)) AS block
-  FROM d
+  SELECT *, sum(size) OVER (PARTITION BY key ORDER BY o, rid) - size AS start FROM d
 )
-SELECT doc_id, size, source_size, target, size * coalesce(copies, 0)::BIGINT AS taken
-FROM placed JOIN targets USING (key) LEFT JOIN copies USING (key, block)
+SELECT doc_id, size, source_size, target,
+       (coalesce(size * laps
+        + greatest(0, least(start + size, least((entry + rest) * block_words, source_size)) - greatest(start, entry * block_words))
+        + greatest(0, least(start + size, (entry + rest - n_blocks) * block_words) - start), 0))::BIGINT AS taken
+FROM placed JOIN targets USING (key) LEFT JOIN turns USING (key), house
 """
