@@ -5,6 +5,39 @@ from __future__ import annotations
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+BENCHMARK_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+DECONTAMINATION = rf"""
+WITH items AS (
+  SELECT coalesce(item_id::VARCHAR, '') AS item,
+         regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{BENCHMARK_WORD}') AS w
+  FROM benchmark
+), item_windows AS (
+  SELECT DISTINCT item, least(len(w), 10) AS n, list_slice(w, i, i + least(len(w), 10) - 1) AS win
+  FROM (SELECT item, w, unnest(range(1, greatest(2, len(w) - 8))) AS i FROM items WHERE len(w) > 0)
+), d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{BENCHMARK_WORD}') AS w
+  FROM documents
+), widths AS (
+  SELECT DISTINCT n FROM item_windows
+), doc_windows AS (
+  SELECT rid, n, i, list_slice(w, i, i + n - 1) AS win
+  FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, widths WHERE len(w) >= n)
+), hits AS (
+  SELECT rid, i, n, item FROM doc_windows JOIN item_windows USING (n, win)
+), words AS (
+  SELECT rid, count(DISTINCT i + k) AS n_hit FROM hits, range(10) AS o(k) WHERE k < n GROUP BY rid
+), found AS (
+  SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT rid, item FROM hits) GROUP BY rid
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+       coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (rid) LEFT JOIN found USING (rid)
+"""
+
 URL_FILTERS = rf"""
 WITH parts AS (
   SELECT page_id,

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passagedex.llm import oracles
+from passagedex.llm.classifier import fit_quality, held_out, quality_score
 from passagedex.llm.common import whole
+from passagedex.llm.decontaminate import find_benchmark
 from passagedex.llm.line_quality import measure_lines
 from passagedex.llm.mixing import plan_mix
+from passagedex.llm.sharding import shard_documents
 from passagedex.llm.token_counts import token_count
 from passagedex.llm.url_filters import judged
 
@@ -21,6 +24,8 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 MAX_TOKENS = 1024
+N_SHARDS = 8
+GOOD_SCORE = 0.7
 URL_RULES = [
     ("net", "/", "block"),
     ("example.net", "/en/", "allow"),
@@ -43,6 +48,23 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@registered(oracles.DECONTAMINATION)
+def op1_decontamination(spark, sf_dir):
+    """What every document shares with the benchmark."""
+    found = find_benchmark(
+        _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    )
+    items = F.col("leaks.items")
+    return found.select(
+        "doc_id",
+        "leaks.n_words",
+        "leaks.n_hit",
+        F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("leaks.n_hit") > 0).alias("contaminated"),
+    )
+
+
 @registered()
 def op2_token_counts(spark, sf_dir):
     """Bytes and tokens of every document."""
@@ -65,6 +87,21 @@ def op4_url_filters(spark, sf_dir):
     return pages.select("page_id", verdict.alias("v")).select("page_id", "v.*")
 
 
+@registered()
+def op5_sharding(spark, sf_dir):
+    """Every document's place in eight shards of nearly equal bytes."""
+    placed = shard_documents(_table(spark, sf_dir, "documents"), n_shards=N_SHARDS)
+    return placed.select(
+        "doc_id",
+        "place.size",
+        F.crc32(whole(F.col("text")).cast("binary")).alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        "place.shard",
+        "place.slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 @registered(oracles.MIXING)
 def op6_mixing(spark, sf_dir):
     """How often the mix takes every document."""
@@ -80,3 +117,17 @@ def op8_line_quality(spark, sf_dir):
     return measured.select(
         "doc_id", *[f"quality.{n}" for n in names], "quality.base_failed", "quality.kept"
     )
+
+
+@registered()
+def op10_quality_classifier(spark, sf_dir):
+    """Quality score of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    forest = fit_quality(docs, _table(spark, sf_dir, "labels"))
+    scored = quality_score(docs, forest)
+    return scored.select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= GOOD_SCORE).cast("int").alias("predicted"),
+    )
