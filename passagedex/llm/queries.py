@@ -16,6 +16,7 @@ from passagedex.llm.line_quality import measure_lines
 from passagedex.llm.mixing import plan_mix
 from passagedex.llm.sharding import shard_documents
 from passagedex.llm.token_counts import token_count
+from passagedex.llm.tool_calls import format_tool_calls
 from passagedex.llm.url_filters import judged
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,6 +88,70 @@ def op4_url_filters(spark, sf_dir):
     return pages.select("page_id", verdict.alias("v")).select("page_id", "v.*")
 
 
+TOOLS = [
+    (
+        name,
+        '{"type": "object", "properties": {"query": {"type": "string"}, '
+        '"limit": {"type": "integer"}}, "required": ["query", "limit"]}',
+    )
+    for name in ("search", "summarise")
+]
+
+
+def _tool_tables(spark, sf_dir):
+    """Calls and results that the conversations stand for.
+
+    A user's turn is a call, the assistant's turn after it the result. A call
+    names the call at half its turn, if there is one. Depending on the length of
+    the text a call lacks an argument, has one of a wrong type, an extra one or
+    broken JSON, or names a tool that does not exist.
+    """
+    turns = _table(spark, sf_dir, "conversations")
+    size = F.char_length("text")
+
+    def call_id(turn):
+        return F.format_string("call_%d_%d", "conv_id", turn)
+
+    plain = F.struct(F.col("text").alias("query"), size.alias("limit"))
+    arguments = (
+        F.when(size % 7 == 0, F.to_json(F.struct(F.col("text").alias("query"))))
+        .when(
+            size % 11 == 0,
+            F.to_json(F.struct(F.col("text").alias("query"), size.cast("string").alias("limit"))),
+        )
+        .when(size % 13 == 0, F.to_json(F.struct(F.lit(True).alias("deep"), plain["query"].alias("query"), plain["limit"].alias("limit"))))
+        .when(size % 17 == 0, F.concat(F.to_json(plain), F.lit("]")))
+        .otherwise(F.replace(F.to_json(plain), F.lit('"limit":'), F.lit(' "limit" : ')))
+    )
+    name = (
+        F.when(size % 19 == 0, "guess").when(size % 2 == 0, "search").otherwise("summarise")
+    )
+    half = F.floor(F.col("turn") / 4) * 2
+    none = F.array().cast("array<string>")
+    calls = turns.where("role = 'user'").select(
+        "conv_id",
+        "turn",
+        call_id(F.col("turn")).alias("call_id"),
+        name.alias("name"),
+        arguments.alias("arguments"),
+        F.when(F.col("turn") > 0, F.array(call_id(half))).otherwise(none).alias("after"),
+    )
+    results = turns.where("role = 'assistant'").select(
+        "conv_id",
+        "turn",
+        call_id(F.col("turn") - 1).alias("call_id"),
+        F.col("text").alias("content"),
+    )
+    return calls, results, spark.createDataFrame(TOOLS, "name string, parameters string")
+
+
+@registered(oracles.TOOL_CALLS)
+def op3_tool_calls(spark, sf_dir):
+    """Tool calls of all conversations, linked, ordered, validated and serialised."""
+    formatted = format_tool_calls(*_tool_tables(spark, sf_dir))
+    return formatted.withColumn("errors", F.array_join("errors", ","))
+
+
 @registered()
 def op5_sharding(spark, sf_dir):
     """Every document's place in eight shards of nearly equal bytes."""
