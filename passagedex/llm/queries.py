@@ -14,6 +14,7 @@ from passagedex.llm.common import whole
 from passagedex.llm.decontaminate import find_benchmark
 from passagedex.llm.line_quality import measure_lines
 from passagedex.llm.mixing import plan_mix
+from passagedex.llm.near_dedup import find_near_duplicates
 from passagedex.llm.sharding import shard_documents
 from passagedex.llm.token_counts import token_count
 from passagedex.llm.tool_calls import format_tool_calls
@@ -196,3 +197,9 @@ def op10_quality_classifier(spark, sf_dir):
         "score",
         (F.col("score") >= GOOD_SCORE).cast("int").alias("predicted"),
     )
+
+
+@registered()
+def op7_near_dedup(spark, sf_dir):
+    """Near-duplicate component of every document."""
+    return find_near_duplicates(_table(spark, sf_dir, "documents"))
