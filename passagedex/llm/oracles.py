@@ -194,3 +194,27 @@ SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id)
        || ',"name":' || coalesce('"' || name || '"', 'null') || '}' AS message
 FROM checked c FULL JOIN results r ON c.conv_id = r.conv_id AND c.call_id = r.call_id
 """
+
+SUBSTRING_DEDUP = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(coalesce(text, ''), '{WORD}') AS w
+  FROM documents
+), windows AS (
+  SELECT rid, i, md5(array_to_string(list_slice(w, i, i + 34), ' ')) AS win
+  FROM (SELECT rid, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)
+), repeated AS (
+  SELECT rid, i FROM windows JOIN (SELECT win FROM windows GROUP BY win HAVING count(*) > 1) USING (win)
+), gone AS (
+  SELECT DISTINCT rid, i + k AS i FROM repeated, range(35) AS o(k)
+), lost AS (
+  SELECT rid, list(i) AS gone FROM gone GROUP BY rid
+), kept AS (
+  SELECT rid, string_agg(word, ' ' ORDER BY i) AS words
+  FROM (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d JOIN lost USING (rid)) ANTI JOIN gone USING (rid, i)
+  GROUP BY rid
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+       sha256(CASE WHEN gone IS NULL THEN array_to_string(w, ' ') ELSE coalesce(words, '') END) AS kept_sha256
+FROM d LEFT JOIN lost USING (rid) LEFT JOIN kept USING (rid)
+"""

@@ -16,6 +16,7 @@ from passagedex.llm.line_quality import measure_lines
 from passagedex.llm.mixing import plan_mix
 from passagedex.llm.near_dedup import find_near_duplicates
 from passagedex.llm.sharding import shard_documents
+from passagedex.llm.substring_dedup import find_repeats
 from passagedex.llm.token_counts import token_count
 from passagedex.llm.tool_calls import format_tool_calls
 from passagedex.llm.url_filters import judged
@@ -175,6 +176,12 @@ def op6_mixing(spark, sf_dir):
     return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
 
 
+@registered()
+def op7_near_dedup(spark, sf_dir):
+    """Near-duplicate component of every document."""
+    return find_near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 @registered(oracles.LINE_QUALITY)
 def op8_line_quality(spark, sf_dir):
     """Measures and verdict of every document."""
@@ -185,6 +192,15 @@ def op8_line_quality(spark, sf_dir):
     )
 
 
+@registered(oracles.SUBSTRING_DEDUP)
+def op9_substring_dedup(spark, sf_dir):
+    """What every document keeps once repeated passages are cut."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return find_repeats(docs).select(
+        "doc_id", "repeats.n_words", "repeats.n_removed", "repeats.kept_sha256"
+    )
+
+
 @registered()
 def op10_quality_classifier(spark, sf_dir):
     """Quality score of every document."""
@@ -197,9 +213,3 @@ def op10_quality_classifier(spark, sf_dir):
         "score",
         (F.col("score") >= GOOD_SCORE).cast("int").alias("predicted"),
     )
-
-
-@registered()
-def op7_near_dedup(spark, sf_dir):
-    """Near-duplicate component of every document."""
-    return find_near_duplicates(_table(spark, sf_dir, "documents"))
