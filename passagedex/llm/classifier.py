@@ -1,9 +1,9 @@
 """Quality classifier: histogram gradient-boosted trees over document statistics.
 
-The statistics are DataFrame expressions. Trees are grown on the driver from a
-bounded sample of labelled rows, over histograms of at most 64 bins a feature,
-and flattened into arrays; executors walk all rows of a batch down all trees
-with numpy.
+Trees are grown on the driver from the statistics of a bounded sample of labelled
+rows, over histograms of at most 64 bins a feature, and flattened into arrays;
+executors measure their texts and walk all rows of a batch down all trees with
+numpy.
 """
 
 from __future__ import annotations
@@ -16,45 +16,60 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from passagedex.llm.common import BLANKS, column, unused, whole, word_list
+from passagedex.llm.common import column
 
 # Labelled rows a model is fitted on, at most: those with the smallest hashes.
 MAX_LABELLED = 20_000
 
 
-def _count(text: Column, characters: str) -> Column:
-    return F.char_length(text) - F.char_length(F.translate(text, characters, ""))
-
-
-def _share(part: Column, of: Column) -> Column:
-    """A ratio of counts that is 0 where there is nothing to count."""
-    return F.when(of > 0, part / of).otherwise(F.lit(0.0)).cast("double")
-
-
-def document_statistics(text: Column) -> dict[str, Column]:
-    """Statistics of a whole text, each a double; of null as of the empty text."""
-    t = whole(text)
-    words = word_list(text)
-    n = F.size(words)
-    lines = F.split(t, "\n")
-    letters = F.char_length(F.translate(t, BLANKS, ""))
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÄÇÈÉÊËÌÍÎÏÑÒÓÔÖÙÚÛÜ"
-    return {
-        "log_words": F.log1p(n.cast("double")),
-        "word_length": _share(letters, n),
-        "distinct_words": _share(F.size(F.array_distinct(words)), n),
-        "symbols": _share(_count(t, "#*$%&<>~^_={}[]\\@"), letters),
-        "bars": _share(_count(t, "|"), n),
-        "shouts": _share(_count(t, "!?"), n),
-        "stops": _share(_count(t, ".:;…"), n),
-        "commas": _share(_count(t, ","), n),
-        "digits": _share(_count(t, "0123456789"), letters),
-        "upper": _share(_count(t, upper), letters),
-        "beyond_ascii": _share(F.octet_length(t) - F.char_length(t), letters),
-        "line_words": _share(n, F.size(lines)),
-        "distinct_lines": _share(F.size(F.array_distinct(lines)), F.size(lines)),
-        "rare_letters": _share(F.char_length(F.translate(t, "etaoinETAOIN", "")), letters),
-    }
+TO_SPACE = bytes(0x20 if b == 0x20 or 0x09 <= b <= 0x0D else b for b in range(256))
+UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+# Shares of the bytes of words: name and the bytes that count.
+BYTE_SHARES = {
+    "symbols": b"#*$%&<>~^_={}[]\\@",
+    "upper": UPPER,
+    "digits": b"0123456789",
+    "bars": b"|",
+    "shouts": b"!?",
+    "stops": b".:;",
+    "commas": b",",
+    "frequent_letters": b"etaoin",
+    "beyond_ascii": bytes(range(128, 256)),
+}
+STATISTICS = (
+    "log_words",
+    "word_bytes",
+    "distinct_words",
+    "line_words",
+    "distinct_lines",
+    *BYTE_SHARES,
+)
+COUNTED = np.array([[b in marks for b in range(256)] for marks in BYTE_SHARES.values()], dtype=float)
+
+
+def document_statistics(text: str | None) -> np.ndarray:
+    """Statistics of a whole text in the order of STATISTICS; of null as of the empty text.
+
+    Shares of nothing are 0.
+    """
+    raw = (text or "").encode().translate(TO_SPACE)
+    words, lines = raw.split(), (text or "").split("\n")
+    counts = np.bincount(np.frombuffer(raw, dtype=np.uint8), minlength=256)
+    size, n = len(raw) - counts[0x20], len(words)
+    general = (
+        np.log1p(n),
+        size / max(n, 1),
+        len(set(words)) / max(n, 1),
+        n / len(lines),
+        len(set(lines)) / len(lines),
+    )
+    return np.concatenate((general, COUNTED @ counts / max(size, 1)))
+
+
+def _table(texts: pd.Series) -> np.ndarray:
+    rows = [document_statistics(t) for t in texts]
+    return np.stack(rows) if rows else np.empty((0, len(STATISTICS)))
 
 
 @dataclass(frozen=True)
@@ -205,7 +220,8 @@ def fit_quality(
     """A forest from labelled documents outside the held-out quarter.
 
     Of more than `max_rows` labelled ids those with the smallest hashes are used;
-    only their statistics come to the driver. Null labels and ids are left out.
+    only their statistics come to the driver, of at most as many documents as have
+    one of these ids. Null labels and ids are left out.
     """
     chosen = (
         labels.select(column(labels, doc_id).alias("id"), column(labels, label).alias("label"))
@@ -214,15 +230,19 @@ def fit_quality(
         .orderBy(F.xxhash64("id"), "id", "label")
         .limit(max_rows)
     )
-    stats = document_statistics(F.col("text"))
+
+    @F.pandas_udf("array<double>")
+    def measured(texts: pd.Series) -> pd.Series:
+        return pd.Series(list(_table(texts)))
+
     joined = docs.select(column(docs, doc_id).alias("id"), column(docs, text).alias("text")).join(
         F.broadcast(chosen), "id"
     )
-    table = joined.select("id", "label", *[c.alias(k) for k, c in stats.items()]).toPandas()
-    table = table.sort_values(["id", *stats, "label"], kind="stable").head(max_rows)
-    return grow_forest(
-        table[list(stats)].to_numpy(dtype=np.float64), table["label"].to_numpy(dtype=np.float64)
-    )
+    rows = joined.select("id", "label", measured("text").alias("statistics")).collect()
+    # Ids may repeat; what is used does not depend on the order of arrival.
+    rows = sorted((r.id, list(r.statistics), r.label) for r in rows)[:max_rows]
+    table = np.array([statistics for _, statistics, _ in rows]).reshape(-1, len(STATISTICS))
+    return grow_forest(table, np.array([label for *_, label in rows], dtype=np.float64))
 
 
 def quality_score(docs: DataFrame, forest: Forest, text: str = "text") -> DataFrame:
@@ -231,16 +251,11 @@ def quality_score(docs: DataFrame, forest: Forest, text: str = "text") -> DataFr
     An input column `score` is replaced. Repeated rows score alike.
     """
     docs = docs.drop("score")
-    stats = document_statistics(column(docs, text))
-    names = {k: unused(docs, f"stat_{k}") for k in stats}
     shared = docs.sparkSession.sparkContext.broadcast(forest)
 
     @F.pandas_udf("double")
-    def scored(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for columns in batches:
-            rows = np.column_stack([c.to_numpy(dtype=np.float64) for c in columns])
-            yield pd.Series(shared.value.score(rows))
-
-    measured = docs.select("*", *[c.alias(names[k]) for k, c in stats.items()])
-    score = scored(*[F.col(n) for n in names.values()])
-    return measured.withColumn("score", score).drop(*names.values())
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(shared.value.score(_table(texts)))
+
+    return docs.withColumn("score", scored(column(docs, text)))

@@ -101,7 +101,8 @@ def measure_lines(docs: DataFrame, text: str = "text", rules: LineRules | None =
 
     n_words, word_chars, n_symbols, n_dup_lines (lines with a word equal to an
     earlier one), n_repeat_words (words in windows found twice in the document),
-    base_failed, n_lines, n_failed_lines, clean_text, clean_chars, kept.
+    base_failed, n_lines, n_failed_lines, clean_text, clean_chars, kept; and
+    partition, the number of the partition that was measured.
 
     A null text counts as empty: no words, base_failed, not kept. Repeated rows
     are judged one by one. A column `quality` of the input is replaced. Windows
@@ -147,6 +148,9 @@ def measure_lines(docs: DataFrame, text: str = "text", rules: LineRules | None =
             F.size(ln).cast("long").alias("n_lines"),
             F.size(bad).cast("long").alias("n_failed_lines"),
             clean.alias("clean_text"),
+            # Not deterministic, so that conditions on the measures stay above
+            # them. Below, each would be worked out again wherever it is used.
+            F.spark_partition_id().alias("partition"),
         ).alias("quality"),
     )
     q = F.col("quality")
