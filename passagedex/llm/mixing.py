@@ -297,16 +297,21 @@ def mix_sources(docs: DataFrame, *, text: str = "text", **settings) -> DataFrame
     goes. A cut document's text is the words taken with the white space that
     follows them; other texts stay as they are. Settings as for `plan_mix`.
     """
-    docs = docs.drop("mix_shard", "mix")
+    docs, own = docs.drop("mix_shard"), unused(docs, "mix")
+    names = [own if c == "mix" else c for c in docs.columns]
     piece, mix = unused(docs, "piece"), F.col("mix")
-    taken = plan_mix(docs, text=text, **settings).withColumn(piece, F.explode("mix.pieces"))
+    taken = plan_mix(docs.withColumnRenamed("mix", own), text=text, **settings).withColumn(piece, F.explode("mix.pieces"))
     first, stop = F.col(piece)["from"], F.col(piece)["to"]
     words = F.regexp_extract_all(column(taken, text), F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
     part = F.array_join(F.slice(words, (first + 1).cast("int"), (stop - first).cast("int")), "")
     uncut = (first == 0) & (stop == mix["size"])
     shown = F.when(uncut, column(taken, text)).otherwise(part)
     shard = _shard_of(mix["turn"], F.col(piece)["lap"], mix["start"] + first)
-    return taken.select(
-        *[(shown.alias(c) if c == text else column(taken, c)) for c in docs.columns],
+    pieces = taken.select(
+        *[
+            (shown if c == text else column(taken, n)).alias(n)
+            for c, n in zip(docs.columns, names, strict=True)
+        ],
         shard.alias("mix_shard"),
     )
+    return pieces.withColumnRenamed(own, "mix") if own in names else pieces
