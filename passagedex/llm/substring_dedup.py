@@ -49,7 +49,7 @@ SHARD_EXTENTS = 1_000
 def written(df: DataFrame, label: str) -> DataFrame:
     """The rows as a table in the shared folder: read again, never computed again."""
     path = fresh_folder(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
