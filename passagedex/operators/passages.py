@@ -47,7 +47,9 @@ def flatten_articles(articles: DataFrame) -> DataFrame:
     both kinds of row needs neither a second scan nor a shuffle.
     """
     carried = [c for c in ("rel_path", "id", "row_no") if c in articles.columns]
-    parts = F.concat(F.array(F.array("title")), F.col("text"))
+    # An article without text still has its title.
+    none = F.array().cast("array<array<string>>")
+    parts = F.concat(F.array(F.array("title")), F.coalesce(F.col("text"), none))
     exploded = articles.select(
         *carried,
         F.lower("title").alias("lower_title"),

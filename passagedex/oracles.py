@@ -65,14 +65,14 @@ corpus AS (
   SELECT count(*) AS n, CAST(sum(doc_len) AS BIGINT) AS total_len, avg(doc_len) AS avgdl
   FROM lengths
 ),
-raw AS (
-  SELECT term, df, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS raw
+term_odds AS (
+  SELECT term, df, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS odds
   FROM (SELECT term, count(*) AS df FROM postings GROUP BY term), corpus
 ),
+mean_odds AS (SELECT avg(odds) AS mean FROM term_odds),
 idf AS (
-  SELECT term, df,
-         CASE WHEN raw >= 0 THEN raw ELSE 0.25::DOUBLE * (SELECT avg(raw) FROM raw) END AS idf
-  FROM raw
+  SELECT term, df, CASE WHEN odds >= 0 THEN odds ELSE 0.25::DOUBLE * mean END AS idf
+  FROM term_odds, mean_odds
 ),
 weights AS (
   SELECT term, doc_key,
@@ -169,7 +169,7 @@ ORACLES: dict[str, str] = {
     "corpus_stats": f"""WITH {STATS}
         SELECT n AS n_docs, total_len, round(avgdl, 6) AS avgdl FROM corpus""",
     "term_frequencies": f"WITH {STATS} SELECT term, doc_key, tf, doc_len FROM postings",
-    "document_frequencies": f"WITH {STATS} SELECT term, df FROM raw",
+    "document_frequencies": f"WITH {STATS} SELECT term, df FROM term_odds",
     "bm25_idf": _IDF,
     "bm25_weights": f"WITH {STATS} SELECT term, doc_key, round(weight, 6) AS weight FROM weights",
     "index_statistics": f"""WITH {STATS}

@@ -39,7 +39,9 @@ class VectorIndex:
 
     def retrieve(self, queries: DataFrame, encoder: Callable[[], Encoder], k: int = 5) -> DataFrame:
         """Nearest passages for (query_id, text) rows, as display text."""
-        return self.formatted(self.search(embed(queries, "query_id", "text", encoder), k))
+        # Written once: the search reads the queries more than once.
+        encoded = cut_lineage(embed(queries, "query_id", "text", encoder))
+        return self.formatted(self.search(encoded, k))
 
     def formatted(self, hits: DataFrame) -> DataFrame:
         fixed = cut_lineage(hits)

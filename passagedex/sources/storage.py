@@ -6,6 +6,7 @@ import json
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 # Spark's stand-in for the size of data it knows nothing about.
@@ -13,10 +14,17 @@ UNKNOWN_BYTES = 2**60
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder the cluster names for intermediate data; a scratch folder if none."""
+    """The folder the cluster names for intermediate data.
+
+    Without one, a scratch folder in local mode, as in tests, and an error on a
+    cluster, where executors would each write to their own disk.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
     return tempfile.mkdtemp(prefix="passagedex-")
 
 
@@ -63,6 +71,21 @@ def save_json(spark: SparkSession, path: str, values: dict) -> None:
     system.rename(draft, target)
 
 
+def create_json(spark: SparkSession, path: str, values: dict) -> bool:
+    """Create a small file unless there is one; False if another writer was first."""
+    system, target = _locate(spark, path)
+    system.mkdirs(target.getParent())
+    try:
+        stream = system.create(target, False)
+    except Py4JJavaError as error:
+        if exists(spark, path):
+            return False
+        raise error
+    stream.write(bytearray(json.dumps(values).encode()))
+    stream.close()
+    return True
+
+
 def load_json(spark: SparkSession, path: str) -> dict:
     system, location = _locate(spark, path)
     stream = system.open(location)

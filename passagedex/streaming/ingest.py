@@ -23,12 +23,13 @@ def ingest_folder(
     mode: str = "append",
     glob: str = A.LINES_GLOB,
     multi_line: bool = False,
-    max_files_per_batch: int | None = None,
+    max_files_per_batch: int | None = 1000,
     publish_each_batch: bool = False,
 ) -> LexicalIndex:
     """Index all files not seen before, then publish; run again for new files.
 
-    Publishing each batch makes it searchable at once, at the price of merging
+    A batch takes 1,000 files at most unless told otherwise, so a failure costs
+    no more than one batch. Publishing each batch makes it searchable at once, at the price of merging
     the vocabulary every time.
 
     `rebuild` starts a new generation, forgetting both the index and the list

@@ -217,3 +217,17 @@ def test_scores_are_summed_without_a_shuffle(spark, built):
     assert "Bucketed: true" in plan
     search = built[0].search(asked(spark, ["w1"]))._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in search
+
+
+def test_writers_never_share_a_batch_number(spark, tmp_path):
+    path = str(tmp_path / "index")
+    first = create_index(spark, path, 2)
+    second = open_index(spark, path)
+    listed = second._numbered
+    stale = listed("claims")
+    numbers = [first.claim_batch("one")]
+    # The second writer looked before the first one claimed.
+    second._numbered = lambda folder: stale if folder == "claims" else listed(folder)
+    numbers.append(second.claim_batch("two"))
+    assert numbers == [0, 1]
+    assert [first.claim_batch("one"), second.claim_batch("two")] == numbers
