@@ -16,8 +16,9 @@ words have to be compared, and documents meet only the shards that can match:
    extents are streamed through it for matching statistics, and every window
    whose state occurs twice repeats. Extents of one anchor stay in one shard.
 4. Anchors with more distinct extents than a shard holds, as at the edge of a
-   passage that a large part of the corpus quotes, have their windows counted by
-   128-bit hashes instead, so no task ever holds an anchor's extents.
+   passage that a large part of the corpus quotes, have parts of extents and at
+   the edges single windows counted by 128-bit hashes instead, so no task ever
+   holds an anchor's extents.
 
 Words are told apart by 64-bit hashes up to step 2.
 """
@@ -44,6 +45,8 @@ SPAN = WINDOW - ANCHOR + 1
 # an anchor may have to be in one: some 100 MB of states.
 SHARD_WORDS = 20_000
 SHARD_EXTENTS = 1_000
+# Windows of larger anchors that are first taken together; divides SPAN.
+PART = 7
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -250,38 +253,96 @@ def match_in_shards(extents: DataFrame) -> DataFrame:
     return dealt.select("anchor", "content", "words", "times").mapInArrow(matched, MASKS)
 
 
+def _parts(words: list[bytes]) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(first window, windows, core) of the parts of an extent.
+
+    Windows are told apart by how many words stand before their anchor; a part
+    has PART consecutive numbers of them. The core is what all windows of the
+    part have in common, so equal windows have equal cores.
+    """
+    runs = run_hashes(word_hashes(b" ".join(words)), ANCHOR)
+    anchor = int(runs[:SPAN].argmin())
+    place, n = 0, len(words) - WINDOW + 1
+    while place < n:
+        part = (anchor - place) // PART
+        stop = min(n, anchor - part * PART + 1)
+        start = anchor - part * PART
+        yield place, stop - place, words[start : start + WINDOW - PART + 1]
+        place = stop
+
+
+def _digest(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
 def match_by_windows(extents: DataFrame) -> DataFrame:
-    """The same for anchors with more extents than a shard holds."""
+    """The same for anchors with more extents than a shard holds.
+
+    Windows are first taken in parts. A part whose core is nowhere else cannot
+    repeat, and parts that are equal wherever their core is repeat as a whole;
+    only the windows of the other parts, at the edges of passages, are counted.
+    """
+
+    def divided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for row in batch.to_pylist():
+                words = row["words"].split(b" ")
+                same = (row["anchor"], row["content"], row["times"])
+                for place, n, core in _parts(words):
+                    own = words[place : place + n + WINDOW - 1]
+                    rows.append((*same, place, n, _digest(core), _digest(own), b" ".join(own)))
+            yield _batch(PART_COLUMNS, rows)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = {k: [] for k in ("anchor", "content", "times", "place", "window")}
+            rows = []
             for row in batch.to_pylist():
                 words = row["words"].split(b" ")
-                for i in range(len(words) - WINDOW + 1):
-                    window = hashlib.blake2b(b" ".join(words[i : i + WINDOW]), digest_size=16)
-                    rows["anchor"].append(row["anchor"])
-                    rows["content"].append(row["content"])
-                    rows["times"].append(row["times"])
-                    rows["place"].append(i)
-                    rows["window"].append(window.digest())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(rows[k], pa.binary() if k == "window" else pa.int64())
-                    for k in rows
-                ],
-                names=list(rows),
-            )
+                same = (row["anchor"], row["content"], row["times"])
+                for i in range(row["n"]):
+                    rows.append((*same, row["place"] + i, _digest(words[i : i + WINDOW])))
+            yield _batch(WINDOW_COLUMNS, rows)
 
-    schema = "anchor bigint, content bigint, times bigint, place bigint, window binary"
-    windows = extents.select("anchor", "content", "words", "times").mapInArrow(cut, schema)
-    twice = windows.groupBy("window").agg(F.sum("times").alias("n")).where("n > 1").select("window")
-    bit = F.expr("shiftleft(1L, int(place))")
-    return (
-        windows.join(twice, "window")
-        .groupBy("anchor", "content")
-        .agg(F.bit_or(bit).alias("mask"))
+    parts = extents.select("anchor", "content", "words", "times").mapInArrow(
+        divided, _ddl(PART_COLUMNS)
+    )
+    cores = parts.groupBy(F.col("core").alias("k")).agg(
+        F.sum("times").alias("all_times"), F.min("own").alias("low"), F.max("own").alias("high")
+    )
+    repeated = parts.join(cores.where("all_times > 1"), F.col("core") == F.col("k"))
+    equal = repeated.where("low = high").select(
+        "anchor",
+        "content",
+        F.expr("shiftleft(shiftleft(1L, int(n)) - 1, int(place))").alias("bits"),
+    )
+    edges = repeated.where("low != high").select(
+        "anchor", "content", "times", "place", "n", "words"
     )
+    windows = edges.mapInArrow(cut, _ddl(WINDOW_COLUMNS))
+    twice = windows.groupBy(F.col("window").alias("k")).agg(F.sum("times").alias("all_times"))
+    single = windows.join(twice.where("all_times > 1"), F.col("window") == F.col("k")).select(
+        "anchor", "content", F.expr("shiftleft(1L, int(place))").alias("bits")
+    )
+    found = equal.unionByName(single).groupBy("anchor", "content")
+    return found.agg(F.bit_or("bits").alias("mask"))
+
+
+PART_COLUMNS = {k: pa.int64() for k in ("anchor", "content", "times", "place", "n")} | {
+    k: pa.binary() for k in ("core", "own", "words")
+}
+WINDOW_COLUMNS = {k: pa.int64() for k in ("anchor", "content", "times", "place")} | {
+    "window": pa.binary()
+}
+
+
+def _ddl(columns: dict) -> str:
+    return ", ".join(f"{k} {'bigint' if t == pa.int64() else 'binary'}" for k, t in columns.items())
+
+
+def _batch(columns: dict, rows: list[tuple]) -> pa.RecordBatch:
+    arrays = [pa.array([r[i] for r in rows], t) for i, t in enumerate(columns.values())]
+    return pa.RecordBatch.from_arrays(arrays, names=list(columns))
 
 
 def _repeated_windows(marked: DataFrame) -> DataFrame:
