@@ -44,12 +44,24 @@ def _kind(value: Column) -> Column:
     )
 
 
+def parsed_json(text: Column) -> Column:
+    """A JSON text as a variant; null if it is anything but one JSON value.
+
+    The parser stops after the first value, so the text is also read as the one
+    element of an array and as the one field of an object: whatever follows the
+    value breaks at least one of the two.
+    """
+    element = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    field = F.try_parse_json(F.concat(F.lit('{"value":'), text, F.lit("}")))
+    return F.when(element.isNotNull() & field.isNotNull(), F.try_parse_json(text))
+
+
 def canonical_json(text: Column) -> Column:
     """JSON text with sorted keys and without white space; null if it cannot be parsed.
 
     Repeated keys count as an error of parsing.
     """
-    return F.to_json(F.try_parse_json(text))
+    return F.to_json(parsed_json(text))
 
 
 def _first_of(table: DataFrame) -> DataFrame:
@@ -164,7 +176,7 @@ def argument_errors(calls: DataFrame, tools: DataFrame) -> DataFrame:
     specs = tools.groupBy("name").agg(F.min("parameters").alias("parameters")).select(
         F.col("name").alias("tool"), F.from_json("parameters", schema).alias("spec")
     )
-    parsed = calls.withColumn("value", F.try_parse_json("arguments")).withColumn(
+    parsed = calls.withColumn("value", parsed_json(F.col("arguments"))).withColumn(
         "value", F.when(_kind(F.col("value")) == "object", F.col("value"))
     )
     joined = parsed.join(specs, F.col("name") == F.col("tool"), "left")
@@ -236,7 +248,7 @@ def format_tool_calls(calls: DataFrame, results: DataFrame, tools: DataFrame) ->
     is_call = F.col("state") != "no_call"
     content = F.when(F.col("state") != "no_result", F.col("content"))
     message = F.struct(
-        F.when(is_call, F.try_parse_json("arguments")).alias("arguments"),
+        F.when(is_call, parsed_json(F.col("arguments"))).alias("arguments"),
         content.alias("content"),
         F.col("call_id").alias("id"),
         "level",

@@ -199,6 +199,14 @@ def test_calls_are_linked_ordered_and_validated(spark):
     assert nothing.count() == 0
 
 
+def test_only_one_json_value_counts(spark):
+    good = ['{"b":1, "a":[]}', " 1 ", "null", '"x"', "[1,2]"]
+    bad = ['{"a":1}]', "1}", "1,2", '1,"w":2', "", " ", "{} {}", '{"a":1,"a":2}', None]
+    df = spark.createDataFrame([(t,) for t in good + bad], "t string")
+    got = [r[0] for r in df.select(tool_calls.canonical_json(F.col("t"))).collect()]
+    assert got == ['{"a":[],"b":1}', "1", "null", '"x"', "[1,2]"] + [None] * len(bad)
+
+
 # ---------------------------------------------------------------- 4
 
 
