@@ -114,14 +114,12 @@ def _tool_tables(spark, sf_dir):
     def call_id(turn):
         return F.format_string("call_%d_%d", "conv_id", turn)
 
-    plain = F.struct(F.col("text").alias("query"), size.alias("limit"))
+    query, limit = F.col("text").alias("query"), size.alias("limit")
+    plain = F.struct(query, limit)
     arguments = (
-        F.when(size % 7 == 0, F.to_json(F.struct(F.col("text").alias("query"))))
-        .when(
-            size % 11 == 0,
-            F.to_json(F.struct(F.col("text").alias("query"), size.cast("string").alias("limit"))),
-        )
-        .when(size % 13 == 0, F.to_json(F.struct(F.lit(True).alias("deep"), plain["query"].alias("query"), plain["limit"].alias("limit"))))
+        F.when(size % 7 == 0, F.to_json(F.struct(query)))
+        .when(size % 11 == 0, F.to_json(F.struct(query, size.cast("string").alias("limit"))))
+        .when(size % 13 == 0, F.to_json(F.struct(F.lit(True).alias("deep"), query, limit)))
         .when(size % 17 == 0, F.concat(F.to_json(plain), F.lit("]")))
         .otherwise(F.replace(F.to_json(plain), F.lit('"limit":'), F.lit(' "limit" : ')))
     )

@@ -478,7 +478,6 @@ def test_classifier_learns_and_never_sees_held_out_rows(spark, empty):
         words = [f"word{chance.randint(0, 80)}" for _ in range(chance.randint(5, 60))]
         text = " ".join(words) + "." if good else " | ".join(words)
         table.append((i, text))
-        held = classifier.held_out(F.lit(i))
         labels.append((i, int(good)))
     table += [(None, None), (500, ""), (501, "x" * 300_000), table[3]]
     docs = spark.createDataFrame(table, "doc_id long, text string").withColumn("label", F.lit(9))
@@ -499,7 +498,6 @@ def test_classifier_learns_and_never_sees_held_out_rows(spark, empty):
     nothing = classifier.fit_quality(docs, marks.limit(0))
     assert {r.score for r in classifier.quality_score(docs, nothing).collect()} == {0.5}
     assert classifier.quality_score(empty, forest).count() == 0
-    del held
 
 
 # ---------------------------------------------------------------- contract
