@@ -37,7 +37,7 @@ SKETCH_BITS = 1024
 # deviations under 0.75, so a link is lost to it once in a billion times.
 LEAST_ESTIMATE = 0.58
 # Members of each side that one block compares.
-BLOCK = 1024
+BLOCK = 2048
 
 _random = np.random.default_rng(40_961)
 SCALE = _random.integers(0, 1 << 32, SAMPLES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
