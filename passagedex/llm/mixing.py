@@ -9,6 +9,10 @@ rotation: the run is entered at a seeded block and followed round, so a source
 that is asked for more than it has is repeated evenly. Seats of a source thus
 follow each other in the run, and only the documents at the two ends of what is
 taken are cut.
+
+A source whose target is under LEAST_SEATS blocks is no part of the house, as
+half a block would be too coarse for it: its seats are single words, as many as
+its target, and they are spread evenly over the mix from a seeded point on.
 """
 
 from __future__ import annotations
@@ -22,6 +26,8 @@ from passagedex.llm.common import WORD, column, unused, whole, word_count
 
 # Seats of a mix; one is a ten-thousandth of the words it takes.
 HOUSE = 10_000
+# Sources with a smaller target, in blocks of the house, get their words one by one.
+LEAST_SEATS = 100
 # Hexadecimal digits of the order that split a source into runs which are summed
 # up and sorted independently: 4,096 of them.
 RUN_DIGITS = 3
@@ -82,23 +88,46 @@ def source_targets(sizes: DataFrame, percent: int = 150, max_repeat: int = 2) ->
     return leveled.select("key", "source_size", target.alias("target"))
 
 
-def apportion(targets: DataFrame, house: int = HOUSE, max_repeat: int = 2) -> DataFrame:
-    """Seats of a house by highest quotient: rows (key, k, seat), seat counted from 0.
+def block_sizes(targets: DataFrame, house: int = HOUSE, max_repeat: int = 2) -> DataFrame:
+    """The targets with block_words, the words of a seat, and own_words.
 
-    Input: key, source_size, target. Every row also has block_words, the words of
-    a seat, n_blocks, the blocks of its source, and seats, the size of the house.
-    No source gets more than `max_repeat` seats for each block it has. Ties of
-    quotients go to the earlier source. The one task that ranks the candidates
-    has at most house + 3 x sources of them.
+    own_words is what a source outside the house takes, and null for the others.
+    It is the step that the running sum of such targets makes when rounded, so it
+    is within a word of the target however small that is, and all of them
+    together are within a word of theirs.
+    """
+    block = F.ceil(F.sum("target").over(Window.partitionBy()) / house)
+    sized = targets.withColumn("block_words", F.greatest(F.lit(1), block).cast("long"))
+    # Where a block is a word, the house is as fine as can be.
+    coarse = (F.col("block_words") > 1) & (F.col("target") < F.col("block_words") * LEAST_SEATS)
+    small = F.when(coarse & (F.col("target") > 0), F.col("target"))
+    upto = F.sum(F.coalesce(small, F.lit(0.0))).over(
+        Window.orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
+    )
+    sized = sized.withColumn("small", small).withColumn("upto", upto)
+    before = F.coalesce(F.lag("upto").over(Window.orderBy("key")), F.lit(0.0))
+    step = (F.round("upto") - F.round(before)).cast("long")
+    own = F.when(F.col("small").isNotNull(), F.least(step, F.col("source_size") * max_repeat))
+    return sized.withColumn("own_words", own).drop("small", "upto")
+
+
+def apportion(targets: DataFrame, max_repeat: int = 2) -> DataFrame:
+    """Seats of the house by highest quotient: rows (key, k, seat), seat counted from 0.
+
+    Input: see `block_sizes`; sources with own_words have no seats here. Every row
+    also has block_words, n_blocks, the blocks of its source, and seats, the size
+    of the house. No source gets more than `max_repeat` seats for each block it
+    has. Ties of quotients go to the earlier source. The one task that ranks the
+    candidates has at most house + 3 x sources of them, and where a block is over
+    a word at most a hundredth of the house are sources.
     """
     every = Window.partitionBy()
-    total = F.sum("target").over(every)
-    sized = targets.where(F.col("target") > 0).select(
+    sized = targets.where((F.col("target") > 0) & F.col("own_words").isNull()).select(
         "key",
         "source_size",
         "target",
-        total.alias("total"),
-        F.greatest(F.lit(1), F.ceil(total / house)).cast("long").alias("block_words"),
+        F.sum("target").over(every).alias("total"),
+        "block_words",
         F.count(F.lit(1)).over(every).alias("n_sources"),
     )
     sized = sized.select(
@@ -122,6 +151,37 @@ def apportion(targets: DataFrame, house: int = HOUSE, max_repeat: int = 2) -> Da
     return ranked.where(F.col("seat") < F.col("seats")).drop("target")
 
 
+def _seeded(seed: int, label: str, key: Column) -> Column:
+    """A whole number below 2^32 for a source."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:{label}"), key).cast("binary"))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+
+
+def word_turn(words: Column, source_size: Column, seed: int, shards: int) -> Column:
+    """The turn of a source that takes so many words one by one; null for none.
+
+    Word k is at the place (k + u) / words of the mix, with a seeded u below 1, so
+    that sources of a word or two do not all meet in one shard.
+    """
+    u = _seeded(seed, "place:", F.col("key")) / 2**32
+    below = lambda shard: F.ceil(words * shard / shards - u)
+    quotas = F.transform(
+        F.sequence(F.lit(0), F.lit(shards - 1)),
+        lambda shard: F.struct(
+            shard.alias("shard"), (below(shard + 1) - below(shard)).cast("long").alias("n")
+        ),
+    )
+    turn = F.struct(
+        F.lit(1).cast("long").alias("block_words"),
+        source_size.alias("n_blocks"),
+        F.pmod(_seeded(seed, "", F.col("key")), source_size).alias("entry"),
+        F.floor(words / source_size).alias("laps"),
+        (words % source_size).alias("rest"),
+        F.filter(quotas, lambda x: x["n"] > 0).alias("quotas"),
+    )
+    return F.when(words > 0, turn)
+
+
 def source_turns(seats: DataFrame, seed: int, shards: int) -> DataFrame:
     """Per source, what its seats take: rows (key, turn), one per source with a seat.
 
@@ -129,8 +189,7 @@ def source_turns(seats: DataFrame, seed: int, shards: int) -> DataFrame:
     (how often the whole run is taken), rest (blocks of the last, partial lap)
     and quotas: (shard, n), the seats the source has in each shard of the mix.
     """
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col("key")).cast("binary"))
-    entry = F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.col("n_blocks"))
+    entry = F.pmod(_seeded(seed, "", F.col("key")), F.col("n_blocks"))
     shard = F.floor(F.col("seat") * shards / F.col("seats")).cast("int")
     return (
         seats.groupBy("key", "block_words", "n_blocks", shard.alias("shard"))
@@ -253,7 +312,9 @@ def plan_mix(
     )
     sources = runs.groupBy("key").agg(F.sum("run_words").alias("source_size"))
     targets = source_targets(weights(sources), percent, max_repeat)
-    turns = source_turns(apportion(targets, house, max_repeat), seed, shards)
+    targets = block_sizes(targets, house, max_repeat)
+    turns = source_turns(apportion(targets, max_repeat), seed, shards)
+    by_words = word_turn(F.col("own_words"), F.col("source_size"), seed, shards)
 
     # Each run of a source begins where the runs before it end.
     earlier = Window.partitionBy("key").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
@@ -264,7 +325,9 @@ def plan_mix(
         .select(
             F.col("key").alias("begin_key"),
             F.col("run").alias("begin_run"),
-            F.struct("begin", "source_size", "target", "turn").alias("mix"),
+            F.struct(
+                "begin", "source_size", "target", F.coalesce("turn", by_words).alias("turn")
+            ).alias("mix"),
         )
     )
     placed = measured.join(

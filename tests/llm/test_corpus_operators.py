@@ -315,6 +315,34 @@ def test_mix_meets_its_targets(spark, docs, rows, empty):
     assert mixing.plan_mix(docs.where("text is null")).where("mix.taken != 0").count() == 0
 
 
+def test_mix_takes_small_sources_beside_a_huge_one(spark):
+    chance = random.Random(3)
+    table = [(i, "w " * 900, "huge") for i in range(2000)]
+    for k in range(300):
+        source = f"tiny{k:03}"
+        table += [
+            (10_000 + 10 * k + j, " ".join(["x"] * n), source)
+            for j, n in enumerate(chance.choices(range(1, 40), k=chance.randint(1, 4)))
+        ]
+    small = spark.createDataFrame(table, "doc_id long, text string, source string").repartition(5)
+    weights = lambda sources: sources.withColumn("weight", F.lit(1).cast("long"))
+    for percent in (150, 60):
+        taken, target = Counter(), {}
+        for r in mixing.plan_mix(small, weights, percent=percent).collect():
+            assert 0 <= r.mix.taken <= 2 * r.mix.size
+            taken[r.source] += r.mix.taken
+            target[r.source] = r.mix.target
+        for source, words in target.items():
+            assert words > 0
+            assert abs(taken[source] - words) <= (0.01 * words if source == "huge" else 1), source
+        tiny = [s for s in target if s != "huge"]
+        assert abs(sum(taken[s] - target[s] for s in tiny)) <= 1
+    mixed = mixing.mix_sources(small, weights=weights, percent=60, shards=4).collect()
+    assert sum(len(r.text.split()) for r in mixed) == sum(taken.values())
+    shards = Counter(r.mix_shard for r in mixed if r.source != "huge")
+    assert set(shards) == {0, 1, 2, 3} and 2 * min(shards.values()) > max(shards.values())
+
+
 # ---------------------------------------------------------------- 7
 
 
