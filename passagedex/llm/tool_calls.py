@@ -8,11 +8,17 @@ written is canonical JSON: keys sorted, no white space.
 Tables:
   calls    conv_id, turn, call_id, name, arguments (JSON text), after (array of call ids)
   results  conv_id, turn, call_id, content
-  tools    name, parameters (JSON schema text: type object, properties, required)
+  tools    name, parameters (JSON schema text)
+
+Of a schema, type (a name or a list of names), properties, required,
+additionalProperties, items and enum are checked, at any depth. Other words, such
+as $ref, anyOf, pattern or minimum, are not.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +36,14 @@ KINDS = {
 }
 
 
+# One schema within a tool's parameters. Schemas in it are named by their places in
+# the tool's list; kinds and enum are null where anything is admitted.
+RULE = (
+    "struct<kinds:array<string>,enum:array<string>,properties:map<string,int>,"
+    "required:array<string>,closed:boolean,rest:int,items:int>"
+)
+
+
 def _kind(value: Column) -> Column:
     """Kind of a JSON value held as a variant, in the words of a JSON schema."""
     named = F.schema_of_variant(value)
@@ -79,8 +93,8 @@ def link_results(calls: DataFrame, results: DataFrame) -> DataFrame:
 
     state: linked; no_result; no_call; early (the result's turn is not after the
     call's). Of several calls or results with one id the earliest counts. Rows
-    without an id link to nothing and are left out. A null conversation is a
-    conversation of its own.
+    without an id link to nothing. These and the later rows with an id are given by
+    `unlinked_rows`. A null conversation is a conversation of its own.
     """
     one = _first_of(calls).select("conv_id", "call_id", F.col("row").alias("call"))
     two = _first_of(results).select(
@@ -107,6 +121,43 @@ def link_results(calls: DataFrame, results: DataFrame) -> DataFrame:
     )
 
 
+def _spare(table: DataFrame) -> DataFrame:
+    """The rows that `_first_of` leaves out, with a column `spare`: no_id or repeated."""
+    others = [c for c in table.columns if c not in ("conv_id", "call_id", "turn")]
+    nameless = table.where("call_id IS NULL").withColumn("spare", F.lit("no_id"))
+    row = F.struct("turn", *others)
+    kinds = table.dropna(subset=["call_id"]).groupBy("conv_id", "call_id", row.alias("row")).count()
+    first = kinds.groupBy(F.col("conv_id").alias("f_conv"), F.col("call_id").alias("f_call")).agg(
+        F.min("row").alias("first")
+    )
+    # Equal rows are one of these with a count; one of the first ones is in the links.
+    again = kinds.join(
+        first,
+        F.col("conv_id").eqNullSafe(F.col("f_conv")) & (F.col("call_id") == F.col("f_call")),
+    ).withColumn("n", F.col("count") - F.when(F.col("row") == F.col("first"), 1).otherwise(0))
+    again = again.where("n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    again = again.select("conv_id", "call_id", "row.*").withColumn("spare", F.lit("repeated"))
+    return nameless.unionByName(again)
+
+
+def unlinked_rows(calls: DataFrame, results: DataFrame) -> DataFrame:
+    """Calls and results that `format_tool_calls` has no row for, one row for each.
+
+    Rows (conv_id, call_id, turn, state, name, arguments, after, content). state:
+    call_no_id and result_no_id for rows without an id; call_repeated and
+    result_repeated for all but the earliest row of an id. With the rows of
+    `format_tool_calls` every call and every result is there once.
+    """
+    one = _spare(calls.select("conv_id", "call_id", "turn", "name", "arguments", "after"))
+    two = _spare(results.select("conv_id", "call_id", "turn", "content"))
+    columns = ["conv_id", "call_id", "turn", "state", "name", "arguments", "after", "content"]
+    parts = [
+        part.withColumn("state", F.concat(F.lit(label), F.col("spare"))).drop("spare")
+        for part, label in ((one, "call_"), (two, "result_"))
+    ]
+    return parts[0].unionByName(parts[1], allowMissingColumns=True).select(*columns)
+
+
 def call_levels(calls: DataFrame) -> DataFrame:
     """Topological level of every call: (conv_id, call_id, level, missing).
 
@@ -161,56 +212,168 @@ def call_levels(calls: DataFrame) -> DataFrame:
     ).select("conv_id", "call_id", "level", F.coalesce("missing", F.lit(0)).alias("missing"))
 
 
+def _rules(parameters: str) -> tuple[list[tuple], int]:
+    """The schemas within one JSON schema text as RULEs, the outermost first, and how deep
+    they lie in each other. What is no schema admits anything.
+    """
+    rules: list[tuple] = []
+
+    def add(schema, outermost=False) -> tuple[int, int]:
+        at, depth = len(rules), 0
+        rules.append(())
+        if schema is False:
+            rules[at] = ([], None, {}, [], False, None, None)
+            return at, depth
+        schema = schema if isinstance(schema, dict) else {}
+
+        def inner(part) -> int:
+            nonlocal depth
+            place, below = add(part)
+            depth = max(depth, below + 1)
+            return place
+
+        kinds = schema.get("type")
+        if isinstance(kinds, str):
+            kinds = [kinds]
+        if isinstance(kinds, list):
+            kinds = sorted({x for k in kinds for x in KINDS.get(str(k), [])})
+        else:
+            kinds = None
+        enum, required, named = (schema.get(k) for k in ("enum", "required", "properties"))
+        enum = [json.dumps(v) for v in enum] if isinstance(enum, list) else None
+        required = [k for k in required if isinstance(k, str)] if isinstance(required, list) else []
+        named = named if isinstance(named, dict) else {}
+        properties = {k: inner(v) for k, v in named.items()}
+        more, items = schema.get("additionalProperties"), schema.get("items")
+        closed = more is False or (more is None and (outermost or bool(named)))
+        rest = inner(more) if isinstance(more, dict) else None
+        items = inner(items) if isinstance(items, (dict, bool)) else None
+        rules[at] = (kinds, enum, properties, required, closed, rest, items)
+        return at, depth
+
+    try:
+        schema = json.loads(parameters)
+    except ValueError:
+        schema = {}
+    return rules, add(schema, outermost=True)[1]
+
+
+def _enum_text(value: Column) -> Column:
+    """The same text for equal JSON values, whole numbers written as decimals included."""
+    number = F.try_variant_get(value, "$", "double")
+    is_whole = (_kind(value) == "number") & (number == F.floor(number)) & (F.abs(number) < 1e15)
+    return F.when(is_whole, number.cast("long").cast("string")).otherwise(F.to_json(value))
+
+
 def argument_errors(calls: DataFrame, tools: DataFrame) -> DataFrame:
     """Calls (name, arguments) with one more column `errors`, a sorted array of strings.
 
     not_json: the arguments cannot be parsed, or are no object; unknown_tool;
     missing:NAME for a required property; type:NAME for a value of another type
-    than the schema says; extra:NAME for a property the schema does not have. A
-    null name is an unknown tool. The tool table has one row per name and is
-    small: it is the set of tools a model is given, not data of the corpus.
+    than the schema says; enum:NAME for a value that is not among those listed;
+    extra:NAME for a property the schema does not have. Within objects and arrays
+    NAME is a path such as list.0.unit. Properties that a schema does not name are
+    errors unless additionalProperties allows them or, in an inner object, its
+    schema names none. A null name is an unknown tool.
+
+    The tool table has one row per name and is small: it is the set of tools a
+    model is given, not data of the corpus. It is read on the driver.
     """
-    schema = (
-        "struct<properties:map<string,struct<type:string>>,required:array<string>>"
-    )
-    specs = tools.groupBy("name").agg(F.min("parameters").alias("parameters")).select(
-        F.col("name").alias("tool"), F.from_json("parameters", schema).alias("spec")
+    spark, compiled, depth = calls.sparkSession, [], 0
+    one_each = tools.groupBy("name").agg(F.min("parameters").alias("parameters"))
+    for name, parameters in one_each.dropna().collect():
+        rules, below = _rules(parameters)
+        compiled.append((name, rules))
+        depth = max(depth, below)
+    specs = spark.createDataFrame(compiled, f"tool string, rules array<{RULE}>")
+    enum = lambda texts: F.transform(texts, lambda t: _enum_text(F.parse_json(t)))
+    specs = specs.withColumn(
+        "rules", F.transform("rules", lambda r: r.withField("enum", enum(r["enum"])))
     )
     parsed = calls.withColumn("value", parsed_json(F.col("arguments"))).withColumn(
         "value", F.when(_kind(F.col("value")) == "object", F.col("value"))
     )
-    joined = parsed.join(specs, F.col("name") == F.col("tool"), "left")
-    given = F.from_json(F.to_json("value"), "map<string,variant>")
-    joined = joined.withColumn("given", given)
-    spec, names = F.col("spec"), F.map_keys("given")
-    known = F.coalesce(F.map_keys(spec["properties"]), F.array().cast("array<string>"))
-    required = F.coalesce(spec["required"], F.array().cast("array<string>"))
-    absent = F.transform(F.array_except(required, names), lambda k: F.concat(F.lit("missing:"), k))
-    extra = F.transform(F.array_except(names, known), lambda k: F.concat(F.lit("extra:"), k))
-    kinds = F.create_map(
-        *[x for k, v in KINDS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]
-    )
-    wanted = lambda k: spec["properties"][k]["type"]
-    wrong = F.transform(
-        F.filter(
-            F.array_intersect(names, known),
-            lambda k: wanted(k).isNotNull()
-            & ~F.coalesce(
-                F.array_contains(kinds[wanted(k)], _kind(F.col("given")[k])), F.lit(False)
+    joined = parsed.join(F.broadcast(specs), F.col("name") == F.col("tool"), "left")
+    label = lambda kind, path: F.concat(F.lit(kind), path)
+    under = lambda path, key: F.when(path == "", key).otherwise(F.concat(path, F.lit("."), key))
+
+    def opened(node: Column) -> Column:
+        """A node (path, rule, value) with its kind, members and elements."""
+        kind = F.coalesce(_kind(node["value"]), F.lit("null"))
+        text = F.to_json(node["value"])
+        return F.struct(
+            node["path"].alias("path"),
+            F.get("rules", node["rule"]).alias("rule"),
+            node["value"].alias("value"),
+            kind.alias("kind"),
+            F.when(kind == "object", F.from_json(text, "map<string,variant>")).alias("members"),
+            F.when(kind == "array", F.from_json(text, "array<variant>")).alias("elements"),
+        )
+
+    def wrong(node: Column) -> Column:
+        rule, path, names = node["rule"], node["path"], F.map_keys(node["members"])
+        known = F.map_keys(rule["properties"])
+        typed = rule["kinds"].isNotNull() & ~F.array_contains(rule["kinds"], node["kind"])
+        listed = rule["enum"].isNull() | F.array_contains(rule["enum"], _enum_text(node["value"]))
+        none = F.array().cast("array<string>")
+        return F.concat(
+            F.when(typed, F.array(label("type:", path)))
+            .when(~listed, F.array(label("enum:", path)))
+            .otherwise(none),
+            F.coalesce(
+                F.transform(
+                    F.array_except(rule["required"], names), lambda k: label("missing:", under(path, k))
+                ),
+                none,
             ),
-        ),
-        lambda k: F.concat(F.lit("type:"), k),
+            F.coalesce(
+                F.transform(
+                    F.when(rule["closed"], F.array_except(names, known)),
+                    lambda k: label("extra:", under(path, k)),
+                ),
+                none,
+            ),
+        )
+
+    def inside(node: Column) -> Column:
+        rule, path = node["rule"], node["path"]
+        members = F.transform(
+            F.map_entries(node["members"]),
+            lambda x: F.struct(
+                under(path, x["key"]).alias("path"),
+                F.coalesce(F.try_element_at(rule["properties"], x["key"]), rule["rest"]).alias("rule"),
+                x["value"].alias("value"),
+            ),
+        )
+        elements = F.transform(
+            node["elements"],
+            lambda x, i: F.struct(
+                under(path, i.cast("string")).alias("path"), rule["items"].alias("rule"), x.alias("value")
+            ),
+        )
+        return F.filter(F.coalesce(members, elements), lambda x: x["rule"].isNotNull())
+
+    # One level after the other, as deep as the schemas go.
+    root = F.struct(F.lit("").alias("path"), F.lit(0).alias("rule"), F.col("value").alias("value"))
+    joined = joined.withColumn("nodes", F.array(root)).withColumn(
+        "found", F.array().cast("array<string>")
     )
+    for level in range(depth + 1):
+        joined = joined.withColumn("nodes", F.transform("nodes", opened))
+        joined = joined.withColumn("found", F.concat("found", F.flatten(F.transform("nodes", wrong))))
+        if level < depth:
+            inner = F.flatten(F.filter(F.transform("nodes", inside), lambda x: x.isNotNull()))
+            joined = joined.withColumn("nodes", inner)
     errors = (
         F.when(F.col("value").isNull(), F.array(F.lit("not_json")))
-        .when(spec.isNull(), F.array(F.lit("unknown_tool")))
-        .otherwise(F.array_sort(F.concat(absent, extra, wrong)))
+        .when(F.col("rules").isNull(), F.array(F.lit("unknown_tool")))
+        .otherwise(F.array_sort("found"))
     )
-    return joined.withColumn("errors", errors).drop("value", "given", "spec", "tool")
+    return joined.withColumn("errors", errors).drop("value", "nodes", "found", "rules", "tool")
 
 
 def format_tool_calls(calls: DataFrame, results: DataFrame, tools: DataFrame) -> DataFrame:
-    """One row per call id: conv_id, call_id, turn, result_turn, state, level, missing,
+    """One row per call id (other rows: see `unlinked_rows`): conv_id, call_id, turn, result_turn, state, level, missing,
     errors, valid and message.
 
     message is canonical JSON of the call with its id, name, arguments (null if

@@ -199,6 +199,67 @@ def test_calls_are_linked_ordered_and_validated(spark):
     assert nothing.count() == 0
 
 
+def test_arguments_are_checked_at_any_depth(spark):
+    schema = {
+        "type": "object",
+        "properties": {
+            "unit": {"type": ["string", "null"], "enum": ["m", "km", None]},
+            "n": {"enum": [1, 2.5]},
+            "list": {
+                "type": "array",
+                "items": {"type": "object", "properties": {"x": {"type": "number"}}, "required": ["x"]},
+            },
+            "open": {"type": "object", "additionalProperties": {"type": "boolean"}},
+            "free": {"type": "object"},
+        },
+    }
+    cases = {
+        '{"unit": "m", "n": 1.0}': [],
+        '{"unit": null, "n": 2.50, "free": {"a": 1}}': [],
+        '{"unit": "mile", "n": 3}': ["enum:n", "enum:unit"],
+        '{"unit": 4}': ["type:unit"],
+        '{"list": [{"x": 1}, {"x": 1.5}], "open": {"a": true}}': [],
+        '{"list": [{"x": "1"}, {}, 7, {"x": 1, "y": 2}]}': [
+            "extra:list.3.y", "missing:list.1.x", "type:list.0.x", "type:list.2",
+        ],
+        '{"open": {"a": 1, "b": false}, "other": 1}': ["extra:other", "type:open.a"],
+        '{"open": [], "list": {}}': ["type:list", "type:open"],
+        '{"anything": 1}': ["extra:anything"],
+    }
+    tools = spark.createDataFrame(
+        [("deep", json.dumps(schema)), ("wide", '{"additionalProperties": true}')],
+        "name string, parameters string",
+    )
+    calls = spark.createDataFrame(
+        [("deep", a) for a in cases] + [("wide", '{"anything": 1}')], "name string, arguments string"
+    )
+    got = {(r.name, r.arguments): list(r.errors) for r in tool_calls.argument_errors(calls, tools).collect()}
+    assert got == {**{("deep", a): e for a, e in cases.items()}, ("wide", '{"anything": 1}'): []}
+
+
+def test_repeated_and_nameless_rows_do_not_vanish(spark):
+    calls = spark.createDataFrame(
+        [
+            (1, 0, "a", "f", "{}", []), (1, 0, "a", "f", "{}", []), (1, 4, "a", "g", "{}", None),
+            (1, 2, None, "f", "{}", None), (None, 0, "a", "f", "{}", None), (None, 1, "a", None, None, None),
+        ],
+        "conv_id long, turn long, call_id string, name string, arguments string, after array<string>",
+    )
+    results = spark.createDataFrame(
+        [(1, 1, "a", "x"), (1, 3, "a", None), (1, 3, "a", None), (2, 0, None, "y")],
+        "conv_id long, turn long, call_id string, content string",
+    )
+    rest = tool_calls.unlinked_rows(calls, results)
+    assert Counter((r.conv_id, r.call_id, r.turn, r.state) for r in rest.collect()) == {
+        (1, "a", 0, "call_repeated"): 1,
+        (1, "a", 4, "call_repeated"): 1,
+        (1, None, 2, "call_no_id"): 1,
+        (None, "a", 1, "call_repeated"): 1,
+        (1, "a", 3, "result_repeated"): 2,
+        (2, None, 0, "result_no_id"): 1,
+    }
+
+
 def test_only_one_json_value_counts(spark):
     good = ['{"b":1, "a":[]}', " 1 ", "null", '"x"', "[1,2]"]
     bad = ['{"a":1}]', "1}", "1,2", '1,"w":2', "", " ", "{} {}", '{"a":1,"a":2}', None]
