@@ -285,7 +285,8 @@ def _blocks(entries: DataFrame, buckets: DataFrame) -> DataFrame:
 def near_components(docs: DataFrame) -> DataFrame:
     """Rows (id, text) to (id, text_hash, n, component): see `find_near_duplicates`."""
     signed = cut_lineage(sign(docs))
-    # One row for each distinct set: its smallest id and one of its texts.
+    # One row for each distinct set: its smallest id and one of its texts. The node
+    # is a number of its own, as one id may have texts of different sets.
     worded = signed.where("n > 0 AND id IS NOT NULL")
     classes = cut_lineage(
         worded.groupBy("class", "n")
@@ -297,7 +298,8 @@ def near_components(docs: DataFrame) -> DataFrame:
         .select(
             "class",
             "n",
-            F.col("first.id").alias("node"),
+            F.monotonically_increasing_id().alias("node"),
+            F.col("first.id").alias("id"),
             F.col("first.text_hash").alias("text_hash"),
             "bands",
             "sketch",
@@ -375,7 +377,9 @@ def near_components(docs: DataFrame) -> DataFrame:
     )
     labels = final.unionByName(alone)
     named = classes.join(labels.withColumnRenamed("node", "k"), F.col("node") == F.col("k"), "left")
-    named = named.select("class", "n", F.coalesce("label", "node").alias("component"))
+    named = named.select("class", "n", "id", F.coalesce("label", "node").alias("label"))
+    least = named.groupBy(F.col("label").alias("k")).agg(F.min("id").alias("component"))
+    named = named.join(least, F.col("label") == F.col("k")).select("class", "n", "component")
     return signed.select("id", "text_hash", "n", "class").join(named, ["class", "n"], "left").select(
         "id", "text_hash", "n", F.coalesce("component", "id").alias("component")
     )
@@ -383,9 +387,9 @@ def near_components(docs: DataFrame) -> DataFrame:
 
 def _texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(node, text) of the classes' own documents, repeated rows once."""
-    wanted = classes.select("node", F.col("text_hash").alias("wanted_hash"))
+    wanted = classes.select("node", F.col("id").alias("k"), F.col("text_hash").alias("wanted_hash"))
     keyed = docs.select("id", "text", F.xxhash64(whole(F.col("text"))).alias("text_hash"))
-    same = (F.col("id") == F.col("node")) & (F.col("text_hash") == F.col("wanted_hash"))
+    same = (F.col("id") == F.col("k")) & (F.col("text_hash") == F.col("wanted_hash"))
     found = keyed.join(wanted, same)
     return found.groupBy("node", "text_hash").agg(F.first("text").alias("text")).drop("text_hash")
 

@@ -430,6 +430,18 @@ def plain_components(table):
     return {d: (len(sets[d]), root(d)) for d in ids}
 
 
+def test_texts_of_one_id_are_apart(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(120)) for c in "ab")
+    table = [(0, one + " end"), (1, one), (1, two), (2, two + " end"), (3, "alone")]
+    df = spark.createDataFrame(table, "doc_id long, text string")
+    got = near_dedup.find_near_duplicates(df).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [
+        (0, 0, True), (1, 0, False), (1, 1, True), (2, 1, False), (3, 3, True),
+    ]
+    kept = sorted((r.doc_id, r.text) for r in near_dedup.keep_one_each(df).collect())
+    assert kept == [(0, one + " end"), (1, two), (3, "alone")]
+
+
 @pytest.mark.parametrize("block", [512, 2])
 def test_near_duplicates(spark, docs, rows, empty, monkeypatch, block):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
