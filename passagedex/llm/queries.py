@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passagedex.llm import oracles
+from passagedex.llm import bpe, merkle, oracles
 from passagedex.llm.classifier import fit_quality, held_out, quality_score
 from passagedex.llm.common import whole
 from passagedex.llm.decontaminate import find_benchmark
@@ -211,3 +211,37 @@ def op10_quality_classifier(spark, sf_dir):
         "score",
         (F.col("score") >= GOOD_SCORE).cast("int").alias("predicted"),
     )
+
+
+@registered(oracles.MERKLE)
+def op11_merkle_manifest(spark, sf_dir):
+    """Every document's proof, folded anew with a seventh of the rows tampered with."""
+    docs = _table(spark, sf_dir, "documents")
+    names = ("doc_id", "source", "lang", "n_chars", "text")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    longer = [F.col(c) + 1 if c == "n_chars" else F.col(c) for c in names]
+    proved = merkle.manifest(docs, names, forged=F.when(tampered, merkle.leaf(*longer)))
+    presented = F.coalesce("forged", "leaf")
+    return proved.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        merkle.siblings_digest(F.col("proof")).alias("proof_sha256"),
+        merkle.folded(presented, F.col("proof")).alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@registered()
+def op13_bpe_round_trip(spark, sf_dir):
+    """Digests of every document's token ids and of the text they decode to."""
+    vocabulary = str(public_tokenizers.path("word_bpe_49k.json"))
+    docs = _table(spark, sf_dir, "documents")
+    packed = docs.select("doc_id", bpe.packed_ids(spark, F.col("text"), vocabulary).alias("ids"))
+    text = bpe.decoded(spark, F.col("ids"), vocabulary)
+    return packed.withColumn("text", text).select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
