@@ -286,3 +286,44 @@ SELECT doc_id, leaf, subroot, root, sha256(coalesce(proof, '')) AS proof_sha256,
        folded_root = root AS verified
 FROM placed JOIN subroots USING (grp) JOIN folded USING (rid) LEFT JOIN proofs USING (rid), whole
 """
+
+PHRASES = rf"""
+WITH pieces AS (
+  SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents)
+), words AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), totals AS (
+  SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang
+), grams AS (
+  SELECT lang, list_slice(w, i, i + size - 1) AS g
+  FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words), range(1, 6) AS o(size)
+  WHERE i + size - 1 <= len(w)
+), f AS (
+  SELECT lang, g, count(*) AS a FROM grams GROUP BY lang, g HAVING count(*) >= 100
+), inner_phrases AS (
+  SELECT lang, a, list_slice(g, i, i + size - 1) AS g
+  FROM f, range(2, 5) AS o(size), range(1, 5) AS s(i)
+  WHERE size < len(g) AND i + size - 1 <= len(g)
+), covers AS (
+  SELECT lang, g, max(a) AS longer FROM inner_phrases GROUP BY lang, g
+), kept AS (
+  SELECT lang, g, a FROM f LEFT JOIN covers USING (lang, g)
+  WHERE len(g) > 1 AND (longer IS NULL OR 100 * longer < 100 * a)
+), cuts AS (
+  SELECT lang, g, a, k, list_slice(g, 1, k) AS first, list_slice(g, k + 1, len(g)) AS rest
+  FROM kept, range(1, 5) AS o(k) WHERE k < len(g)
+), scored AS (
+  SELECT c.lang, c.g, c.a, k, x.a AS l, y.a AS r, n,
+         ((1000::HUGEINT * c.a * n) // (x.a::HUGEINT * y.a))::BIGINT AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.g = c.first JOIN f y ON y.lang = c.lang AND y.g = c.rest
+  JOIN totals t ON t.lang = c.lang
+), lowest AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, k) AS place FROM scored
+), listed AS (
+  SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, n, score FROM lowest WHERE place = 1
+)
+SELECT lang, rank, phrase, a, l, r, n, score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM listed)
+WHERE rank <= 2000
+"""

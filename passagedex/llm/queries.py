@@ -15,6 +15,7 @@ from passagedex.llm.decontaminate import find_benchmark
 from passagedex.llm.line_quality import measure_lines
 from passagedex.llm.mixing import plan_mix
 from passagedex.llm.near_dedup import find_near_duplicates
+from passagedex.llm.phrases import mine_phrases
 from passagedex.llm.sharding import shard_documents
 from passagedex.llm.substring_dedup import find_repeats
 from passagedex.llm.token_counts import token_count
@@ -232,6 +233,12 @@ def op11_merkle_manifest(spark, sf_dir):
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+@registered(oracles.PHRASES)
+def op12_phrase_collocations(spark, sf_dir):
+    """The 2,000 best collocations of every language."""
+    return mine_phrases(_table(spark, sf_dir, "documents"))
+
+
 @registered()
 def op13_bpe_round_trip(spark, sf_dir):
     """Digests of every document's token ids and of the text they decode to."""
