@@ -7,19 +7,21 @@ over the budget being replaced by their extensions; every suffix, truncated to
 five words, goes to its prefix's group; and each group builds its subtrees alone,
 from its suffixes in order, of which only the open path is held.
 
-Suffixes are cut short before a word, and after a word whose next pair of words,
-that occurs too rarely for any phrase holding it. Which ones do is looked up in
-bitmaps of bounded size; what these let through needlessly is dropped by count.
+Suffixes are cut short where a word, or a pair of words, occurs too rarely for
+any phrase that holds it. Which ones do is looked up in bitmaps of bounded size;
+what these let through needlessly is dropped by its count.
 """
 
 from __future__ import annotations
 
 import zlib
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,10 +119,10 @@ class Chunk:
 
 
 def pair_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """A 64-bit mix of the hashes of two words."""
+    """A 32-bit mix of the hashes of two words."""
     x = left * np.uint64(0x9E3779B97F4A7C15) + right * np.uint64(0xC2B2AE3D27D4EB4F)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
+    return (x ^ (x >> np.uint64(32))) & np.uint64(0xFFFFFFFF)
 
 
 def set_in(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -175,27 +177,33 @@ def _pairs(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _pair_counts(chunk: Chunk) -> pa.RecordBatch:
+    """Pairs of words counted by a hash of 32 bits.
+
+    The count of a hash is at least that of each of its pairs, so pairs of rare
+    hashes are rare. Counts of phrases themselves never come from hashes.
+    """
     pairs, counts = np.unique(_pairs(chunk)[1], return_counts=True)
-    left, right = np.divmod(pairs, len(chunk.words))
-    words = chunk.words
-    names = [words[a] + GAP + words[b] for a, b in zip(left.tolist(), right.tolist(), strict=True)]
-    return _counted(chunk, names, counts)
+    hashes = chunk.pair_hashes(*np.divmod(pairs, len(chunk.words)))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(hashes.astype(np.uint32).view(np.int32)), pa.array(counts, pa.int64())],
+        names=["hash", "n"],
+    )
 
 
 def _suffixes(chunk: Chunk, frequent_pairs: np.ndarray, max_words: int) -> pa.RecordBatch:
-    """The distinct truncated suffixes of a chunk with their counts."""
+    """The distinct truncated suffixes of two words or more of a chunk, with their counts."""
     codes = chunk.codes
     at, pairs = _pairs(chunk)
     distinct, which = np.unique(pairs, return_inverse=True)
     left, right = np.divmod(distinct, len(chunk.words))
     goes_on = np.zeros(len(codes) + max_words, dtype=bool)
     goes_on[at] = set_in(frequent_pairs, chunk.pair_hashes(left, right))[which]
-    start = np.flatnonzero(codes)
+    start = np.flatnonzero(goes_on)
     padded = np.append(codes, np.zeros(max_words, dtype=np.int64))
     alive = np.ones(len(start), dtype=bool)
     columns = [codes[start]]
     for d in range(1, max_words):
-        alive &= goes_on[start + d - 1]
+        alive = alive & goes_on[start + d - 1]
         columns.append(np.where(alive, padded[start + d], 0))
     order = np.lexsort(_packed(columns, len(chunk.words)))
     columns = [c[order] for c in columns]
@@ -225,9 +233,12 @@ def _packed(columns: list[np.ndarray], n: int) -> list[np.ndarray]:
 
 
 def _scanned(
-    docs: DataFrame, rows_of: Callable[[Chunk], pa.RecordBatch], frequent_words=None
+    docs: DataFrame,
+    rows_of: Callable[[Chunk], pa.RecordBatch],
+    schema: str = NODE,
+    frequent_words: Broadcast | None = None,
 ) -> DataFrame:
-    """Counts (lang, phrase, n) that a function makes of all chunks of (lang, text), summed.
+    """Counts that a function makes of all chunks of (lang, text), summed.
 
     With a bitmap of words, all others end a piece.
     """
@@ -240,57 +251,36 @@ def _scanned(
             for i in range(0, made.num_rows, 100_000):
                 yield made.slice(i, 100_000)
 
-    return _summed(docs.mapInArrow(scan, NODE))
+    return _summed(docs.mapInArrow(scan, schema))
 
 
 def _summed(counts: DataFrame) -> DataFrame:
-    return counts.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
-
+    keys = [c for c in counts.columns if c != "n"]
+    return counts.groupBy(*keys).agg(F.sum("n").alias("n"))
 
-def _phrase_hashes(langs: list[str], phrases: list[str]) -> np.ndarray:
-    """Of single words their hashes, of pairs the mix of both."""
-    seeds = {lang: zlib.crc32(lang.encode() + GAP) for lang in set(langs)}
-    hashed = [
-        [zlib.crc32(w, seeds[lang]) for w in phrase.encode().split(GAP)]
-        for lang, phrase in zip(langs, phrases, strict=True)
-    ]
-    columns = np.array(hashed, dtype=np.uint64).T
-    return columns[0] if len(columns) == 1 else pair_hash(columns[0], columns[1])
 
-
-def _bitmap(frequent: DataFrame):
-    """Broadcast bitmap of words or of pairs, sixteen bits for each, up to 64 MB."""
-    spark = frequent.sparkSession
+def _bitmap(hashes: DataFrame) -> Broadcast:
+    """Broadcast bitmap of 32-bit numbers `hash`, sixteen bits for each, up to 64 MB."""
+    spark = hashes.sparkSession
     bits = LEAST_BITS
-    wanted = 16 * frequent.count()
-    while bits < min(wanted, MOST_BITS):
+    wanted = min(16 * hashes.count(), MOST_BITS)
+    while bits < wanted:
         bits *= 2
-
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                hashes = _phrase_hashes(batch["lang"].to_pylist(), batch["phrase"].to_pylist())
-                place = hashes & np.uint64(bits - 1)
-                bit = np.uint64(1) << (place & np.uint64(63))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array((place >> np.uint64(6)).astype(np.int64)),
-                        pa.array(bit.view(np.int64)),
-                    ],
-                    names=["place", "bits"],
-                )
-
-    found = frequent.select("lang", "phrase").mapInArrow(places, "place bigint, bits bigint")
-    table = found.groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()
+    at = F.col("hash").cast("long").bitwiseAND(F.lit(bits - 1))
+    table = (
+        hashes.select(
+            F.shiftright(at, 6).alias("place"),
+            F.expr("shiftleft(1L, cast(hash & 63 as int))").alias("bits"),
+        )
+        .groupBy("place")
+        .agg(F.bit_or("bits").alias("bits"))
+        .toArrow()
+    )
     filled = np.zeros(bits // 64, dtype=np.uint64)
     filled[table["place"].to_numpy()] = table["bits"].to_numpy().view(np.uint64)
     return spark.sparkContext.broadcast(filled)
 
 
-def _prefix(n: int) -> Column:
-    return F.substring_index("phrase", "\x00", n)
-
-
 def _group_bounds(suffixes: DataFrame, max_words: int) -> list[tuple[bytes, bytes]]:
     """The first prefix (lang, words) of every group but the first, in order.
 
@@ -304,24 +294,15 @@ def _group_bounds(suffixes: DataFrame, max_words: int) -> list[tuple[bytes, byte
     budget = max(
         1, -(-total // MAX_GROUPS), min(GROUP_ROWS, total // (GROUPS_PER_TASK * tasks))
     )
-    fitting = []
-    open_rows = suffixes.select("lang", "phrase")
+    fitting, over = [], None
     for depth in range(1, max_words + 1):
-        sizes = cut_lineage(
-            open_rows.groupBy("lang", _prefix(depth).alias("prefix")).agg(
-                F.count(F.lit(1)).alias("size")
-            )
-        )
-        over = sizes.where(F.col("size") > budget).select("lang", "prefix")
-        fitting.append(sizes.where(F.col("size") <= budget))
-        # At most total / budget prefixes, so MAX_GROUPS.
-        if depth == max_words or over.isEmpty():
+        sizes = cut_lineage(_prefix_sizes(suffixes, depth, over))
+        fitting.append(sizes.where(F.col("n") <= budget))
+        # At most total / budget of them, so no more than there may be groups.
+        found = sizes.where(F.col("n") > budget).select("lang", "phrase").collect()
+        if not found or depth == max_words:
             break
-        open_rows = (
-            suffixes.select("lang", "phrase", _prefix(depth).alias("prefix"))
-            .join(F.broadcast(over), ["lang", "prefix"], "left_semi")
-            .drop("prefix")
-        )
+        over = spark.sparkContext.broadcast({(r[0], r[1]) for r in found})
     prefixes = fitting[0]
     for more in fitting[1:]:
         prefixes = prefixes.unionByName(more)
@@ -330,17 +311,45 @@ def _group_bounds(suffixes: DataFrame, max_words: int) -> list[tuple[bytes, byte
         filled = budget
         for batch in batches:
             first = np.zeros(batch.num_rows, dtype=bool)
-            for i, size in enumerate(batch["size"].to_pylist()):
+            for i, size in enumerate(batch["n"].to_pylist()):
                 first[i] = filled + size > budget
                 filled = size if first[i] else filled + size
-            yield batch.select(["lang", "prefix"]).filter(pa.array(first))
+            yield batch.select(["lang", "phrase"]).filter(pa.array(first))
 
-    in_order = prefixes.repartitionByRange("lang", "prefix").sortWithinPartitions("lang", "prefix")
-    bounds = in_order.withColumn("prefix", F.substring("prefix", 1, BOUND_LETTERS)).mapInArrow(
-        packed, "lang string, prefix string"
+    in_order = prefixes.repartitionByRange("lang", "phrase").sortWithinPartitions("lang", "phrase")
+    bounds = in_order.withColumn("phrase", F.substring("phrase", 1, BOUND_LETTERS)).mapInArrow(
+        packed, "lang string, phrase string"
     )
-    found = {(r[0].encode(), r[1].encode()) for r in bounds.collect()}
-    return sorted(found)[1:]
+    firsts = {(r[0].encode(), r[1].encode()) for r in bounds.collect()}
+    return sorted(firsts)[1:]
+
+
+def _prefix_sizes(suffixes: DataFrame, depth: int, of: Broadcast | None) -> DataFrame:
+    """(lang, phrase, n): suffixes below each prefix of `depth` words.
+
+    Only below the prefixes of one word less in `of`, if it is given.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts: Counter[tuple[str, str]] = Counter()
+            for lang, phrase in zip(
+                batch["lang"].to_pylist(), batch["phrase"].to_pylist(), strict=True
+            ):
+                words = phrase.split("\x00", depth)[:depth]
+                if of is None or (lang, "\x00".join(words[: depth - 1])) in of.value:
+                    counts[lang, "\x00".join(words)] += 1
+            langs, phrases = zip(*counts, strict=True) if counts else ((), ())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(langs, pa.string()),
+                    pa.array(phrases, pa.string()),
+                    pa.array(counts.values(), pa.int64()),
+                ],
+                names=["lang", "phrase", "n"],
+            )
+
+    return _summed(suffixes.select("lang", "phrase").mapInArrow(counted, NODE))
 
 
 def _grouped(suffixes: DataFrame, bounds: list[tuple[bytes, bytes]]) -> DataFrame:
@@ -366,7 +375,8 @@ def _grouped(suffixes: DataFrame, bounds: list[tuple[bytes, bytes]]) -> DataFram
 class _Subtrees:
     """Totals of the nodes of one group after another, from suffixes in order.
 
-    Only the open path is held. A node below `min_count` is given as well if it
+    Nodes have two words or more, as single words are counted before. Only the
+    open path is held. A node below `min_count` is given as well if it
     is on the first or last path of its group, as its suffixes may go on there.
     """
 
@@ -381,7 +391,8 @@ class _Subtrees:
         """Nodes of more than `depth` words end."""
         while len(self.path) - 1 > depth:
             level = len(self.path) - 1
-            if last or self.on_first_path[level] or self.totals[level] >= self.min_count:
+            on_edge = last or self.on_first_path[level]
+            if level > 1 and (on_edge or self.totals[level] >= self.min_count):
                 phrase = GAP.join(self.path[1:])
                 self.made.append((self.path[0][1], phrase, self.totals[level]))
             self.path.pop()
@@ -420,7 +431,7 @@ class _Subtrees:
 
 
 def _nodes(grouped: DataFrame, min_count: int, max_words: int) -> DataFrame:
-    """(lang, phrase, n) of every phrase with at least `min_count` occurrences."""
+    """(lang, phrase, n) of every phrase of two words or more that occurs `min_count` times."""
 
     def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees = _Subtrees(min_count, max_words)
@@ -453,14 +464,21 @@ def phrase_counts(
     frequent = F.col("n") >= min_count
     words = cut_lineage(_scanned(rows, _word_counts))
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    word_bits = _bitmap(words.where(frequent))
-    pairs = cut_lineage(_scanned(rows, _pair_counts, word_bits).where(frequent))
-    pair_bits = _bitmap(pairs)
+    singles = words.where(frequent)
+    key = F.concat("lang", F.lit("\x00"), "phrase").cast("binary")
+    word_bits = _bitmap(singles.select(F.crc32(key).alias("hash")))
+    pairs = _scanned(rows, _pair_counts, "hash int, n bigint", word_bits).where(frequent)
+    pair_bits = _bitmap(cut_lineage(pairs.select("hash")))
     suffixes = cut_lineage(
-        _scanned(rows, lambda chunk: _suffixes(chunk, pair_bits.value, max_words), word_bits)
+        _scanned(
+            rows,
+            lambda chunk: _suffixes(chunk, pair_bits.value, max_words),
+            frequent_words=word_bits,
+        )
     )
     bounds = _group_bounds(suffixes, max_words)
-    return _nodes(_grouped(suffixes, bounds), min_count, max_words), totals
+    longer = _nodes(_grouped(suffixes, bounds), min_count, max_words)
+    return singles.unionByName(longer), totals
 
 
 def _looked_up(rows: DataFrame, on: list[str], values: DataFrame) -> DataFrame:
