@@ -374,3 +374,17 @@ def decoded(spark: SparkSession, packed: Column, path: str) -> Column:
             yield pd.Series([decoder.decode(i) for i in ids.tolist()], dtype=object)
 
     return strings(packed)
+
+
+def round_trip(spark: SparkSession, text: Column, path: str) -> Column:
+    """Struct of `packed_ids` and the text they are `decoded` to, in one pass of one worker."""
+    shared = spark.sparkContext.broadcast(checked_vocabulary(path))
+
+    @F.pandas_udf("struct<ids: binary, text: string>")
+    def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        encoder, decoder = _encoder(shared.value), _decoder(shared.value)
+        for texts in batches:
+            packed = encoder.encode(texts.tolist())
+            yield pd.DataFrame({"ids": packed, "text": [decoder.decode(p) for p in packed]})
+
+    return coded(text)

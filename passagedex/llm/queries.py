@@ -244,11 +244,10 @@ def op13_bpe_round_trip(spark, sf_dir):
     """Digests of every document's token ids and of the text they decode to."""
     vocabulary = str(public_tokenizers.path("word_bpe_49k.json"))
     docs = _table(spark, sf_dir, "documents")
-    packed = docs.select("doc_id", bpe.packed_ids(spark, F.col("text"), vocabulary).alias("ids"))
-    text = bpe.decoded(spark, F.col("ids"), vocabulary)
-    return packed.withColumn("text", text).select(
+    coded = docs.select("doc_id", bpe.round_trip(spark, F.col("text"), vocabulary).alias("c"))
+    return coded.select(
         "doc_id",
-        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+        (F.octet_length("c.ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("c.ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("c.text").cast("binary"), 256).alias("decoded_sha256"),
     )

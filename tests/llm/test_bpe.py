@@ -70,6 +70,9 @@ def test_columns_on_spark(spark, library):
     for i, ids in enumerate(expected(library, made)):
         assert np.frombuffer(bytes(got[i]["p"]), "<u4").tolist() == ids == lists[i]
         assert got[i]["t"] == library.decode(ids, skip_special_tokens=False)
+    one_pass = docs.select("doc_id", bpe.round_trip(spark, F.col("text"), PATH).alias("c"))
+    for r in one_pass.collect():
+        assert (r["c"]["ids"], r["c"]["text"]) == (got[r["doc_id"]]["p"], got[r["doc_id"]]["t"])
     assert docs.limit(0).select(bpe.packed_ids(spark, F.col("text"), PATH)).collect() == []
 
 
