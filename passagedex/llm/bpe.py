@@ -206,7 +206,9 @@ class Encoder:
 
     def __init__(self, vocabulary: str) -> None:
         parts = json.loads(vocabulary)
-        tokenizer = Tokenizer.from_str(vocabulary)
+        # Only the library's normalizer and splitter are used, so it gets no model.
+        bare = parts["model"] | {"vocab": {}, "merges": []}
+        tokenizer = Tokenizer.from_str(json.dumps(parts | {"model": bare, "added_tokens": []}))
         self._normalise = tokenizer.normalizer.normalize_str
         self._split = tokenizer.pre_tokenizer.pre_tokenize_str
         self._merger = Merger(parts["model"])
@@ -293,7 +295,9 @@ class Decoder:
     """Texts of token ids: the tokens' own strings, joined by one space."""
 
     def __init__(self, vocabulary: str) -> None:
-        strings = Tokenizer.from_str(vocabulary).get_vocab(with_added_tokens=True)
+        parts = json.loads(vocabulary)
+        added = {t["content"]: t["id"] for t in parts.get("added_tokens") or []}
+        strings = parts["model"]["vocab"] | added
         size = max(strings.values()) + 1
         tokens = [b""] * size
         for string, i in strings.items():
