@@ -7,8 +7,11 @@ of the XOR are set. Links are confirmed on the full shingle sets.
 
 No bucket's pairs are ever all written out. A bucket is first a star: its
 members are compared with its smallest one. Where that does not join them all,
-the bucket's members outside the component of its smallest member meet the
-others in blocks of bounded size, and a block yields confirmed links only.
+the bucket is open: its members outside the component of its smallest member
+must meet the others. Open buckets whose smallest members are in one component
+mostly hold the same members, so these are listed once for the component, or
+once per bucket where that is less work. They meet in blocks of bounded size,
+and a block yields confirmed links only.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from passagedex.llm.common import column, unused, whole
+from passagedex.llm.common import WORD, column, unused, whole
 from passagedex.llm.shingles import mix, shingle_set
 from passagedex.session import cut_lineage
 
@@ -38,6 +41,8 @@ SKETCH_BITS = 1024
 LEAST_ESTIMATE = 0.58
 # Members of each side that one block compares.
 BLOCK = 2048
+# Comparisons of sketches that take as long as moving one more member to a block.
+ROW_COST = 256
 
 _random = np.random.default_rng(40_961)
 SCALE = _random.integers(0, 1 << 32, SAMPLES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -175,8 +180,9 @@ def components(links: DataFrame) -> DataFrame:
 def _block_links(with_text: bool):
     """Function of one block: entries that have a plausible partner, or confirmed links.
 
-    A pair counts in the first band it shares only, and not if the bucket's
-    smallest member is in it, as those pairs were compared before.
+    Members listed for a whole component are compared if they share any band. In
+    a bucket, a pair counts in the first band it shares only, and not if the
+    bucket's smallest member is in it, as those pairs were compared before.
     """
 
     def compared(table: pa.Table) -> pa.Table:
@@ -188,7 +194,8 @@ def _block_links(with_text: bool):
             return values.reshape(-1, width).view(np.uint64)
 
         node, label, n, group = (column_of(k) for k in ("node", "label", "n", "side"))
-        hub, bucket = table["hub"][0].as_py(), np.uint64(table["bucket"][0].as_py() & (2**64 - 1))
+        hub, whole_component = table["hub"][0].as_py(), table["whole"][0].as_py()
+        bucket = np.uint64(table["grp"][0].as_py() & (2**64 - 1))
         bands, sketch = matrix("bands", BANDS), matrix("sketch", SKETCH_BITS // 64)
         within = table["low"][0].as_py() == table["high"][0].as_py()
         texts = table["text"].to_pylist() if with_text else None
@@ -210,13 +217,18 @@ def _block_links(with_text: bool):
         right = left if within else np.flatnonzero(group == 1)
         for place, i in enumerate(left.tolist()):
             others = right[place + 1 :] if within else right
-            fits = (label[others] != label[i]) & (node[others] != hub) & (node[i] != hub)
+            fits = label[others] != label[i]
+            if not whole_component:
+                fits &= (node[others] != hub) & (node[i] != hub)
             fits &= np.minimum(n[others], n[i]) * 100 >= np.maximum(n[others], n[i]) * PERCENT
             others = others[fits]
             bits = np.bitwise_count(sketch[others] ^ sketch[i]).sum(axis=1)
             others = others[bits <= MOST_DIFFERENT]
-            first = (bands[others] == bands[i]).argmax(axis=1)
-            others = others[bands[i][first] == bucket]
+            same = bands[others] == bands[i]
+            if whole_component:
+                others = others[same.any(axis=1)]
+            else:
+                others = others[bands[i][same.argmax(axis=1)] == bucket]
             if texts is None:
                 found[others] = True
                 found[i] |= len(others) > 0
@@ -233,29 +245,79 @@ def _block_links(with_text: bool):
                     "b": pa.array([b for _, b in links], pa.int64()),
                 }
             )
-        return table.select(["bucket", "low", "high", "side", "hub", "node"]).filter(pa.array(found))
+        return table.select([*BLOCK_KEY, "side", "hub", "node"]).filter(pa.array(found))
 
     return compared
 
 
-BLOCK_KEY = ("bucket", "low", "high")
+# A group of members is a bucket, or a component of smallest members as a whole.
+GROUP = ("whole", "grp")
+BLOCK_KEY = (*GROUP, "low", "high")
 
 
-def _blocks(entries: DataFrame, buckets: DataFrame) -> DataFrame:
-    """Entries (bucket, node, label, hub) of open buckets dealt into blocks.
+def _groups(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members (whole, grp, node, hub, label) of the groups to compare, and the groups.
 
-    Members of the component of the bucket's smallest member are never compared
+    `labelled` has members (bucket, node, hub, label). Open buckets are taken
+    together by the component of their smallest member. A component is listed as
+    a whole unless its comparisons, members counted as ROW_COST each, are more
+    than those of its buckets.
+    """
+    hub_labels = labelled.where("node = hub").select(
+        F.col("bucket").alias("k"), F.col("label").alias("hub_label")
+    )
+    major = F.count_if(F.col("label") == F.col("hub_label")).alias("n_major")
+    minor = F.count_if(F.col("label") != F.col("hub_label")).alias("n_minor")
+    buckets = cut_lineage(
+        labelled.join(hub_labels, F.col("bucket") == F.col("k"))
+        .groupBy("bucket")
+        .agg(F.first("hub_label").alias("hub_label"), major, minor)
+        .where("n_minor > 0")
+    )
+    work = (
+        F.col("n_minor") * (F.col("n_major") + F.col("n_minor") / 2)
+        + (F.col("n_major") + F.col("n_minor")) * ROW_COST
+    )
+    renamed = buckets.select(F.col("bucket").alias("k"), "hub_label")
+    members = cut_lineage(labelled.join(renamed, F.col("bucket") == F.col("k")).drop("k"))
+    listed = members.groupBy("hub_label", "node").agg(F.first("label").alias("label"))
+    components = listed.groupBy("hub_label").agg(major, minor).withColumn("work", work)
+    split = buckets.groupBy("hub_label").agg(F.sum(work).alias("split_work"))
+    chosen = cut_lineage(
+        components.join(split, "hub_label").withColumn("whole", F.col("work") <= F.col("split_work"))
+    )
+    wholes, splits = chosen.where("whole"), chosen.where("NOT whole")
+    no_hub = F.lit(-1).cast("long").alias("hub")
+    entries = listed.join(wholes.select("hub_label"), "hub_label").select(
+        F.lit(True).alias("whole"), F.col("hub_label").alias("grp"), "node", no_hub, "label"
+    )
+    of_buckets = members.join(splits.select("hub_label"), "hub_label", "left_semi").select(
+        F.lit(False).alias("whole"), F.col("bucket").alias("grp"), "node", "hub", "label"
+    )
+    groups = wholes.select("whole", F.col("hub_label").alias("grp"), "hub_label", "n_major", "n_minor")
+    groups = groups.unionByName(
+        buckets.join(splits.select("hub_label"), "hub_label", "left_semi").select(
+            F.lit(False).alias("whole"), F.col("bucket").alias("grp"), "hub_label", "n_major", "n_minor"
+        )
+    )
+    return entries.unionByName(of_buckets), groups
+
+
+def _blocks(entries: DataFrame, groups: DataFrame) -> DataFrame:
+    """Members of groups dealt into blocks.
+
+    Members of the component of the group's smallest members are never compared
     with each other; they and the others are cut into parts of about BLOCK. Every
     pair of parts that may hold a link is a block (low, high); parts of the first
     kind have negative numbers.
     """
-    sizes = buckets.select(
-        F.col("bucket").alias("k"),
+    sizes = groups.select(
+        *GROUP,
         F.ceil(F.col("n_major") / BLOCK).alias("majors"),
         F.ceil(F.col("n_minor") / BLOCK).alias("minors"),
         "hub_label",
     )
-    placed = entries.join(sizes, F.col("bucket") == F.col("k")).drop("k")
+    placed = entries.join(sizes, list(GROUP))
     major = F.col("label") == F.col("hub_label")
     parts = F.when(major, F.col("majors")).otherwise(F.col("minors"))
     own = F.pmod(F.xxhash64("node"), parts)
@@ -279,19 +341,25 @@ def _blocks(entries: DataFrame, buckets: DataFrame) -> DataFrame:
         ),
     )
     dealt = F.explode(F.when(major, of_major).otherwise(of_minor))
-    return placed.withColumn("block", dealt).select("bucket", "node", "hub", "block.*")
+    return placed.withColumn("block", dealt).select(*GROUP, "node", "hub", "block.*")
 
 
 def near_components(docs: DataFrame) -> DataFrame:
-    """Rows (id, text) to (id, text_hash, n, component): see `find_near_duplicates`."""
+    """Rows (id, text) to (id, text_hash, n, component, chosen): see `find_near_duplicates`.
+
+    `chosen` marks the rows of one text of each component: that of its smallest
+    id, or of no id if it has none, and rows without words.
+    """
     signed = cut_lineage(sign(docs))
     # One row for each distinct set: its smallest id and one of its texts. The node
-    # is a number of its own, as one id may have texts of different sets.
-    worded = signed.where("n > 0 AND id IS NOT NULL")
+    # is a number of its own, as one id may have texts of different sets and some
+    # rows may have no id.
+    worded = signed.where("n > 0")
+    nameless = F.col("id").isNull()
     classes = cut_lineage(
         worded.groupBy("class", "n")
         .agg(
-            F.min(F.struct("id", "text_hash")).alias("first"),
+            F.min(F.struct(nameless.alias("nameless"), "id", "text_hash")).alias("first"),
             F.first("bands").alias("bands"),
             F.first("sketch").alias("sketch"),
         )
@@ -338,19 +406,6 @@ def near_components(docs: DataFrame) -> DataFrame:
         .join(first.withColumnRenamed("node", "k"), F.col("node") == F.col("k"), "left")
         .select("bucket", "node", "hub", F.coalesce("label", "node").alias("label"))
     )
-    hub_labels = labelled.where("node = hub").select(
-        F.col("bucket").alias("k"), F.col("label").alias("hub_label")
-    )
-    buckets = (
-        labelled.join(hub_labels, F.col("bucket") == F.col("k"))
-        .groupBy("bucket")
-        .agg(
-            F.first("hub_label").alias("hub_label"),
-            F.count_if(F.col("label") == F.col("hub_label")).alias("n_major"),
-            F.count_if(F.col("label") != F.col("hub_label")).alias("n_minor"),
-        )
-        .where("n_minor > 0")
-    )
     second = first.select(F.col("node").alias("l_node"), "label")
 
     def marked(blocks: DataFrame) -> DataFrame:
@@ -362,8 +417,8 @@ def near_components(docs: DataFrame) -> DataFrame:
             .drop("k", "l_node")
         )
 
-    entry = "bucket bigint, low bigint, high bigint, side int, hub bigint, node bigint"
-    sketched = marked(_blocks(labelled, buckets)).groupBy(*BLOCK_KEY)
+    entry = "whole boolean, grp bigint, low bigint, high bigint, side int, hub bigint, node bigint"
+    sketched = marked(_blocks(*_groups(cut_lineage(labelled)))).groupBy(*BLOCK_KEY)
     likely = cut_lineage(sketched.applyInArrow(_block_links(False), entry))
     worded = marked(likely).join(texts.withColumnRenamed("node", "k"), F.col("node") == F.col("k"))
     more = worded.drop("k").groupBy(*BLOCK_KEY).applyInArrow(_block_links(True), "a bigint, b bigint")
@@ -377,11 +432,23 @@ def near_components(docs: DataFrame) -> DataFrame:
     )
     labels = final.unionByName(alone)
     named = classes.join(labels.withColumnRenamed("node", "k"), F.col("node") == F.col("k"), "left")
-    named = named.select("class", "n", "id", F.coalesce("label", "node").alias("label"))
-    least = named.groupBy(F.col("label").alias("k")).agg(F.min("id").alias("component"))
-    named = named.join(least, F.col("label") == F.col("k")).select("class", "n", "component")
+    named = named.select(
+        "class",
+        "n",
+        F.struct(nameless.alias("nameless"), "id", "text_hash").alias("own"),
+        F.coalesce("label", "node").alias("label"),
+    )
+    least = named.groupBy(F.col("label").alias("k")).agg(F.min("own").alias("least"))
+    named = named.join(least, F.col("label") == F.col("k")).select("class", "n", "least")
+    chosen = F.col("id").eqNullSafe(F.col("least.id")) & (
+        F.col("text_hash") == F.col("least.text_hash")
+    )
     return signed.select("id", "text_hash", "n", "class").join(named, ["class", "n"], "left").select(
-        "id", "text_hash", "n", F.coalesce("component", "id").alias("component")
+        "id",
+        "text_hash",
+        "n",
+        F.when(F.col("n") > 0, F.col("least.id")).otherwise(F.col("id")).alias("component"),
+        ((F.col("n") == 0) | chosen).alias("chosen"),
     )
 
 
@@ -389,7 +456,7 @@ def _texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(node, text) of the classes' own documents, repeated rows once."""
     wanted = classes.select("node", F.col("id").alias("k"), F.col("text_hash").alias("wanted_hash"))
     keyed = docs.select("id", "text", F.xxhash64(whole(F.col("text"))).alias("text_hash"))
-    same = (F.col("id") == F.col("k")) & (F.col("text_hash") == F.col("wanted_hash"))
+    same = F.col("id").eqNullSafe(F.col("k")) & (F.col("text_hash") == F.col("wanted_hash"))
     found = keyed.join(wanted, same)
     return found.groupBy("node", "text_hash").agg(F.first("text").alias("text")).drop("text_hash")
 
@@ -411,40 +478,42 @@ def find_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
     the smallest id reachable over links, and kept says that it is the row's own.
 
     Documents without words or text link to nothing and are their own component.
-    Rows without an id take no part in links: they have no component and are
-    kept. Rows with one id are told apart by their texts, each with the component
-    of its text; repeated rows agree. Ids are whole numbers. An empty table gives
-    no rows.
+    Rows without an id are linked by their text and are kept only where no row
+    of their component has an id; then component_id is null and the rows of one
+    text of the component are kept. Rows with one id are told apart by their
+    texts, each with the component of its text; repeated rows agree. Ids are
+    whole numbers. An empty table gives no rows.
     """
     rows = docs.select(
         column(docs, doc_id).cast("long").alias("id"), column(docs, text).alias("text")
     )
-    found = near_components(rows)
-    component = F.when(F.col("id").isNotNull(), F.col("component"))
-    return found.select(
+    return near_components(rows).select(
         F.col("id").alias("doc_id"),
         F.col("n").alias("n_shingles"),
-        component.alias("component_id"),
-        F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"),
+        F.col("component").alias("component_id"),
+        F.when(F.col("id").isNull(), F.col("chosen"))
+        .otherwise(F.col("id") == F.col("component"))
+        .alias("kept"),
     )
 
 
 def keep_one_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One document of every component, the one with the smallest id, with all columns.
 
-    Of repeated rows of that document, equal in id and text, one stays. Rows
-    without an id all stay.
+    Where rows of one id and different texts are in one component, one text
+    stays, and of rows equal in id and text one. A component without any id
+    keeps one row. Rows without words all stay, but one of those of one id and text.
     """
     key, hashed = unused(docs, "near_id"), unused(docs, "near_text")
     rows = docs.select(
         column(docs, doc_id).cast("long").alias("id"), column(docs, text).alias("text")
     )
-    kept = near_components(rows).where("id = component").select(
-        F.col("id").alias(key), F.col("text_hash").alias(hashed)
-    )
+    kept = near_components(rows).where("chosen").select("id", "text_hash").distinct()
     keyed = docs.withColumn(key, column(docs, doc_id).cast("long")).withColumn(
         hashed, F.xxhash64(whole(column(docs, text)))
     )
-    one_each = keyed.join(kept, [key, hashed], "left_semi").dropDuplicates([key, hashed])
-    nameless = keyed.where(F.col(key).isNull())
-    return one_each.unionByName(nameless).select(*[column(keyed, c) for c in docs.columns])
+    blank = F.col(key).isNull() & ~whole(column(docs, text)).rlike(WORD)
+    same = F.col(key).eqNullSafe(F.col("id_")) & (F.col(hashed) == F.col("text_hash_"))
+    one_each = keyed.where(~blank).join(kept.toDF("id_", "text_hash_"), same, "left_semi")
+    one_each = one_each.dropDuplicates([key, hashed])
+    return one_each.unionByName(keyed.where(blank)).select(*[column(keyed, c) for c in docs.columns])

@@ -442,22 +442,57 @@ def test_texts_of_one_id_are_apart(spark):
     assert kept == [(0, one + " end"), (1, two), (3, "alone")]
 
 
-@pytest.mark.parametrize("block", [512, 2])
-def test_near_duplicates(spark, docs, rows, empty, monkeypatch, block):
+def test_rows_without_ids_are_linked_by_their_texts(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(120)) for c in "abc")
+    table = [(None, one)] * 3 + [(None, one + " end"), (None, two), (7, two + " x"), (8, two)]
+    table += [(None, three), (None, ""), (None, None), (None, ""), (9, None), (9, None)]
+    df = spark.createDataFrame(table, "doc_id long, text string")
+    got = [(r.doc_id, r.component_id) for r in near_dedup.find_near_duplicates(df).collect()]
+    assert Counter(got) == Counter(
+        {(None, None): 8, (None, 7): 1, (7, 7): 1, (8, 7): 1, (9, 9): 2}
+    )
+    kept = Counter((r.doc_id, (r.text or "")[:2]) for r in near_dedup.keep_one_each(df).collect())
+    assert kept == {(None, "a0"): 1, (7, "b0"): 1, (None, "c0"): 1, (None, ""): 3, (9, ""): 1}
+
+
+def test_all_links_near_the_threshold_are_found(spark):
+    """Recall on some thousand documents in groups whose similarities lie around 0.75."""
+    chance = random.Random(11)
+    table = []
+    for group in range(60):
+        base = [f"g{group % 50}w{chance.randrange(900)}" for _ in range(chance.randint(60, 160))]
+        for _ in range(chance.choice([3, 20, 60])):
+            words = list(base)
+            for _ in range(chance.randint(0, len(base) // 24)):
+                words[chance.randrange(len(words))] = f"r{chance.randrange(10**6)}"
+            table.append((len(table), " ".join(words)))
+    expected = {}
+    for group in range(50):
+        members = [(i, t) for i, t in table if t.find(f"g{group}w") >= 0]
+        expected |= plain_components(members)
+    df = spark.createDataFrame(table, "doc_id long, text string").repartition(6)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.find_near_duplicates(df).collect()}
+    assert len(table) > 1000 and len({c for _, c in expected.values()}) > 200
+    assert got == expected
+
+
+@pytest.mark.parametrize(("block", "row_cost"), [(512, 256), (2, 0), (2, 10**9), (512, -(10**9))])
+def test_near_duplicates(spark, docs, rows, empty, monkeypatch, block, row_cost):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "ROW_COST", row_cost)
     expected = plain_components(rows)
     got = near_dedup.find_near_duplicates(docs).collect()
     assert len(got) == len(rows)
     for r in got:
         if r.doc_id is None:
-            assert r.component_id is None and r.kept
+            assert r.component_id == expected[31][1] and not r.kept
         else:
             n, component = expected[r.doc_id]
             assert (r.n_shingles, r.component_id, r.kept) == (n, component, component == r.doc_id)
-    if block == 512:
+    if row_cost == 256:
         kept = near_dedup.keep_one_each(docs)
         assert kept.columns == docs.columns
-        ids = sorted(r.doc_id for r in kept.collect() if r.doc_id is not None)
+        ids = sorted(r.doc_id for r in kept.collect())
         assert ids == sorted({c for _, c in expected.values()})
         assert near_dedup.find_near_duplicates(empty).count() == 0
 
