@@ -10,9 +10,10 @@ that is asked for more than it has is repeated evenly. Seats of a source thus
 follow each other in the run, and only the documents at the two ends of what is
 taken are cut.
 
-A source whose target is under LEAST_SEATS blocks is no part of the house, as
-half a block would be too coarse for it: its seats are single words, as many as
-its target, and they are spread evenly over the mix from a seeded point on.
+A source whose target is under LEAST_SEATS blocks would be rounded too coarsely.
+All such sources share a second house of the same method whose seats are single
+words. Only the seats whose quotients are near the last one taken are ranked
+there, as all others are won or lost by arithmetic.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from passagedex.llm.common import WORD, column, unused, whole, word_count
 
 # Seats of a mix; one is a ten-thousandth of the words it takes.
 HOUSE = 10_000
-# Sources with a smaller target, in blocks of the house, get their words one by one.
+# Sources with a smaller target, in blocks of the house, are in the house of words.
 LEAST_SEATS = 100
 # Hexadecimal digits of the order that split a source into runs which are summed
 # up and sorted independently: 4,096 of them.
@@ -88,33 +89,19 @@ def source_targets(sizes: DataFrame, percent: int = 150, max_repeat: int = 2) ->
     return leveled.select("key", "source_size", target.alias("target"))
 
 
-def block_sizes(targets: DataFrame, house: int = HOUSE, max_repeat: int = 2) -> DataFrame:
-    """The targets with block_words, the words of a seat, and own_words.
-
-    own_words is what a source outside the house takes, and null for the others.
-    It is the step that the running sum of such targets makes when rounded, so it
-    is within a word of the target however small that is, and all of them
-    together are within a word of theirs.
-    """
+def block_sizes(targets: DataFrame, house: int = HOUSE) -> DataFrame:
+    """The targets with block_words, the words of a seat, and `small`, for the house of words."""
     block = F.ceil(F.sum("target").over(Window.partitionBy()) / house)
     sized = targets.withColumn("block_words", F.greatest(F.lit(1), block).cast("long"))
     # Where a block is a word, the house is as fine as can be.
     coarse = (F.col("block_words") > 1) & (F.col("target") < F.col("block_words") * LEAST_SEATS)
-    small = F.when(coarse & (F.col("target") > 0), F.col("target"))
-    upto = F.sum(F.coalesce(small, F.lit(0.0))).over(
-        Window.orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    sized = sized.withColumn("small", small).withColumn("upto", upto)
-    before = F.coalesce(F.lag("upto").over(Window.orderBy("key")), F.lit(0.0))
-    step = (F.round("upto") - F.round(before)).cast("long")
-    own = F.when(F.col("small").isNotNull(), F.least(step, F.col("source_size") * max_repeat))
-    return sized.withColumn("own_words", own).drop("small", "upto")
+    return sized.withColumn("small", coarse & (F.col("target") > 0))
 
 
 def apportion(targets: DataFrame, max_repeat: int = 2) -> DataFrame:
     """Seats of the house by highest quotient: rows (key, k, seat), seat counted from 0.
 
-    Input: see `block_sizes`; sources with own_words have no seats here. Every row
+    Input: see `block_sizes`; small sources have no seats here. Every row
     also has block_words, n_blocks, the blocks of its source, and seats, the size
     of the house. No source gets more than `max_repeat` seats for each block it
     has. Ties of quotients go to the earlier source. The one task that ranks the
@@ -122,7 +109,7 @@ def apportion(targets: DataFrame, max_repeat: int = 2) -> DataFrame:
     a word at most a hundredth of the house are sources.
     """
     every = Window.partitionBy()
-    sized = targets.where((F.col("target") > 0) & F.col("own_words").isNull()).select(
+    sized = targets.where((F.col("target") > 0) & ~F.col("small")).select(
         "key",
         "source_size",
         "target",
@@ -157,20 +144,66 @@ def _seeded(seed: int, label: str, key: Column) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
 
 
-def word_turn(words: Column, source_size: Column, seed: int, shards: int) -> Column:
-    """The turn of a source that takes so many words one by one; null for none.
+def apportion_words(targets: DataFrame, shards: int, max_repeat: int = 2) -> DataFrame:
+    """Seats of small sources in a house of single words: rows (key, words, quotas).
 
-    Word k is at the place (k + u) / words of the mix, with a seeded u below 1, so
-    that sources of a word or two do not all meet in one shard.
+    The house of the first s shards has round(total * s / shards) seats, and as a
+    larger house only adds seats, quotas are the differences between these.
+    Sainte-Laguë seats lie within a rounding of every source's share, scaled by
+    what all roundings and caps together may shift: up to 2 for each of the n
+    sources. Seats below that range are won, those above lost, and the contested
+    ones between, some 7 per source and shard, are ranked by their quotients.
     """
-    u = _seeded(seed, "place:", F.col("key")) / 2**32
-    below = lambda shard: F.ceil(words * shard / shards - u)
-    quotas = F.transform(
-        F.sequence(F.lit(0), F.lit(shards - 1)),
-        lambda shard: F.struct(
-            shard.alias("shard"), (below(shard + 1) - below(shard)).cast("long").alias("n")
-        ),
+    every = Window.partitionBy()
+    small = targets.where("small").select(
+        "key",
+        "target",
+        (F.col("source_size") * max_repeat).alias("most"),
+        F.sum("target").over(every).alias("total"),
+        F.count(F.lit(1)).over(every).alias("n_sources"),
+    )
+    upto = small.withColumn("upto", F.explode(F.sequence(F.lit(1), F.lit(shards))))
+    share = F.col("target") * F.col("upto") / shards
+    margin = F.col("target") / F.col("total") * (F.col("n_sources") * 2 + 2) + 2
+    high = F.least(F.floor(share + margin), F.col("most"))
+    ranged = upto.select(
+        "key",
+        "target",
+        "upto",
+        F.round(F.col("total") * F.col("upto") / shards).cast("long").alias("house"),
+        F.greatest(F.lit(0).cast("long"), F.least(F.ceil(share - margin), high)).alias("won"),
+        high.alias("high"),
+    )
+    house = Window.partitionBy("upto")
+    contested = ranged.withColumn("open", F.col("house") - F.sum("won").over(house)).select(
+        "key",
+        "target",
+        "upto",
+        "won",
+        "open",
+        F.explode(F.sequence(F.col("won"), F.greatest("won", "high"))).alias("k"),
+        "high",
+    )
+    highest = house.orderBy(
+        (F.col("k") >= F.col("high")).asc(), (F.col("target") / (F.col("k") * 2 + 1)).desc(), "key", "k"
+    )
+    taken = (F.row_number().over(highest) <= F.col("open")) & (F.col("k") < F.col("high"))
+    seats = (
+        contested.withColumn("taken", taken)
+        .groupBy("key", "upto")
+        .agg((F.first("won") + F.count_if("taken")).alias("seats"))
     )
+    before = F.coalesce(F.lag("seats").over(Window.partitionBy("key").orderBy("upto")), F.lit(0))
+    quota = F.struct((F.col("upto") - 1).alias("shard"), (F.col("seats") - before).alias("n"))
+    return (
+        seats.withColumn("quota", quota)
+        .groupBy("key")
+        .agg(F.max("seats").alias("words"), F.sort_array(F.collect_list("quota")).alias("quotas"))
+    )
+
+
+def word_turn(words: Column, quotas: Column, source_size: Column, seed: int) -> Column:
+    """The turn of a source whose blocks are single words; null if it takes none."""
     turn = F.struct(
         F.lit(1).cast("long").alias("block_words"),
         source_size.alias("n_blocks"),
@@ -312,9 +345,10 @@ def plan_mix(
     )
     sources = runs.groupBy("key").agg(F.sum("run_words").alias("source_size"))
     targets = source_targets(weights(sources), percent, max_repeat)
-    targets = block_sizes(targets, house, max_repeat)
+    targets = block_sizes(targets, house)
     turns = source_turns(apportion(targets, max_repeat), seed, shards)
-    by_words = word_turn(F.col("own_words"), F.col("source_size"), seed, shards)
+    small = apportion_words(targets, shards, max_repeat)
+    by_words = word_turn(F.col("words"), F.col("quotas"), F.col("source_size"), seed)
 
     # Each run of a source begins where the runs before it end.
     earlier = Window.partitionBy("key").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
@@ -322,6 +356,7 @@ def plan_mix(
         runs.withColumn("begin", F.coalesce(F.sum("run_words").over(earlier), F.lit(0)))
         .join(targets, "key")
         .join(turns, "key", "left")
+        .join(small, "key", "left")
         .select(
             F.col("key").alias("begin_key"),
             F.col("run").alias("begin_run"),
@@ -353,14 +388,16 @@ def plan_mix(
     )
 
 
-def mix_sources(docs: DataFrame, *, text: str = "text", **settings) -> DataFrame:
+def mix_sources(
+    docs: DataFrame, *, text: str = "text", shard: str = "mix_shard", **settings
+) -> DataFrame:
     """The mix itself: a row for every taken piece of a document, with its columns and
-    `mix_shard`, the shard of the mix it goes to; the house is cut into `shards`
+    a column `shard`, the shard of the mix it goes to, in place of any of that name; the house is cut into `shards`
     equal parts in the order of its seats, and a piece goes where its first word
     goes. A cut document's text is the words taken with the white space that
     follows them; other texts stay as they are. Settings as for `plan_mix`.
     """
-    docs, own = docs.drop("mix_shard"), unused(docs, "mix")
+    docs, own = docs.drop(shard), unused(docs, "mix")
     names = [own if c == "mix" else c for c in docs.columns]
     piece, mix = unused(docs, "piece"), F.col("mix")
     taken = plan_mix(docs.withColumnRenamed("mix", own), text=text, **settings).withColumn(piece, F.explode("mix.pieces"))
@@ -369,12 +406,12 @@ def mix_sources(docs: DataFrame, *, text: str = "text", **settings) -> DataFrame
     part = F.array_join(F.slice(words, (first + 1).cast("int"), (stop - first).cast("int")), "")
     uncut = (first == 0) & (stop == mix["size"])
     shown = F.when(uncut, column(taken, text)).otherwise(part)
-    shard = _shard_of(mix["turn"], F.col(piece)["lap"], mix["start"] + first)
+    goes_to = _shard_of(mix["turn"], F.col(piece)["lap"], mix["start"] + first)
     pieces = taken.select(
         *[
             (shown if c == text else column(taken, n)).alias(n)
             for c, n in zip(docs.columns, names, strict=True)
         ],
-        shard.alias("mix_shard"),
+        goes_to.alias(shard),
     )
     return pieces.withColumnRenamed(own, "mix") if own in names else pieces

@@ -132,18 +132,23 @@ WITH d AS (
          ELSE least(weight * l.level, (source_size * 2)::DOUBLE) END AS target
   FROM sources, level l
 ), house AS (
-  SELECT greatest(1, ceil(sum(target) / 10000))::BIGINT AS block_words, sum(target) AS total FROM targets
-), sized AS (
-  SELECT key, target, block_words, ceil(source_size / block_words)::BIGINT AS n_blocks,
-         round(total / block_words)::BIGINT AS seats
+  SELECT greatest(1, ceil(sum(target) / 10000))::BIGINT AS block FROM targets
+), dealt AS (
+  SELECT key, source_size, target, block > 1 AND target < block * 100 AS small,
+         CASE WHEN block > 1 AND target < block * 100 THEN 1 ELSE block END AS block_words
   FROM targets, house WHERE target > 0
+), sized AS (
+  SELECT key, target, block_words, small, ceil(source_size / block_words)::BIGINT AS n_blocks,
+         round(sum(target) OVER (PARTITION BY small) / block_words)::BIGINT AS seats
+  FROM dealt
 ), quotients AS (
-  SELECT key, n_blocks, seats, k, row_number() OVER (ORDER BY target / (k * 2 + 1) DESC, key, k) - 1 AS seat
+  SELECT key, n_blocks, block_words, seats, k,
+         row_number() OVER (PARTITION BY small ORDER BY target / (k * 2 + 1) DESC, key, k) - 1 AS seat
   FROM (SELECT *, unnest(range(0, n_blocks * 2)) AS k FROM sized)
 ), turns AS (
-  SELECT key, n_blocks, ('0x' || substr(md5('17:' || key), 1, 8))::BIGINT % n_blocks AS entry,
+  SELECT key, n_blocks, block_words, ('0x' || substr(md5('17:' || key), 1, 8))::BIGINT % n_blocks AS entry,
          count(*) // n_blocks AS laps, count(*) % n_blocks AS rest
-  FROM quotients WHERE seat < seats GROUP BY key, n_blocks
+  FROM quotients WHERE seat < seats GROUP BY key, n_blocks, block_words
 ), placed AS (
   SELECT *, sum(size) OVER (PARTITION BY key ORDER BY o, rid) - size AS start FROM d
 )
@@ -151,7 +156,7 @@ SELECT doc_id, size, source_size, target,
        (coalesce(size * laps
         + greatest(0, least(start + size, least((entry + rest) * block_words, source_size)) - greatest(start, entry * block_words))
         + greatest(0, least(start + size, (entry + rest - n_blocks) * block_words) - start), 0))::BIGINT AS taken
-FROM placed JOIN targets USING (key) LEFT JOIN turns USING (key), house
+FROM placed JOIN targets USING (key) LEFT JOIN turns USING (key)
 """
 
 TOOL_CALLS = r"""

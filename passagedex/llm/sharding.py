@@ -175,6 +175,7 @@ def shard_documents(
     capacity: int | None = None,
     text: str = "text",
     doc_id: str = "doc_id",
+    place: str = "place",
 ) -> DataFrame:
     """The table with one more column `place`: struct(size, shard, slot).
 
@@ -182,9 +183,9 @@ def shard_documents(
     group, null among the empty ones, and share a shard however many they are.
     Slots number the rows of a shard from 0 without gaps, in a scattered order
     that depends on ids and texts only; rows equal in both are numbered in turn.
-    An input column `place` is replaced. An empty table stays empty.
+    An input column of that name is replaced. An empty table stays empty.
     """
-    docs = docs.drop("place")
+    docs = docs.drop(place)
     key, size, order, part, shard = (
         unused(docs, k) for k in ("key", "size", "order", "part", "shard")
     )
@@ -203,10 +204,10 @@ def shard_documents(
     placed = placed.withColumn(order, scattered).withColumn(
         part, F.pmod(F.col(order), F.lit(NUMBERED_PARTS)).cast("int")
     )
-    return _numbered(placed, docs, key, size, order, part, shard)
+    return _numbered(placed, docs, key, size, order, part, shard, place)
 
 
-def _numbered(placed, docs, key, size, order, part, shard) -> DataFrame:
+def _numbered(placed, docs, key, size, order, part, shard, into) -> DataFrame:
     """Gapless slots without one task per shard: parts are counted, then numbered by themselves."""
     parts = placed.groupBy(F.col(shard).alias("shard"), F.col(part).alias("part")).agg(
         F.count(F.lit(1)).alias("rows")
@@ -223,4 +224,4 @@ def _numbered(placed, docs, key, size, order, part, shard) -> DataFrame:
     place = F.struct(
         F.col(size).alias("size"), F.col(shard).alias("shard"), slot.cast("long").alias("slot")
     )
-    return numbered.select(*[column(docs, c) for c in docs.columns], place.alias("place"))
+    return numbered.select(*[column(docs, c) for c in docs.columns], place.alias(into))
