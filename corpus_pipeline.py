@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passagedex.llm.common import column, unused
 from passagedex.llm.decontaminate import drop_contaminated
 from passagedex.llm.line_quality import clean_lines
 from passagedex.llm.mixing import mix_sources
@@ -44,13 +45,26 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are taken to their target weights; repeated documents are repeated rows."""
-    return _recounted(mix_sources(docs).drop("mix_shard"))
+    shard = unused(docs, "mix_shard")
+    return _recounted(mix_sources(docs, shard=shard).drop(shard))
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row gets its shard, of eight of nearly equal bytes, and its slot there."""
-    placed = shard_documents(docs, n_shards=N_SHARDS)
-    return placed.select(*docs.columns, "place.size", "place.shard", "place.slot")
+    """Every row gets its shard, of eight of nearly equal bytes, and its slot there.
+
+    Where documents have a column of such a name already, it stays, and the new
+    one has a number after its name.
+    """
+    place = unused(docs, "place")
+    placed = shard_documents(docs, n_shards=N_SHARDS, place=place)
+    taken = {c.lower() for c in docs.columns}
+
+    def free(name: str) -> str:
+        numbered = (f"{name}_{i}" for i in range(1, len(taken) + 2))
+        return next(n for n in (name, *numbered) if n not in taken)
+
+    made = [F.col(place)[c].alias(free(c)) for c in ("size", "shard", "slot")]
+    return placed.select(*[column(docs, c) for c in docs.columns], *made)
 
 
 STAGES = [
