@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passagedex.sources.storage import fresh_folder
+
 # White space that separates words, and the characters of a word.
 BLANKS = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -37,3 +39,28 @@ def word_list(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     return F.size(word_list(text)).cast("long")
+
+
+class Scratch:
+    """Compressed tables of one job in the shared folder; each is removed when it is done with.
+
+    A kept table is read again and never computed again, so lost executors cost
+    nothing that was kept. A table may be dropped once all that reads it is kept.
+    """
+
+    def __init__(self, spark: SparkSession, label: str) -> None:
+        self._spark, self._folder = spark, fresh_folder(spark, label)
+        self._paths: dict[int, str] = {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{self._folder}/{len(self._paths)}"
+        df.write.option("compression", "zstd").parquet(path)
+        table = self._spark.read.schema(df.schema).parquet(path)
+        self._paths[id(table)] = path
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            path = self._spark._jvm.org.apache.hadoop.fs.Path(self._paths[id(table)])
+            system = path.getFileSystem(self._spark.sparkContext._jsc.hadoopConfiguration())
+            system.delete(path, True)

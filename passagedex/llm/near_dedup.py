@@ -26,9 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from passagedex.llm.common import WORD, column, unused, whole
+from passagedex.llm.common import WORD, Scratch, column, unused, whole
 from passagedex.llm.shingles import mix, shingle_set
-from passagedex.session import cut_lineage
 
 WIDTH = 5
 PERCENT = 75
@@ -144,16 +143,17 @@ def plausible(n: Column, sketch: Column, other_n: Column, other_sketch: Column)
     return sizes & (differing <= MOST_DIFFERENT)
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, tables: Scratch | None = None) -> DataFrame:
     """Connected components of links (a, b): rows (node, label), label the least node.
 
     Nodes take the least label among their neighbours, then the label of their
     label, until nothing changes; the rounds grow with the logarithm of the
-    longest chain. Each round is written to the checkpoint folder.
+    longest chain. Each round is a table of its own, and the one before goes.
     """
+    tables = tables or Scratch(links.sparkSession, "components")
     both = links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).where("a != b")
-    edges = cut_lineage(both.distinct())
-    labels = cut_lineage(
+    edges = tables.keep(both.distinct())
+    labels = tables.keep(
         edges.groupBy("a").agg(F.min("b").alias("m")).select(
             F.col("a").alias("node"), F.least("a", "m").alias("label")
         )
@@ -171,10 +171,12 @@ def components(links: DataFrame) -> DataFrame:
         jumped = lower.join(up, lower["label"] == up["up"], "left").select(
             "node", "old", F.least("label", F.coalesce("up_label", "label")).alias("label")
         )
-        jumped = cut_lineage(jumped)
-        labels = jumped.select("node", "label")
-        if jumped.where("label != old").isEmpty():
-            return labels
+        jumped = tables.keep(jumped)
+        tables.drop(labels)
+        labels = jumped
+        if labels.where("label != old").isEmpty():
+            tables.drop(edges)
+            return labels.select("node", "label")
 
 
 def _block_links(with_text: bool):
@@ -255,7 +257,7 @@ GROUP = ("whole", "grp")
 BLOCK_KEY = (*GROUP, "low", "high")
 
 
-def _groups(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _groups(labelled: DataFrame, tables: Scratch) -> tuple[DataFrame, DataFrame]:
     """Members (whole, grp, node, hub, label) of the groups to compare, and the groups.
 
     `labelled` has members (bucket, node, hub, label). Open buckets are taken
@@ -268,7 +270,7 @@ def _groups(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     major = F.count_if(F.col("label") == F.col("hub_label")).alias("n_major")
     minor = F.count_if(F.col("label") != F.col("hub_label")).alias("n_minor")
-    buckets = cut_lineage(
+    buckets = tables.keep(
         labelled.join(hub_labels, F.col("bucket") == F.col("k"))
         .groupBy("bucket")
         .agg(F.first("hub_label").alias("hub_label"), major, minor)
@@ -279,11 +281,11 @@ def _groups(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
         + (F.col("n_major") + F.col("n_minor")) * ROW_COST
     )
     renamed = buckets.select(F.col("bucket").alias("k"), "hub_label")
-    members = cut_lineage(labelled.join(renamed, F.col("bucket") == F.col("k")).drop("k"))
+    members = tables.keep(labelled.join(renamed, F.col("bucket") == F.col("k")).drop("k"))
     listed = members.groupBy("hub_label", "node").agg(F.first("label").alias("label"))
     components = listed.groupBy("hub_label").agg(major, minor).withColumn("work", work)
     split = buckets.groupBy("hub_label").agg(F.sum(work).alias("split_work"))
-    chosen = cut_lineage(
+    chosen = tables.keep(
         components.join(split, "hub_label").withColumn("whole", F.col("work") <= F.col("split_work"))
     )
     wholes, splits = chosen.where("whole"), chosen.where("NOT whole")
@@ -350,13 +352,14 @@ def near_components(docs: DataFrame) -> DataFrame:
     `chosen` marks the rows of one text of each component: that of its smallest
     id, or of no id if it has none, and rows without words.
     """
-    signed = cut_lineage(sign(docs))
+    tables = Scratch(docs.sparkSession, "near-duplicates")
+    signed = tables.keep(sign(docs))
     # One row for each distinct set: its smallest id and one of its texts. The node
     # is a number of its own, as one id may have texts of different sets and some
     # rows may have no id.
     worded = signed.where("n > 0")
     nameless = F.col("id").isNull()
-    classes = cut_lineage(
+    classes = tables.keep(
         worded.groupBy("class", "n")
         .agg(
             F.min(F.struct(nameless.alias("nameless"), "id", "text_hash")).alias("first"),
@@ -373,13 +376,15 @@ def near_components(docs: DataFrame) -> DataFrame:
             "sketch",
         )
     )
+    narrow = tables.keep(signed.select("id", "text_hash", "n", "class"))
+    tables.drop(signed)
     entries = classes.select("node", F.explode("bands").alias("bucket"))
     hubs = (
         entries.groupBy("bucket")
         .agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("size"))
         .where("size > 1")
     )
-    shared = cut_lineage(entries.join(hubs, "bucket"))
+    shared = tables.keep(entries.join(hubs, "bucket"))
 
     marks = classes.select("node", "n", "sketch", "bands")
     left, right = (
@@ -393,12 +398,13 @@ def near_components(docs: DataFrame) -> DataFrame:
         .where(plausible(*(F.col(c) for c in ("n_a", "sketch_a", "n_b", "sketch_b"))))
         .select(F.col("node").alias("a"), F.col("hub").alias("b"))
     )
-    stars = cut_lineage(stars)
+    stars = tables.keep(stars)
     in_buckets = shared.select("node").distinct()
-    texts = cut_lineage(_texts(docs, classes.join(in_buckets, "node", "left_semi")))
+    texts = tables.keep(_texts(docs, classes.join(in_buckets, "node", "left_semi")))
     pairs = stars.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     pairs = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    first = components(pairs.where(confirmed("text_a", "text_b")).select("a", "b"))
+    first = components(pairs.where(confirmed("text_a", "text_b")).select("a", "b"), tables)
+    tables.drop(stars)
 
     # Buckets that the stars did not join, and that have more than a star's pairs.
     labelled = (
@@ -418,12 +424,17 @@ def near_components(docs: DataFrame) -> DataFrame:
         )
 
     entry = "whole boolean, grp bigint, low bigint, high bigint, side int, hub bigint, node bigint"
-    sketched = marked(_blocks(*_groups(cut_lineage(labelled)))).groupBy(*BLOCK_KEY)
-    likely = cut_lineage(sketched.applyInArrow(_block_links(False), entry))
+    labelled = tables.keep(labelled)
+    tables.drop(shared)
+    sketched = marked(_blocks(*_groups(labelled, tables))).groupBy(*BLOCK_KEY)
+    likely = tables.keep(sketched.applyInArrow(_block_links(False), entry))
+    tables.drop(labelled)
     worded = marked(likely).join(texts.withColumnRenamed("node", "k"), F.col("node") == F.col("k"))
     more = worded.drop("k").groupBy(*BLOCK_KEY).applyInArrow(_block_links(True), "a bigint, b bigint")
-    renamed = _relabelled(cut_lineage(more), first)
-    joined = components(renamed).withColumnRenamed("node", "k").withColumnRenamed("label", "to")
+    more = tables.keep(more)
+    tables.drop(texts, likely)
+    joined = components(_relabelled(more, first), tables)
+    joined = joined.withColumnRenamed("node", "k").withColumnRenamed("label", "to")
     final = first.join(joined, F.col("label") == F.col("k"), "left").select(
         "node", F.coalesce("to", "label").alias("label")
     )
@@ -440,10 +451,12 @@ def near_components(docs: DataFrame) -> DataFrame:
     )
     least = named.groupBy(F.col("label").alias("k")).agg(F.min("own").alias("least"))
     named = named.join(least, F.col("label") == F.col("k")).select("class", "n", "least")
+    named = tables.keep(named)
+    tables.drop(classes, more)
     chosen = F.col("id").eqNullSafe(F.col("least.id")) & (
         F.col("text_hash") == F.col("least.text_hash")
     )
-    return signed.select("id", "text_hash", "n", "class").join(named, ["class", "n"], "left").select(
+    return narrow.join(named, ["class", "n"], "left").select(
         "id",
         "text_hash",
         "n",
