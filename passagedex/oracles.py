@@ -216,6 +216,11 @@ ORACLES: dict[str, str] = {
         SELECT CAST(CASE WHEN lang = 'en' THEN 0 ELSE 1 END AS INTEGER) AS batch_id,
                count(*) AS n_passages
         FROM p GROUP BY 1""",
+    "quarantine_damaged_files": f"""WITH {PASSAGES}
+        SELECT CAST(CASE WHEN lang = 'fr' THEN 1 ELSE 0 END AS INTEGER) AS batch_id,
+               count(*) AS n_passages,
+               CAST(CASE WHEN lang = 'fr' THEN 0 ELSE 1 END AS BIGINT) AS n_damaged
+        FROM p GROUP BY 1, 3""",
     "new_files_anti": """
         SELECT DISTINCT 'second/source=' || source AS rel_dir FROM documents WHERE lang <> 'en'""",
     "l2_distance": f"""

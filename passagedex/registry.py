@@ -387,6 +387,35 @@ def incremental_files(spark, sf_dir):
     return ingest.progress(index)
 
 
+@registered
+def quarantine_damaged_files(spark, sf_dir):
+    """A dump whose French file is cut in half, and a restart once a whole one is there."""
+    docs = adapters.documents(spark, sf_dir)
+    french = F.col("lang") == "fr"
+    folder, path = storage.fresh_folder(spark, "damaged"), storage.fresh_folder(spark, "streamed")
+    apart = storage.fresh_folder(spark, "whole")
+    _write_lines(docs.where(french).coalesce(1), apart)
+    _write_lines(docs.where(~french), f"{folder}/sound")
+    compressed = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", A.LINES_GLOB)
+        .load(apart)
+        .orderBy(F.desc("length"), "path")
+        .first()["content"]
+    )
+    storage.save_bytes(spark, f"{folder}/french.bz2", compressed[: len(compressed) // 2])
+    ingest.ingest_folder(spark, folder, path)
+    _write_lines(docs.where(french), f"{folder}/french")
+    index = ingest.ingest_folder(spark, folder, path)
+    broken = ingest.damaged(index).groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_damaged"))
+    return (
+        ingest.progress(index)
+        .join(broken, "batch_id", "left")
+        .select("batch_id", "n_passages", F.coalesce("n_damaged", F.lit(0)).alias("n_damaged"))
+    )
+
+
 @registered
 def new_files_anti(spark, sf_dir):
     seen: dict[str, DataFrame] = {}

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import bz2
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +16,9 @@ from passagedex.sources.storage import plain_path, require
 LINES_GLOB = "*.bz2"
 ARRAY_GLOB = "*.json"
 
+# Compressed bytes that the probe of a file reads at a time.
+PROBE_BYTES = 1 << 16
+
 
 def _configure(reader, glob: str, multi_line: bool):
     return (
@@ -64,7 +72,7 @@ def stream_articles(
     multi_line: bool = False,
     max_files_per_batch: int | None = None,
 ) -> DataFrame:
-    """The same rows as a stream of newly arrived files."""
+    """The same rows as a stream of newly arrived files; a damaged file ends it."""
     require(spark, folder, "article folder")
     reader = _configure(spark.readStream, glob, multi_line)
     if max_files_per_batch:
@@ -72,6 +80,85 @@ def stream_articles(
     return _with_source(reader.json(folder), plain_path(spark, folder))
 
 
+def read_articles_of(
+    spark: SparkSession, folder: str, paths: list[str], glob: str, multi_line: bool
+) -> DataFrame:
+    """The articles of some files of a folder; no files give no rows."""
+    if not paths:
+        columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ARTICLE_FILE)
+        return spark.createDataFrame([], f"rel_path string, rel_dir string, {columns}")
+    raw = _configure(spark.read, glob, multi_line).json([_literal(p) for p in paths])
+    return _with_source(raw, plain_path(spark, folder))
+
+
+def _literal(path: str) -> str:
+    """A path none of whose characters is taken for a pattern."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", path)
+
+
+def stream_files(
+    spark: SparkSession,
+    folder: str,
+    glob: str = LINES_GLOB,
+    max_files_per_batch: int | None = None,
+) -> DataFrame:
+    """(path, rel_path, length) of newly arrived files as a stream; contents are not read."""
+    require(spark, folder, "article folder")
+    reader = (
+        spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length bigint, content binary")
+        .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", glob)
+    )
+    if max_files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_batch)
+    rel_path = _relative_path(plain_path(spark, folder))
+    return reader.load(folder).select("path", rel_path.alias("rel_path"), "length")
+
+
+def damaged_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, error) of the files that cannot be decompressed to their end.
+
+    Each file is decompressed by one task, part by part, and nothing is kept.
+    """
+    found = spark.read.format("binaryFile").load([_literal(p) for p in paths])
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            errors = [
+                _fault(path, content.as_py())
+                for path, content in zip(
+                    batch["path"].to_pylist(), batch["content"], strict=True
+                )
+            ]
+            named = pa.RecordBatch.from_arrays(
+                [batch["path"], pa.array(errors, pa.string())], names=["path", "error"]
+            )
+            yield named.filter(named["error"].is_valid())
+
+    return found.select("path", "content").mapInArrow(probe, "path string, error string")
+
+
+def _fault(path: str, content: bytes) -> str | None:
+    """What is wrong with a compressed file, if anything."""
+    if not path.endswith(".bz2"):
+        return None
+    at, stream = 0, None
+    try:
+        while at < len(content):
+            stream = stream or bz2.BZ2Decompressor()
+            part = content[at : at + PROBE_BYTES]
+            stream.decompress(part)
+            at += len(part)
+            if stream.eof:
+                # Another stream may follow, from what this one has left unused.
+                at -= len(stream.unused_data)
+                stream = None
+    except OSError as error:
+        return str(error)
+    return None if stream is None else "the file ends within its data"
+
+
 def list_files(spark: SparkSession, folder: str, glob: str) -> DataFrame:
     """Paths and sizes of matching files; contents are not read."""
     require(spark, folder, "article folder")

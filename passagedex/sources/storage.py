@@ -94,6 +94,14 @@ def load_json(spark: SparkSession, path: str) -> dict:
     return json.loads(text)
 
 
+def save_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    """A small file of given bytes."""
+    system, target = _locate(spark, path)
+    stream = system.create(target, True)
+    stream.write(bytearray(content))
+    stream.close()
+
+
 def total_bytes(spark: SparkSession, path: str) -> int:
     system, location = _locate(spark, path)
     return system.getContentSummary(location).getLength()

@@ -67,3 +67,35 @@ def test_each_batch_can_be_published(spark, tmp_path):
     assert index.version == 3 and index.document_count() == 6
     assert index.records(index.search_one("word2", 1)).first()["metadata"]["id"] == "2"
     assert index.statistics().first()["average_document_length"] == 2.0
+
+
+def test_damaged_files_are_set_aside_and_end_nothing(spark, tmp_path):
+    source, path = tmp_path / "in", str(tmp_path / "ix")
+    put(source / "a", "1.bz2", [article(1)])
+    put(source / "a", "cut.bz2", [article(n) for n in range(100, 400)])
+    whole = (source / "a" / "cut.bz2").read_bytes()
+    (source / "a" / "cut.bz2").write_bytes(whole[: len(whole) // 2])
+    (source / "a" / "junk [x].bz2").write_bytes(b"not compressed at all")
+    put(source / "b", "none.bz2", [])
+    (source / "b" / "two.bz2").write_bytes(
+        b"".join(bz2.compress((json.dumps(article(n)) + "\n").encode()) for n in (2, 3))
+    )
+    index = ingest.ingest_folder(spark, str(source), path)
+    assert index.document_count() == 6
+    assert {r["rel_path"] for r in ingest.damaged(index).collect()} == {"a/cut.bz2", "a/junk [x].bz2"}
+    assert ingest.taken_files(index).count() == 5
+    assert "b/none.bz2" in {r["rel_path"] for r in ingest.processed_files(index).collect()}
+
+    (source / "a" / "whole.bz2").write_bytes(whole)
+    index = ingest.ingest_folder(spark, str(source), path)
+    assert index.document_count() == 6 + 600
+    assert ingest.taken_files(index).where("batch_id = 1").count() == 1
+    assert ingest.ingest_folder(spark, str(source), path).version == index.version
+
+
+def test_a_folder_of_damaged_files_gives_an_empty_index(spark, tmp_path):
+    source, path = tmp_path / "in", str(tmp_path / "ix")
+    source.mkdir()
+    (source / "1.bz2").write_bytes(b"BZh9 nothing")
+    index = ingest.ingest_folder(spark, str(source), path)
+    assert index.document_count() == 0 and ingest.damaged(index).count() == 1
