@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import tempfile
+import time
 import uuid
 
 from py4j.protocol import Py4JJavaError
@@ -87,10 +88,15 @@ def create_json(spark: SparkSession, path: str, values: dict) -> bool:
 
 
 def load_json(spark: SparkSession, path: str) -> dict:
+    """A small file of settings; one that is being created is waited for."""
     system, location = _locate(spark, path)
-    stream = system.open(location)
-    text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-    stream.close()
+    for attempt in range(50):
+        stream = system.open(location)
+        text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        if text:
+            break
+        time.sleep(0.02 * (attempt + 1))
     return json.loads(text)
 
 

@@ -231,3 +231,29 @@ def test_writers_never_share_a_batch_number(spark, tmp_path):
     numbers.append(second.claim_batch("two"))
     assert numbers == [0, 1]
     assert [first.claim_batch("one"), second.claim_batch("two")] == numbers
+
+
+@pytest.mark.parametrize("before", ["_take_version", "_publish_batches", "_terms"])
+def test_a_writer_publishing_inside_another_publish_loses_nothing(spark, tmp_path, monkeypatch, before):
+    path = str(tmp_path / "ix")
+
+    def batch(name):
+        return passages(spark, [f"only {name}"], name)
+
+    build_index(spark, batch("zero"), path)
+    one, two = open_index(spark, path), open_index(spark, path)
+    inner = getattr(lexical.LexicalIndex, before)
+    pending = [batch("two")]
+
+    def interrupted(self, *args):
+        if self is one and pending:
+            two.append(pending.pop())
+        return inner(self, *args)
+
+    monkeypatch.setattr(lexical.LexicalIndex, before, interrupted)
+    one.append(batch("one"))
+    last = open_index(spark, path)
+    assert last.document_count() == 3 and last.corpus["n_terms"] == 4
+    for name in ("zero", "one", "two"):
+        best = last.records(last.search_one(name, 1)).first()
+        assert best["document"] == f"only {name}"
