@@ -8,6 +8,7 @@ so a model is loaded where it is used and never shipped from the driver.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 
@@ -19,6 +20,32 @@ def masked_mean(hidden: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return total / np.maximum(weight.sum(axis=1), 1.0)
 
 
+def pooled(
+    model: Callable[[], Callable[[list[str], int], tuple[np.ndarray, np.ndarray]]],
+    max_tokens: int = 512,
+) -> Callable[[], Callable[[list[str]], np.ndarray]]:
+    """An encoder from a model of tokens: the mean of a text's token vectors.
+
+    The model is made once per task and turns texts and a limit of tokens into
+    (hidden, mask) of the batch. What lies beyond the limit is cut here if the
+    model has not done so, and padding is never counted, so a text's vector does
+    not depend on its batch.
+    """
+    if max_tokens < 1:
+        raise ValueError(f"max_tokens must be at least 1, got {max_tokens}")
+
+    def make() -> Callable[[list[str]], np.ndarray]:
+        tokens_of = model()
+
+        def encode(texts: list[str]) -> np.ndarray:
+            hidden, mask = tokens_of(texts, max_tokens)
+            return masked_mean(hidden[:, :max_tokens], mask[:, :max_tokens])
+
+        return encode
+
+    return make
+
+
 class HashedWords:
     """Model-free encoder: each word's MD5 digits are its vector, texts average them.
 

@@ -26,7 +26,8 @@ def embed(
 ) -> DataFrame:
     """(key, embedding) for a column of texts or word lists.
 
-    The encoder is made once per task and fed `batch_size` whole texts at a time.
+    The encoder is made once per task and fed `batch_size` whole texts at a time,
+    texts of like length together, so that a model pads little.
     """
     schema = T.StructType(
         [df.schema[key], T.StructField("embedding", T.ArrayType(T.FloatType()))]
@@ -36,11 +37,13 @@ def embed(
         encode = encoder()
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            rows = [
-                row
-                for at in range(0, len(texts), batch_size)
-                for row in np.asarray(encode(texts[at : at + batch_size]), dtype="float32")
-            ]
+            by_length = sorted(range(len(texts)), key=lambda i: len(texts[i] or ""))
+            rows: list = [None] * len(texts)
+            for at in range(0, len(texts), batch_size):
+                places = by_length[at : at + batch_size]
+                made = np.asarray(encode([texts[i] for i in places]), dtype="float32")
+                for place, row in zip(places, made, strict=True):
+                    rows[place] = row
             vectors = pa.array(rows, type=pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), vectors], names=[key, "embedding"])
 

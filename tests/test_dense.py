@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from passagedex.functions.encoders import HashedWords, masked_mean
+from passagedex.functions.encoders import HashedWords, masked_mean, pooled
 from passagedex.operators import neighbours
 from passagedex.operators.embedding import embed, mean_pool
 from passagedex.operators.neighbours import nearest
@@ -121,3 +121,31 @@ def test_ragged_vectors_are_refused(spark, tmp_path):
     df = spark.createDataFrame(rows, schema)
     with pytest.raises(ValueError):
         save_vectors(df, df, str(tmp_path / "v"))
+
+
+def letters_model():
+    """A model of tokens whose vectors are (letter, 1); it pads with nonsense and cuts nothing."""
+
+    def tokens_of(texts, max_tokens):
+        width = max(map(len, texts), default=0) + 2
+        hidden, mask = np.full((len(texts), width, 2), 99.0), np.zeros((len(texts), width), dtype=int)
+        for row, text in enumerate(texts):
+            mask[row, : len(text)] = 1
+            hidden[row, : len(text)] = [(ord(c), 1.0) for c in text] or np.empty((0, 2))
+        return hidden, mask
+
+    return tokens_of
+
+
+def test_pooled_vectors_are_cut_and_do_not_depend_on_batches(spark):
+    texts = ["", "a", "abcdef" * 3, "zz", "abc", "b" * 50] * 7
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    for batch_size in (1, 3, 64):
+        made = embed(df, "id", "text", pooled(letters_model, 4), batch_size=batch_size).collect()
+        assert len(made) == len(texts)
+        for row in made:
+            codes = [ord(c) for c in texts[row["id"]][:4]]
+            want = [sum(codes) / len(codes), 1.0] if codes else [0.0, 0.0]
+            assert row["embedding"] == pytest.approx(want)
+    with pytest.raises(ValueError, match="max_tokens"):
+        pooled(letters_model, 0)
