@@ -50,17 +50,18 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str) -> None:
         self._spark, self._folder = spark, fresh_folder(spark, label)
-        self._paths: dict[int, str] = {}
+        # The tables are held as well, so that no other object gets the id of one.
+        self._kept: dict[int, tuple[DataFrame, str]] = {}
 
     def keep(self, df: DataFrame) -> DataFrame:
-        path = f"{self._folder}/{len(self._paths)}"
+        path = f"{self._folder}/{len(self._kept)}"
         df.write.option("compression", "zstd").parquet(path)
         table = self._spark.read.schema(df.schema).parquet(path)
-        self._paths[id(table)] = path
+        self._kept[id(table)] = (table, path)
         return table
 
     def drop(self, *tables: DataFrame) -> None:
         for table in tables:
-            path = self._spark._jvm.org.apache.hadoop.fs.Path(self._paths[id(table)])
+            path = self._spark._jvm.org.apache.hadoop.fs.Path(self._kept[id(table)][1])
             system = path.getFileSystem(self._spark.sparkContext._jsc.hadoopConfiguration())
             system.delete(path, True)
