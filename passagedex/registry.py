@@ -233,6 +233,54 @@ def bm25_topk_padded(spark, sf_dir):
     return _hits(_index(spark, sf_dir).search(asked.unionByName(pages), 10))
 
 
+@registered
+def bm25_topk_pruned(spark, sf_dir):
+    """Score floors and passage candidates, as for batches over very many postings."""
+    index = _index(spark, sf_dir)
+    index.direct_postings, index.worth_pruning = 0, 1.0
+    return _hits(index.search(adapters.queries(spark, sf_dir), 10))
+
+
+@registered
+def bm25_topk_blocks(spark, sf_dir):
+    """Queries in blocks, as when their terms are too many for one broadcast."""
+    index = _index(spark, sf_dir)
+    index.broadcast_rows = 100
+    return _hits(index.search(adapters.queries(spark, sf_dir), 10))
+
+
+@registered
+def bm25_topk_negative_mean(spark, sf_dir):
+    """Every document described by words most of them share, asked for by parts of that."""
+    docs = adapters.documents(spark, sf_dir)
+    long = F.when(F.col("n_chars") > 1000, " of length").otherwise("")
+    described = docs.select(
+        F.col("doc_id").cast("string").alias("id"),
+        F.concat(F.lit("document in language "), "lang", long).alias("title"),
+        F.array().cast("array<array<string>>").alias("text"),
+        F.lit("documents").alias("rel_path"),
+    )
+    path = _once(
+        spark,
+        sf_dir,
+        "described",
+        lambda p: build_index(spark, passages.flatten_articles(described), p),
+    )
+    languages = docs.select("lang").distinct()
+    asked = languages.select(
+        F.explode(
+            F.array(
+                *[
+                    F.concat(F.lit(words), "lang")
+                    for words in ("", "length ", "document ", "documents written in ", "no-")
+                ]
+            )
+        ).alias("text")
+    )
+    asked = asked.select(F.col("text").alias("query_id"), "text")
+    return _hits(open_index(spark, path).search(asked, 10))
+
+
 # ---------------------------------------------------------------- persistence
 
 

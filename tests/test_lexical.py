@@ -81,14 +81,15 @@ def test_pruned_search_is_exact(spark, built, monkeypatch):
         check(index, spark, corpus(), QUERIES, 5)
 
 
-def test_large_query_sets_are_exact(spark, built, monkeypatch):
-    monkeypatch.setattr(lexical, "BROADCAST_ROWS", 2)
-    check(built[0], spark, corpus(), QUERIES, 10)
+def test_large_query_sets_are_exact(spark, built):
+    index = open_index(spark, built[1])
+    index.broadcast_rows = 2
+    check(index, spark, corpus(), QUERIES, 10)
 
 
 def test_padding_beyond_the_stored_keys(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(lexical, "HEAD_KEYS", 3)
-    monkeypatch.setattr(lexical, "IDS_PER_LIST", 2)
+    monkeypatch.setattr(lexical, "PLACES_PER_ROW", 4)
     texts = corpus(30)
     index = build_index(spark, passages(spark, texts), str(tmp_path / "ix"), n_shards=2)
     check(index, spark, texts, QUERIES, 9)
@@ -98,6 +99,31 @@ def test_padding_beyond_the_stored_keys(spark, tmp_path, monkeypatch):
     check(index, spark, same, ["a", "b", "c a", "zzz"], 4)
 
 
+def test_negative_mean_takes_the_first_unmatched_keys(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lexical, "PLACES_PER_ROW", 3)
+    dice = random.Random(8)
+    texts = [" ".join(w for w in "a b c d".split() if dice.random() < 0.9) for _ in range(60)]
+    texts[7] = "rare a"
+    index = build_index(spark, passages(spark, texts), str(tmp_path / "ix"), n_shards=3)
+    assert index.corpus["mean_idf"] < 0
+    queries = ["a", "a b c d", "rare", "rare a", "zzz", "", "d d"]
+    for k in (1, 5, 59, 200):
+        check(index, spark, texts, queries, k)
+
+
+def test_negative_mean_makes_no_row_per_passage_and_query(spark, tmp_path):
+    texts = ["a b"] * 400 + ["a"] * 3 + ["b only"]
+    index = build_index(spark, passages(spark, texts), str(tmp_path / "ix"), n_shards=2)
+    assert index.corpus["mean_idf"] < 0
+    queries = asked(spark, ["only", "zzz", "a"])
+    found = index.scores(queries)
+    rows = index._unmatched_rows(queries, found, 2).groupBy("query_id").count().collect()
+    # One match and two more, two, and the one passage without "a".
+    assert {r["query_id"]: r["count"] for r in rows} == {0: 3, 1: 2, 2: 1}
+    plan = index.search(queries, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_tiny_corpora_with_negative_mean(spark, tmp_path):
     for n, texts in enumerate((["a a"], ["a", "a", "a"], ["a b", "a b", "c", "a"])):
         index = build_index(spark, passages(spark, texts), str(tmp_path / f"{n}"), n_shards=2)
