@@ -3,20 +3,37 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passagedex.operators.ranking import require_positive, top_k
+from passagedex.session import cut_lineage
 
-# Query vectors up to this size are sent to every worker; larger query sets
-# are cut into blocks that meet slices of the vectors.
-BROADCAST_BYTES = 64 * 1024 * 1024
-BLOCK_BYTES = 8 * 1024 * 1024
-SLICE_BYTES = 64 * 1024 * 1024
+
+
+class Sizes(NamedTuple):
+    """Bytes of vectors a task may hold."""
+
+    # Query vectors up to this size are sent to every worker; larger sets of
+    # them meet the vectors cell by cell, blocks of queries against slices.
+    broadcast: int = 64 * 1024 * 1024
+    block: int = 8 * 1024 * 1024
+    slice: int = 64 * 1024 * 1024
+
+
+SIZES = Sizes()
+
+# Vectors that cells are formed around.
+MOST_PIVOTS = 1024
+
+# Relative allowance for what products and roots round away.
+MARGIN = 1e-9
 
 # Query rows handled by one matrix product.
 QUERY_CHUNK = 256
@@ -35,7 +52,7 @@ def _matrix(column: pa.ChunkedArray | pa.Array, dimension: int) -> np.ndarray:
 class _Nearest:
     """Running k best keys per query over a sequence of vector batches."""
 
-    def __init__(self, queries: np.ndarray, k: int):
+    def __init__(self, queries: np.ndarray, k: int, limits: np.ndarray | None = None):
         self.queries = queries
         self.norms = (queries**2).sum(axis=1)
         self.k = k
@@ -43,7 +60,7 @@ class _Nearest:
             (np.empty(0, dtype=np.int64), np.empty(0), np.empty(0, dtype=object))
             for _ in range(0, len(queries), QUERY_CHUNK)
         ]
-        self.worst = np.full(len(queries), np.inf)
+        self.worst = np.full(len(queries), np.inf) if limits is None else limits.copy()
 
     def add(self, keys: np.ndarray, vectors: np.ndarray) -> None:
         norms = (vectors**2).sum(axis=1)
@@ -52,7 +69,7 @@ class _Nearest:
             queries, q_norms = self.queries[part], self.norms[part]
             rough = q_norms[:, None] + norms[None, :] - 2.0 * (queries @ vectors.T)
             # The product form rounds; keep a margin and settle on exact gaps.
-            margin = 1e-9 * (1.0 + q_norms + norms.max(initial=0.0))
+            margin = MARGIN * (1.0 + q_norms + norms.max(initial=0.0))
             limit = self.worst[part]
             if len(keys) > self.k:
                 limit = np.minimum(limit, np.partition(rough, self.k - 1, axis=1)[:, self.k - 1])
@@ -89,7 +106,9 @@ def _result(ids: pa.Array, found: _Nearest, key_type: pa.DataType) -> pa.RecordB
     )
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+def nearest(
+    vectors: DataFrame, queries: DataFrame, k: int = 5, sizes: Sizes = SIZES
+) -> DataFrame:
     """(query_id, rank, distance, doc_key): min(k, N) nearest vectors per query.
 
     `vectors` has (doc_key, embedding), `queries` (query_id, embedding). Each
@@ -109,10 +128,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     )
     if not size["n"]:
         local = queries.sparkSession.createDataFrame([], schema)
-    elif size["n"] * size["dim"] * 4 <= BROADCAST_BYTES:
+    elif size["n"] * size["dim"] * 4 <= sizes.broadcast:
         local = _against_all(vectors, queries, k, size["dim"], schema)
     else:
-        local = _by_blocks(vectors, queries, k, size["n"], size["dim"], schema)
+        local = Cells(vectors, size["dim"], sizes).nearest(queries, k, schema)
     ranked = top_k(local, k, F.asc("distance"))
     return ranked.select("query_id", "rank", "distance", "doc_key")
 
@@ -139,41 +158,172 @@ def _against_all(vectors, queries, k, dimension, schema) -> DataFrame:
     return vectors.select("doc_key", "embedding").mapInArrow(scan, schema)
 
 
-def _by_blocks(vectors, queries, k, n_queries, dimension, schema) -> DataFrame:
-    """Many queries: even blocks of them meet even slices of the vectors.
+def _squares(points: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Squared distances of every point to every pivot, as products give them."""
+    norms = (points**2).sum(axis=1)[:, None] + (pivots**2).sum(axis=1)[None, :]
+    return np.maximum(norms - 2.0 * (points @ pivots.T), 0.0)
+
+
+def _numbers(part: str, count: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("bigint"), (count - 1).cast("bigint"))).alias(part)
+
+
+class Cells:
+    """Vectors in cells around pivots, so that queries meet near cells only.
 
-    Both sides of a task are bounded by the block and slice sizes, and a task
-    returns only k rows per query.
+    Every vector lies in the cell of its nearest pivot, and a cell knows how far
+    its vectors reach. A query first meets one slice of its own cell, which puts
+    a ceiling on its k-th distance. By the triangle inequality no vector of a
+    cell is nearer than the pivot's distance less the cell's reach; cells beyond
+    the ceiling are skipped, the others are searched in full. Nothing is
+    estimated, whatever the pivots.
+
+    A cell is cut into slices by a hash of the key, and the queries sent to it
+    into blocks, so a cell with a third of all vectors or queries is many tasks.
+    Only the pivots and one row a cell pass the driver.
     """
-    n_vectors = vectors.count()
-    row_bytes = dimension * 4
-    n_blocks = math.ceil(n_queries * row_bytes / BLOCK_BYTES)
-    n_slices = max(1, math.ceil(n_vectors * row_bytes / SLICE_BYTES))
 
-    def part(key: str, count: int):
-        return F.pmod(F.xxhash64(key), F.lit(count))
+    def __init__(self, vectors: DataFrame, dimension: int, sizes: Sizes):
+        self.vectors = vectors
+        self.dimension = dimension
+        self.sizes = sizes
+        self.spark = vectors.sparkSession
+        per_slice = max(1, sizes.slice // (dimension * 4))
+        n_pivots = min(MOST_PIVOTS, math.ceil(vectors.count() / per_slice))
+        # Any vectors serve as pivots; a hash of the key takes the same ones again.
+        chosen = vectors.orderBy(F.xxhash64("doc_key"), "doc_key").limit(n_pivots)
+        self.pivots = _matrix(chosen.select("embedding").toArrow()["embedding"], dimension)
+        self.placed = self._placed()
+        found = (
+            self.placed.groupBy("cell")
+            .agg(F.count(F.lit(1)).alias("n"), F.max("gap").alias("reach"))
+            .collect()
+        )
+        self.cells = np.array(sorted(r["cell"] for r in found), dtype=np.int64)
+        by_cell = {r["cell"]: r for r in found}
+        self.reach = np.array([by_cell[c]["reach"] for c in self.cells])
+        self.slices = np.array(
+            [math.ceil(by_cell[c]["n"] / per_slice) for c in self.cells], dtype=np.int64
+        )
 
-    def every(count: int):
-        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(count - 1)))
+    def _placed(self) -> DataFrame:
+        """(doc_key, embedding, cell, gap): gap is the distance to the cell's pivot."""
+        pivots, dimension = self.pivots, self.dimension
+        schema = T.StructType(
+            [
+                T.StructField("doc_key", self.vectors.schema["doc_key"].dataType),
+                T.StructField("embedding", self.vectors.schema["embedding"].dataType),
+                T.StructField("cell", T.LongType()),
+                T.StructField("gap", T.DoubleType()),
+            ]
+        )
 
-    left = queries.select(
-        "query_id", "embedding", part("query_id", n_blocks).alias("block"), every(n_slices).alias("slice")
-    )
-    right = vectors.select(
-        "doc_key", "embedding", part("doc_key", n_slices).alias("slice"), every(n_blocks).alias("block")
-    )
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                points = _matrix(batch.column(1), dimension)
+                cell = _squares(points, pivots).argmin(axis=1)
+                gap = np.sqrt(((points - pivots[cell]) ** 2).sum(axis=1))
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.array(cell), pa.array(gap)],
+                    names=["doc_key", "embedding", "cell", "gap"],
+                )
 
-    def meet(query_table: pa.Table, vector_table: pa.Table) -> pa.Table:
-        ids = query_table["query_id"].combine_chunks()
-        found = _Nearest(_matrix(query_table["embedding"], dimension), k)
-        key_type = vector_table["doc_key"].type
-        for batch in vector_table.to_batches(max_chunksize=10_000):
-            keys = np.array(batch.column("doc_key").to_pylist(), dtype=object)
-            found.add(keys, _matrix(batch.column("embedding"), dimension))
-        return pa.Table.from_batches([_result(ids, found, key_type)])
-
-    return (
-        left.groupBy("block", "slice")
-        .cogroup(right.groupBy("block", "slice"))
-        .applyInArrow(meet, schema)
-    )
+        return self.vectors.select("doc_key", "embedding").mapInArrow(place, schema)
+
+    def _sent(self, queries: DataFrame) -> DataFrame:
+        """A row per query and slice it must meet; `ceiling` null: one slice of its own cell."""
+        pivots = self.pivots[self.cells]
+        cells, reach, slices, dimension = self.cells, self.reach, self.slices, self.dimension
+        scale = 1.0 + (pivots**2).sum(axis=1) + reach**2
+        columns = ["query_id", "embedding", "ceiling"]
+        schema = T.StructType(
+            [
+                *[queries.schema[c] for c in columns],
+                T.StructField("cell", T.LongType()),
+                T.StructField("slice", T.LongType()),
+            ]
+        )
+
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches if len(cells) else ():
+                # A query may go to every slice: rows are made from few at a time.
+                for at in range(0, whole.num_rows, QUERY_CHUNK):
+                    batch = whole.slice(at, QUERY_CHUNK)
+                    points = _matrix(batch.column(1), dimension)
+                    gaps = _squares(points, pivots)
+                    ceiling = batch.column(2).to_numpy(zero_copy_only=False).astype("float64")
+                    slack = MARGIN * (scale[None, :] + (points**2).sum(axis=1)[:, None])
+                    least = np.sqrt(np.maximum(gaps - slack, 0.0)) - np.sqrt(reach**2 + slack)
+                    near = np.maximum(least, 0.0) ** 2 <= ceiling[:, None] + slack
+                    near[np.isnan(ceiling)] = False
+                    row, place = np.nonzero(near)
+                    repeat = slices[place]
+                    piece = np.arange(repeat.sum()) - np.repeat(repeat.cumsum() - repeat, repeat)
+                    row, place = np.repeat(row, repeat), np.repeat(place, repeat)
+                    first = np.flatnonzero(np.isnan(ceiling))
+                    own = gaps[first].argmin(axis=1)
+                    row = np.concatenate([row, first])
+                    place = np.concatenate([place, own])
+                    piece = np.concatenate([piece, first % slices[own]])
+                    taken = batch.take(pa.array(row))
+                    yield pa.RecordBatch.from_arrays(
+                        [*taken.columns, pa.array(cells[place]), pa.array(piece)],
+                        names=schema.names,
+                    )
+
+        return queries.select(*columns).mapInArrow(send, schema)
+
+    def _meet(self, sent: DataFrame, k: int, schema: T.StructType) -> DataFrame:
+        """The k nearest of every slice for the queries sent there."""
+        per_block = max(1, self.sizes.block // (self.dimension * 4))
+        asked = (
+            sent.groupBy("cell", "slice").count().groupBy("cell").agg(F.max("count").alias("n"))
+        )
+        known = self.spark.createDataFrame(
+            list(zip(self.cells.tolist(), self.slices.tolist(), strict=True)),
+            "cell bigint, n_slices bigint",
+        )
+        # One row a cell, a thousand at most.
+        sizes = F.broadcast(
+            asked.join(F.broadcast(known), "cell").select(
+                "cell", "n_slices", F.ceil(F.col("n") / per_block).alias("n_blocks")
+            )
+        )
+        left = sent.join(sizes, "cell").withColumn(
+            "block", F.pmod(F.xxhash64("query_id"), F.col("n_blocks"))
+        )
+        right = self.placed.join(sizes, "cell").select(
+            "doc_key",
+            "embedding",
+            "cell",
+            F.pmod(F.xxhash64("doc_key"), F.col("n_slices")).alias("slice"),
+            _numbers("block", F.col("n_blocks")),
+        )
+        dimension = self.dimension
+
+        def meet(query_table: pa.Table, vector_table: pa.Table) -> pa.Table:
+            ids = query_table["query_id"].combine_chunks()
+            limits = query_table["ceiling"].combine_chunks().to_numpy(zero_copy_only=False)
+            limits = np.nan_to_num(limits.astype("float64"), nan=np.inf, posinf=np.inf)
+            found = _Nearest(_matrix(query_table["embedding"], dimension), k, limits)
+            key_type = vector_table["doc_key"].type
+            for batch in vector_table.to_batches(max_chunksize=10_000):
+                keys = np.array(batch.column("doc_key").to_pylist(), dtype=object)
+                found.add(keys, _matrix(batch.column("embedding"), dimension))
+            return pa.Table.from_batches([_result(ids, found, key_type)])
+
+        group = ["cell", "slice", "block"]
+        left = left.select("query_id", "embedding", "ceiling", *group)
+        return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(meet, schema)
+
+    def nearest(self, queries: DataFrame, k: int, schema: T.StructType) -> DataFrame:
+        """At least the k nearest of every query, with others."""
+        own = self._sent(queries.withColumn("ceiling", F.lit(None).cast("double")))
+        rough = top_k(self._meet(own, k, schema), k, F.asc("distance"))
+        ceilings = rough.where(F.col("rank") == k).select(
+            "query_id", F.col("distance").alias("ceiling")
+        )
+        known = queries.select("query_id", "embedding").join(ceilings, "query_id", "left")
+        no_limit = F.coalesce("ceiling", F.lit(float("inf"))).alias("ceiling")
+        sent = cut_lineage(self._sent(known.select("query_id", "embedding", no_limit)))
+        return self._meet(sent, k, schema)

@@ -200,6 +200,16 @@ def _sq(a: str, b: str) -> str:
     )
 
 
+_NEAREST_FIVE = f"""SELECT query_id, CAST(rank AS INTEGER) AS rank, round(distance, 4) AS distance, doc_key
+FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_key) AS rank
+  FROM (
+    SELECT q.vec_id AS query_id, v.vec_id AS doc_key,
+           {_sq("q.embedding", "v.embedding")} AS distance
+    FROM embeddings q, embeddings v
+  )
+) WHERE rank <= 5"""
+
 _DIR = "'source=' || source"
 
 ORACLES: dict[str, str] = {
@@ -284,16 +294,8 @@ ORACLES: dict[str, str] = {
     "l2_distance": f"""
         SELECT a.vec_id, round({_sq("a.embedding", "b.embedding")}, 6) AS distance
         FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
-    "knn_l2_topk": f"""
-        SELECT query_id, CAST(rank AS INTEGER) AS rank, round(distance, 4) AS distance, doc_key
-        FROM (
-          SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_key) AS rank
-          FROM (
-            SELECT q.vec_id AS query_id, v.vec_id AS doc_key,
-                   {_sq("q.embedding", "v.embedding")} AS distance
-            FROM embeddings q, embeddings v
-          )
-        ) WHERE rank <= 5""",
+    "knn_l2_topk": _NEAREST_FIVE,
+    "knn_blocks": _NEAREST_FIVE,
     "knn_formatted": f"""WITH {PASSAGES},
         words AS (SELECT doc_key AS key, unnest({_tokens("text")}) AS word FROM p),
         asked_words AS (

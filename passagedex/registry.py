@@ -13,7 +13,7 @@ from passagedex.functions import text as X
 from passagedex.functions import vectors as V
 from passagedex.functions.encoders import HashedWords
 from passagedex.operators import embedding, passages, ranking, statistics
-from passagedex.operators.neighbours import nearest
+from passagedex.operators.neighbours import Sizes, nearest
 from passagedex.plans.dense import build_vector_index, open_vector_index, save_vectors
 from passagedex.plans.lexical import (
     LexicalIndex,
@@ -509,6 +509,16 @@ def knn_l2_topk(spark, sf_dir):
     return nearest(vectors, asked, 5).withColumn("distance", F.round("distance", 4))
 
 
+@registered
+def knn_blocks(spark, sf_dir):
+    """The same cell by cell, as for more queries than a broadcast holds."""
+    table = _embeddings(spark, sf_dir)
+    vectors = table.select(F.col("vec_id").alias("doc_key"), "embedding")
+    asked = table.select(F.col("vec_id").alias("query_id"), "embedding")
+    sizes = Sizes(broadcast=0, block=1 << 16, slice=1 << 16)
+    return nearest(vectors, asked, 5, sizes).withColumn("distance", F.round("distance", 4))
+
+
 @registered
 def knn_formatted(spark, sf_dir):
     """Benchmark texts encoded and answered from encoded passages."""

@@ -4,7 +4,7 @@ import pytest
 from passagedex.functions.encoders import HashedWords, masked_mean, pooled
 from passagedex.operators import neighbours
 from passagedex.operators.embedding import embed, mean_pool
-from passagedex.operators.neighbours import nearest
+from passagedex.operators.neighbours import Cells, Sizes, nearest
 from passagedex.plans.dense import build_vector_index, open_vector_index, save_vectors
 
 
@@ -54,14 +54,43 @@ def test_nearest_equals_brute_force_with_many_copies(spark, matrices):
     same(collected(found), brute(vectors, queries, 6))
 
 
+SMALL = Sizes(broadcast=0, block=12 * 4 * 10, slice=12 * 4 * 60)
+
+
 def test_blocks_equal_brute_force(spark, matrices, monkeypatch):
     vectors, queries = matrices
-    monkeypatch.setattr(neighbours, "BROADCAST_BYTES", 0)
-    monkeypatch.setattr(neighbours, "BLOCK_BYTES", 12 * 4 * 10)
-    monkeypatch.setattr(neighbours, "SLICE_BYTES", 12 * 4 * 200)
     monkeypatch.setattr(neighbours, "QUERY_CHUNK", 7)
-    found = nearest(table(spark, vectors, "doc_key"), table(spark, queries, "query_id"), 6)
-    same(collected(found), brute(vectors, queries, 6))
+    for k in (1, 6, 800):
+        found = nearest(table(spark, vectors, "doc_key"), table(spark, queries, "query_id"), k, SMALL)
+        same(collected(found), brute(vectors, queries, k))
+
+
+def test_far_cells_are_skipped(spark):
+    dice = np.random.default_rng(11)
+    centres = dice.normal(size=(6, 12)) * 50
+    vectors = np.vstack([c + dice.normal(size=(80, 12)) for c in centres]).astype("float32")
+    queries = (vectors[::16] + dice.normal(size=(30, 12)) * 0.1).astype("float32")
+    rows, asked = table(spark, vectors, "doc_key"), table(spark, queries, "query_id")
+    cells = Cells(rows, 12, SMALL)
+    assert len(cells.cells) > 1 and cells.slices.sum() >= 8
+    everywhere = len(queries) * int(cells.slices.sum())
+    want = brute(vectors, queries, 4)
+    ceilings = spark.createDataFrame(
+        [(q, float(found[-1][1])) for q, found in want.items()], "query_id bigint, ceiling double"
+    )
+    sent = cells._sent(asked.join(ceilings, "query_id")).count()
+    assert len(queries) <= sent < everywhere / 2
+    same(collected(nearest(rows, asked, 4, SMALL)), want)
+
+
+def test_cells_of_equal_vectors_and_no_vectors(spark):
+    vectors = np.ones((300, 12), dtype="float32")
+    queries = np.vstack([vectors[:3], vectors[:2] * 5])
+    rows, asked = table(spark, vectors, "doc_key"), table(spark, queries, "query_id")
+    cells = Cells(rows, 12, SMALL)
+    assert cells.slices.max() >= 5
+    same(collected(nearest(rows, asked, 3, SMALL)), brute(vectors, queries, 3))
+    assert nearest(rows.limit(0), asked, 3, SMALL).count() == 0
 
 
 def test_k_beyond_the_vectors(spark, matrices):
