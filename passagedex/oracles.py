@@ -269,6 +269,11 @@ ORACLES: dict[str, str] = {
                array_to_string(list_transform(l[2:], lambda x: replace(x, '. ', '|')), chr(10))
                AS text
         FROM lines""",
+    "scan_indented_arrays": f"""WITH {LINES}
+        SELECT CAST(doc_id AS VARCHAR) AS id, l[1] AS title,
+               array_to_string(list_transform(l[2:], lambda x: replace(x, '. ', '|')), chr(10))
+               AS text
+        FROM lines""",
     "quarantine_malformed": f"""
         SELECT {_DIR} AS rel_dir, state, count(*) AS n_articles,
                CAST(sum(CASE WHEN state = 'usable' THEN doc_id ELSE 0 END) AS BIGINT) AS id_sum

@@ -359,6 +359,32 @@ def scan_json_arrays(spark, sf_dir):
     return rows.select("id", "title", _joined_text().alias("text"))
 
 
+@registered
+def scan_indented_arrays(spark, sf_dir):
+    """Arrays of some 500 articles, elements indented by two: read in splits."""
+
+    def write(folder: str) -> None:
+        rows = _articles(spark, sf_dir)
+        n_files = max(1, -(-rows.count() // 500))
+        pairs = []
+        for name in ("id", "title", "text"):
+            pair = F.to_json(F.struct(name))
+            pairs.append(F.substring(pair, F.lit(2), F.length(pair) - 2))
+        inside = F.concat_ws(",\n    ", *pairs)
+        element = F.concat(F.lit("  {\n    "), inside, F.lit("\n  }"))
+        (
+            rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(n_files)).alias("file"))
+            .agg(F.array_join(F.collect_list(element), ",\n").alias("items"))
+            .select(F.concat(F.lit("[\n"), "items", F.lit("\n]")).alias("value"))
+            .write.option("maxRecordsPerFile", 1)
+            .text(folder)
+        )
+
+    folder = _once(spark, sf_dir, "indented", write)
+    rows = A.read_article_arrays(spark, folder, "*.txt")
+    return rows.select("id", "title", _joined_text().alias("text"))
+
+
 @registered
 def quarantine_malformed(spark, sf_dir):
     """German articles cut short, French ones with bare strings as paragraphs."""

@@ -16,6 +16,10 @@ from passagedex.sources.storage import plain_path, require
 LINES_GLOB = "*.bz2"
 ARRAY_GLOB = "*.json"
 
+# An element of an array indented by two, where it opens and where it closes.
+ELEMENT_OPENS = "\n  {"
+ELEMENT_CLOSES = "\n  }"
+
 # Compressed bytes that the probe of a file reads at a time.
 PROBE_BYTES = 1 << 16
 
@@ -59,10 +63,74 @@ def read_article_lines(spark: SparkSession, folder: str, glob: str = LINES_GLOB)
 
 
 def read_article_arrays(spark: SparkSession, folder: str, glob: str = ARRAY_GLOB) -> DataFrame:
-    """One JSON array per file. Such a file is one task; prefer lines for big dumps."""
+    """One JSON array per file, however big a file is.
+
+    A file whose elements stand indented by two, one after another, is cut where
+    an element opens and read by as many tasks as any text. Line ends inside
+    strings are escaped in JSON, so nothing else looks like that. Every other
+    file, with one broken element too, is read whole by one task. A first pass
+    tells the files apart; only the names of those to be read whole are collected.
+    """
     require(spark, folder, "article folder")
-    raw = _configure(spark.read, glob, True).json(folder)
-    return _with_source(raw, plain_path(spark, folder))
+    root = plain_path(spark, folder)
+    pieces = _pieces(spark, folder, root, glob)
+    states = pieces.groupBy("path").agg(
+        F.count_if(F.col("state") == "open").alias("n_open"),
+        F.count_if(F.col("state") == "last").alias("n_last"),
+        F.count_if(F.col("state") == "other").alias("n_other"),
+    )
+    regular = (F.col("n_open") == 1) & (F.col("n_last") == 1) & (F.col("n_other") == 0)
+    odd = [r["path"] for r in states.where(~regular).select("path").collect()]
+    whole = read_articles_of(spark, folder, odd, glob, True)
+    split = pieces.where(F.col("state").isin("last", "element"))
+    if odd:
+        names = spark.createDataFrame([(path,) for path in odd], "path string")
+        split = split.join(names, "path", "left_anti")
+    return split.select(*whole.columns).unionByName(whole)
+
+
+def _pieces(spark: SparkSession, folder: str, root: str, glob: str) -> DataFrame:
+    """Text from one opening brace of an element to the next, parsed, with its state.
+
+    `open` is what precedes the first element, `last` the element before the closing
+    bracket; `other` is what no regular file holds.
+    """
+    raw = (
+        spark.read.option("lineSep", ELEMENT_OPENS)
+        .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", glob)
+        .text(folder)
+    )
+    closes = F.locate(ELEMENT_CLOSES, F.col("body"))
+    at_end = closes == F.length("body") - (len(ELEMENT_CLOSES) - 1)
+    closed = (F.col("body") == "{}") | ((closes > 0) & at_end)
+    fields = F.struct(*[F.col("parsed")[name].alias(name) for name in ARTICLE_FILE.names])
+    parsed = F.from_json(
+        "body", ARTICLE_FILE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    )
+    rel_path = _relative_path(root)
+    piece = F.col("value")
+    return (
+        raw.select(
+            rel_path.alias("rel_path"),
+            F.trim(piece).rlike(r"^\s*\[\s*$").alias("opens"),
+            piece.rlike(r"\}\s*\]\s*$").alias("ends"),
+            F.concat(F.lit("{"), F.regexp_replace(piece, r"(?:,|(?<=\})\s*\])\s*$", "")).alias("body"),
+        )
+        .withColumn("parsed", parsed)
+        .select(
+            F.concat(F.lit(f"{folder.rstrip('/')}/"), "rel_path").alias("path"),
+            "rel_path",
+            _parent(F.col("rel_path")).alias("rel_dir"),
+            fields.alias("fields"),
+            F.when(F.col("opens"), "open")
+            .when(~closed | F.col("parsed")[CORRUPT].isNotNull(), "other")
+            .when(F.col("ends"), "last")
+            .otherwise("element")
+            .alias("state"),
+        )
+        .select("path", "rel_path", "rel_dir", "fields.*", "state")
+    )
 
 
 def stream_articles(

@@ -59,6 +59,58 @@ def test_arrays_and_a_broken_file(spark, tmp_path):
     assert [r["rel_path"] for r in A.quarantined(rows).collect()] == ["broken.json"]
 
 
+def by_file(rows):
+    found = [(r["rel_path"], r["rel_dir"], r["id"], r["title"], r["text"]) for r in rows.collect()]
+    return sorted(found, key=str)
+
+
+def test_indented_arrays_are_read_in_splits(spark, tmp_path):
+    source = tmp_path / "in" / "a dir"
+    source.mkdir(parents=True)
+    tricky = ["\n  {", "\n  }", "},{ ]", "  ü", "", "\\"]
+    many = [
+        {"id": str(i), "title": tricky[i % 6] * 3, "text": [[tricky[i % 5], "x" * (i % 90)]], "more": [{}]}
+        for i in range(900)
+    ]
+    (source / "big.json").write_text(json.dumps(many, indent=2))
+    (source / "one.json").write_text(json.dumps(many[:1], indent=2, ensure_ascii=False) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        rows = A.read_article_arrays(spark, str(tmp_path / "in"))
+        assert rows.rdd.getNumPartitions() > 10
+        want = [("a dir/big.json", "a dir", m["id"], m["title"], m["text"]) for m in many]
+        want.append(("a dir/one.json", "a dir", "0", many[0]["title"], many[0]["text"]))
+        assert by_file(rows) == sorted(want, key=str)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_irregular_arrays_are_read_whole(spark, tmp_path):
+    two = [GOOD, {**GOOD, "id": "9"}]
+    indented = json.dumps(two, indent=2)
+    files = {
+        "good.json": indented,
+        "compact.json": json.dumps(two),
+        "four.json": json.dumps(two, indent=4),
+        "empty.json": "[]",
+        "nothing.json": "",
+        "cut.json": indented[: len(indented) // 2],
+        "unclosed.json": indented[:-1],
+        "number.json": json.dumps([*two, 5], indent=2),
+        "shape.json": json.dumps([GOOD, {**GOOD, "text": "flat"}], indent=2),
+        "crlf.json": indented.replace("\n", "\r\n"),
+        "hole.json": json.dumps([{}, *two, {}], indent=2),
+    }
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content.encode())
+    rows = A.read_article_arrays(spark, str(tmp_path))
+    paths = [str(tmp_path / name) for name in files]
+    whole = A.read_articles_of(spark, str(tmp_path), paths, "*.json", True)
+    assert rows.columns == whole.columns
+    assert by_file(rows) == by_file(whole)
+
+
 def test_repeated_ids_in_a_file_stay_apart(spark, tmp_path):
     source = tmp_path / "in"
     write_lines(source, "a.bz2", [json.dumps(GOOD)] * 3)
