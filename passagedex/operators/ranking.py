@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from passagedex.functions import text as X
@@ -13,6 +13,14 @@ def require_positive(k: int) -> None:
         raise ValueError(f"k must be at least 1, got {k}")
 
 
+def one_query(spark: SparkSession, query: str | list[str]) -> DataFrame:
+    """A single query, text or list of words, as a table of queries."""
+    if isinstance(query, str):
+        return spark.createDataFrame([("q", query)], "query_id string, text string")
+    schema = "query_id string, tokens array<string>, text string"
+    return spark.createDataFrame([("q", list(query), " ".join(query))], schema)
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """(query_id, term, qtf) from a `text` column or a ready `tokens` column."""
     words = F.col("tokens") if "tokens" in queries.columns else X.query_tokens(F.col("text"))

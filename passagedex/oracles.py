@@ -250,6 +250,9 @@ ORACLES: dict[str, str] = {
         SELECT query_id, rank, round(score, 4) AS score, {_fold("text")} AS document,
                id, type, text, title
         FROM top JOIN p USING (doc_key)""",
+    "bm25_formatted": f"""WITH {_top(BENCHMARK, 5)}
+        SELECT query_id, rank, round(score, 4) AS score, doc_key, {_SHOWN} AS result
+        FROM top JOIN p USING (doc_key)""",
     "bm25_topk_padded": f"WITH {_top(PADDED, 10)} {_HITS}",
     "bm25_topk_pruned": f"WITH {_top(BENCHMARK, 10)} {_HITS}",
     "bm25_topk_blocks": f"WITH {_top(BENCHMARK, 10)} {_HITS}",
@@ -336,4 +339,10 @@ ORACLES: dict[str, str] = {
         SELECT key AS doc_id, CAST(pos - 1 AS INTEGER) AS pos,
                round(CAST(value AS DOUBLE), 6) AS value
         FROM ({_encoded("words")})""",
+    "embed_pooled": f"""WITH words AS (
+          SELECT doc_id AS key, unnest(list_slice({_tokens("lower(text)")}, 1, 32)) AS word
+          FROM documents)
+        SELECT key AS doc_id, CAST(pos - 1 AS INTEGER) AS pos,
+               round(CAST(value AS DOUBLE), 6) AS value
+        FROM ({_encoded("words")})""",
 }

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from passagedex.functions.text import formatted_passage
 from passagedex.operators.embedding import Encoder, embed
 from passagedex.operators.neighbours import nearest
+from passagedex.operators.ranking import one_query
 from passagedex.schemas import RECORD_FIELDS
 from passagedex.session import cut_lineage
 from passagedex.sources import storage
@@ -18,9 +19,15 @@ PUSHDOWN_VALUES = 1000
 
 
 class VectorIndex:
-    """Parquet folders `vectors` (doc_key, embedding) and `records`."""
+    """Parquet folders `vectors` (doc_key, embedding) and `records`.
 
-    def __init__(self, spark: SparkSession, path: str):
+    With an encoder the index answers texts by itself.
+    """
+
+    def __init__(
+        self, spark: SparkSession, path: str, encoder: Callable[[], Encoder] | None = None
+    ):
+        self.encoder = encoder
         self.spark = spark
         self.path = path.rstrip("/")
         settings = storage.load_json(spark, f"{self.path}/settings.json")
@@ -37,12 +44,24 @@ class VectorIndex:
         """Nearest vectors for (query_id, embedding) rows."""
         return nearest(self.vectors(), queries, k)
 
-    def retrieve(self, queries: DataFrame, encoder: Callable[[], Encoder], k: int = 5) -> DataFrame:
+    def document_count(self) -> int:
+        return self.n_vectors
+
+    def retrieve(
+        self, queries: DataFrame, k: int = 5, encoder: Callable[[], Encoder] | None = None
+    ) -> DataFrame:
         """Nearest passages for (query_id, text) rows, as display text."""
+        encoder = encoder or self.encoder
+        if encoder is None:
+            raise ValueError("texts need an encoder; open the index with one")
         # Written once: the search reads the queries more than once.
         encoded = cut_lineage(embed(queries, "query_id", "text", encoder))
         return self.formatted(self.search(encoded, k))
 
+    def retrieve_one(self, query: str | list[str], k: int = 5) -> DataFrame:
+        """Nearest passages for a single query given as text or as a list of words."""
+        return self.retrieve(one_query(self.spark, query), k)
+
     def formatted(self, hits: DataFrame) -> DataFrame:
         fixed = cut_lineage(hits)
         records = self.records()
@@ -57,7 +76,12 @@ class VectorIndex:
         )
 
 
-def save_vectors(vectors: DataFrame, records: DataFrame, path: str) -> VectorIndex:
+def save_vectors(
+    vectors: DataFrame,
+    records: DataFrame,
+    path: str,
+    encoder: Callable[[], Encoder] | None = None,
+) -> VectorIndex:
     """Store embeddings and records; all vectors must have one dimension."""
     spark = vectors.sparkSession
     root = path.rstrip("/")
@@ -78,15 +102,17 @@ def save_vectors(vectors: DataFrame, records: DataFrame, path: str) -> VectorInd
         raise ValueError(f"vectors of different dimensions: {found[0]} to {found[1]}")
     settings = {"dimension": found[1] or 0, "n_vectors": found[2]}
     storage.save_json(spark, f"{root}/settings.json", settings)
-    return VectorIndex(spark, root)
+    return VectorIndex(spark, root, encoder)
 
 
 def build_vector_index(
     spark: SparkSession, passages: DataFrame, path: str, encoder: Callable[[], Encoder]
 ) -> VectorIndex:
-    return save_vectors(embed(passages, "doc_key", "text", encoder), passages, path)
+    return save_vectors(embed(passages, "doc_key", "text", encoder), passages, path, encoder)
 
 
-def open_vector_index(spark: SparkSession, path: str) -> VectorIndex:
+def open_vector_index(
+    spark: SparkSession, path: str, encoder: Callable[[], Encoder] | None = None
+) -> VectorIndex:
     storage.require(spark, f"{path.rstrip('/')}/settings.json", "vector index")
-    return VectorIndex(spark, path)
+    return VectorIndex(spark, path, encoder)

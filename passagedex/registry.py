@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from passagedex import adapters
 from passagedex.functions import bm25
 from passagedex.functions import text as X
 from passagedex.functions import vectors as V
-from passagedex.functions.encoders import HashedWords
+from passagedex.functions.encoders import HashedWords, pooled
 from passagedex.operators import embedding, passages, ranking, statistics
 from passagedex.operators.neighbours import Sizes, nearest
 from passagedex.plans.dense import build_vector_index, open_vector_index, save_vectors
@@ -221,6 +222,12 @@ def bm25_topk_records(spark, sf_dir):
     )
 
 
+@registered
+def bm25_formatted(spark, sf_dir):
+    found = _index(spark, sf_dir).retrieve(adapters.queries(spark, sf_dir), 5)
+    return found.withColumn("score", _rounded("score"))
+
+
 @registered
 def bm25_topk_padded(spark, sf_dir):
     """Benchmark texts, plus page addresses: words no passage contains."""
@@ -554,8 +561,8 @@ def knn_formatted(spark, sf_dir):
         "dense",
         lambda p: build_vector_index(spark, _passages(spark, sf_dir), p, HashedWords),
     )
-    index = open_vector_index(spark, path)
-    found = index.retrieve(adapters.queries(spark, sf_dir), HashedWords, 5)
+    index = open_vector_index(spark, path, HashedWords)
+    found = index.retrieve(adapters.queries(spark, sf_dir), 5)
     return found.withColumn("distance", F.round("distance", 4))
 
 
@@ -587,3 +594,28 @@ def mean_pool(spark, sf_dir):
 def embed_corpus(spark, sf_dir):
     docs = adapters.documents(spark, sf_dir)
     return _value_rows(embedding.embed(docs, "doc_id", "text", HashedWords), "doc_id")
+
+
+def _word_vectors():
+    """A model whose tokens are lower-case words; rows are padded to the longest."""
+    words = HashedWords()
+
+    def tokens_of(texts: list[str], max_tokens: int) -> tuple[np.ndarray, np.ndarray]:
+        split = [text.lower().split()[:max_tokens] for text in texts]
+        width = max(1, *map(len, split))
+        hidden = np.zeros((len(texts), width, words.dimension))
+        mask = np.zeros((len(texts), width), dtype=int)
+        for row, found in enumerate(split):
+            mask[row, : len(found)] = 1
+            for place, word in enumerate(found):
+                hidden[row, place] = words([word])[0]
+        return hidden, mask
+
+    return tokens_of
+
+
+@registered
+def embed_pooled(spark, sf_dir):
+    """Documents as the mean of their first 32 token vectors."""
+    docs = adapters.documents(spark, sf_dir)
+    return _value_rows(embedding.embed(docs, "doc_id", "text", pooled(_word_vectors, 32)), "doc_id")

@@ -6,6 +6,8 @@ from passagedex.operators import neighbours
 from passagedex.operators.embedding import embed, mean_pool
 from passagedex.operators.neighbours import Cells, Sizes, nearest
 from passagedex.plans.dense import build_vector_index, open_vector_index, save_vectors
+from passagedex.plans.lexical import build_index, open_index
+from passagedex.schemas import PASSAGE
 
 
 def table(spark, matrix, name):
@@ -134,16 +136,52 @@ def test_text_to_formatted_hits(spark, tmp_path):
     schema = "doc_key string, id string, type string, text string, title string"
     path = str(tmp_path / "v")
     build_vector_index(spark, spark.createDataFrame(rows, schema), path, HashedWords)
-    index = open_vector_index(spark, path)
+    index = open_vector_index(spark, path, HashedWords)
     assert (index.dimension, index.n_vectors) == (32, 3)
     queries = spark.createDataFrame([("q", "The red FOX runs")], "query_id string, text string")
-    best = index.retrieve(queries, HashedWords, 1).first()
+    best = index.retrieve(queries, 1).first()
     assert best["result"] == "Title: red fox\nContent: the red fox runs"
     assert best["distance"] == pytest.approx(0.0)
     with pytest.raises(FileNotFoundError):
         open_vector_index(spark, str(tmp_path / "none"))
 
 
+@pytest.mark.parametrize("kind", ["lexical", "dense"])
+def test_both_indexes_answer_by_the_same_verbs(spark, tmp_path, kind):
+    texts = [("title", "red fox", None), ("paragraph", "the red fox runs", "red fox")]
+    texts += [("title", f"blue whale {i}", None) for i in range(5)]
+    rows = [(f"k{i}", "f", str(i), 0, *text) for i, text in enumerate(texts)]
+    passages = spark.createDataFrame(rows, PASSAGE)
+    path = str(tmp_path / kind)
+    if kind == "lexical":
+        build_index(spark, passages, path, n_shards=2)
+        index = open_index(spark, path)
+    else:
+        build_vector_index(spark, passages, path, HashedWords)
+        index = open_vector_index(spark, path, HashedWords)
+    assert index.document_count() == 7
+    asked = spark.createDataFrame(
+        [(1, "The red FOX runs"), (2, "blue whale 3")], "query_id int, text string"
+    )
+    found = {(r["query_id"], r["rank"]): r["result"] for r in index.retrieve(asked, 2).collect()}
+    assert len(found) == 4
+    assert found[1, 1] == "Title: red fox\nContent: the red fox runs"
+    assert found[2, 1] == "Title: blue whale 3"
+    for query in ("blue whale 3", ["blue", "whale", "3"]):
+        hits = index.retrieve_one(query, 1).collect()
+        assert [(h["query_id"], h["rank"], h["result"]) for h in hits] == [
+            ("q", 1, "Title: blue whale 3")
+        ]
+
+
+def test_texts_need_an_encoder(spark, tmp_path):
+    vectors = spark.createDataFrame([("a", [1.0])], "doc_key string, embedding array<float>")
+    records = vectors.selectExpr("doc_key", "'1' id", "'title' type", "'a' text", "'' title")
+    index = save_vectors(vectors, records, str(tmp_path / "v"))
+    with pytest.raises(ValueError, match="encoder"):
+        index.retrieve_one("a")
+
+
 def test_ragged_vectors_are_refused(spark, tmp_path):
     schema = "doc_key string, embedding array<float>, id string, type string, text string, title string"
     rows = [("a", [1.0], "1", "title", "a", None), ("b", [1.0, 2.0], "2", "title", "b", None)]
