@@ -57,7 +57,7 @@ def jobs(spark, sf_dir: str, work: str) -> dict:
         consume(embed(adapters.documents(spark, sf_dir), "doc_id", "text", HashedWords))
 
     def retrieve():
-        consume(open_vector_index(spark, f"{work}/vectors").retrieve(queries, HashedWords, 5))
+        consume(open_vector_index(spark, f"{work}/vectors", HashedWords).retrieve(queries, 5))
 
     return {
         "flatten_passages": lambda: consume(passages()),
