@@ -164,18 +164,25 @@ WITH RECURSIVE calls AS (
   SELECT conv_id, turn, length(text) AS n, text,
          'call_' || conv_id || '_' || turn AS call_id,
          CASE WHEN length(text) % 19 = 0 THEN 'guess' WHEN length(text) % 2 = 0 THEN 'search' ELSE 'summarise' END AS name,
-         CASE WHEN turn > 0 THEN turn // 4 * 2 END AS needs
+         list_filter([CASE WHEN turn >= 2 THEN turn - 2 END, CASE WHEN turn >= 4 AND length(text) % 5 = 0 THEN turn - 4 END,
+                      CASE WHEN length(text) % 23 = 0 THEN turn + 1 END], lambda x: x IS NOT NULL) AS needs
   FROM conversations WHERE role = 'user'
 ), results AS (
   SELECT conv_id, turn, 'call_' || conv_id || '_' || (turn - 1) AS call_id, text AS content
   FROM conversations WHERE role = 'assistant'
-), needed AS (
-  SELECT c.*, p.turn IS NOT NULL AS known, (c.needs IS NOT NULL AND p.turn IS NULL)::INT AS missing
-  FROM calls c LEFT JOIN (SELECT conv_id, turn FROM calls) p ON p.conv_id = c.conv_id AND p.turn = c.needs
+), named AS (
+  SELECT conv_id, turn, unnest(needs) AS need FROM calls
+), linked AS (
+  SELECT m.*, p.turn IS NOT NULL AS known
+  FROM named m LEFT JOIN (SELECT conv_id, turn FROM calls) p ON p.conv_id = m.conv_id AND p.turn = m.need
+), ways AS (
+  SELECT conv_id, turn, 0 AS level FROM calls
+  UNION
+  SELECT l.conv_id, l.turn, level + 1 FROM linked l JOIN ways w ON l.known AND w.conv_id = l.conv_id AND w.turn = l.need
 ), levels AS (
-  SELECT conv_id, turn, 0 AS level FROM needed WHERE NOT known
-  UNION ALL
-  SELECT n.conv_id, n.turn, level + 1 FROM needed n JOIN levels l ON n.known AND l.conv_id = n.conv_id AND l.turn = n.needs
+  SELECT conv_id, turn, max(level) AS level FROM ways GROUP BY ALL
+), lost AS (
+  SELECT conv_id, turn, count(*) AS missing FROM linked WHERE NOT known GROUP BY ALL
 ), checked AS (
   SELECT *, CASE WHEN n % 7 = 0 THEN json_object('query', text)
                  WHEN n % 11 = 0 THEN json_object('limit', n::VARCHAR, 'query', text)
@@ -186,14 +193,14 @@ WITH RECURSIVE calls AS (
               WHEN n % 19 = 0 THEN 'unknown_tool'
               WHEN n % 7 = 0 THEN 'missing:limit' WHEN n % 11 = 0 THEN 'type:limit'
               WHEN n % 13 = 0 THEN 'extra:deep' ELSE '' END AS errors
-  FROM needed JOIN levels USING (conv_id, turn)
+  FROM calls JOIN levels USING (conv_id, turn) LEFT JOIN lost USING (conv_id, turn)
 )
 SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id,
        c.turn AS turn, r.turn AS result_turn,
        CASE WHEN c.turn IS NULL THEN 'no_call' WHEN r.turn IS NULL THEN 'no_result'
             WHEN r.turn <= c.turn THEN 'early' ELSE 'linked' END AS state,
        level, coalesce(missing, 0)::BIGINT AS missing, coalesce(errors, '') AS errors,
-       coalesce(c.turn IS NOT NULL AND r.turn > c.turn AND errors = '' AND missing = 0, false) AS valid,
+       coalesce(c.turn IS NOT NULL AND r.turn > c.turn AND errors = '' AND coalesce(missing, 0) = 0, false) AS valid,
        '{"arguments":' || coalesce(arguments, 'null') || ',"content":' || coalesce(to_json(content)::VARCHAR, 'null')
        || ',"id":"' || coalesce(c.call_id, r.call_id) || '","level":' || coalesce(level::VARCHAR, 'null')
        || ',"name":' || coalesce('"' || name || '"', 'null') || '}' AS message

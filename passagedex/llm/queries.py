@@ -105,7 +105,9 @@ def _tool_tables(spark, sf_dir):
     """Calls and results that the conversations stand for.
 
     A user's turn is a call, the assistant's turn after it the result. A call
-    names the call at half its turn, if there is one. Depending on the length of
+    names the user's turn before it, two turns back, so a conversation is a chain of
+    calls; depending on the length of the text also the one before that, and a turn
+    of the assistant, which is no call. Depending on the length of
     the text a call lacks an argument, has one of a wrong type, an extra one or
     broken JSON, or names a tool that does not exist.
     """
@@ -127,15 +129,19 @@ def _tool_tables(spark, sf_dir):
     name = (
         F.when(size % 19 == 0, "guess").when(size % 2 == 0, "search").otherwise("summarise")
     )
-    half = F.floor(F.col("turn") / 4) * 2
-    none = F.array().cast("array<string>")
+    turn = F.col("turn")
+    after = F.array(
+        F.when(turn >= 2, call_id(turn - 2)),
+        F.when((turn >= 4) & (size % 5 == 0), call_id(turn - 4)),
+        F.when(size % 23 == 0, call_id(turn + 1)),
+    )
     calls = turns.where("role = 'user'").select(
         "conv_id",
         "turn",
         call_id(F.col("turn")).alias("call_id"),
         name.alias("name"),
         arguments.alias("arguments"),
-        F.when(F.col("turn") > 0, F.array(call_id(half))).otherwise(none).alias("after"),
+        F.array_compact(after).alias("after"),
     )
     results = turns.where("role = 'assistant'").select(
         "conv_id",

@@ -18,6 +18,7 @@ as $ref, anyOf, pattern or minimum, are not.
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +36,8 @@ KINDS = {
     "null": ["null"],
 }
 
+# A tool table larger than this is refused: it goes through the driver and is broadcast.
+MAX_TOOL_BYTES = 8 << 20
 
 # One schema within a tool's parameters. Schemas in it are named by their places in
 # the tool's list; kinds and enum are null where anything is admitted.
@@ -158,14 +161,67 @@ def unlinked_rows(calls: DataFrame, results: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1], allowMissingColumns=True).select(*columns)
 
 
+def _same(a: DataFrame, left: str, b: DataFrame, right: str) -> Column:
+    """Columns `left` of a and `right` of b name one call of one conversation.
+
+    b has its conversation in k_conv; a null conversation is equal to itself.
+    """
+    return a["conv_id"].eqNullSafe(b["k_conv"]) & (a[left] == b[right])
+
+
+def _chain_ends(edges: DataFrame) -> DataFrame:
+    """Where single-file runs of calls begin: (conv_id, call_id, to, steps, ends).
+
+    Edges have one row per call: the only call it names. Following them from a call
+    leads over `steps` calls to the first one that is not in the table, `to`. Every
+    round doubles the steps of the calls still under way, so there are about log2 of
+    the longest run. Calls that run into a cycle never get there; they are all that
+    is left when a round brings nobody there, and have ends = false.
+    """
+    inside = edges.select(F.col("conv_id").alias("k_conv"), F.col("call_id").alias("k_call"))
+    hops = edges.withColumn("steps", F.lit(1).cast("long"))
+    onward = hops.join(inside, _same(hops, "to", inside, "k_call"), "left_semi")
+    there = hops.join(inside, _same(hops, "to", inside, "k_call"), "left_anti")
+    hops = cut_lineage(
+        onward.withColumn("ends", F.lit(False)).unionByName(there.withColumn("ends", F.lit(True)))
+    )
+    under_way = hops.where("NOT ends").count()
+    while under_way:
+        going = hops.where("NOT ends")
+        via = hops.select(
+            F.col("conv_id").alias("k_conv"),
+            F.col("call_id").alias("k_call"),
+            F.col("to").alias("k_to"),
+            F.col("steps").alias("k_steps"),
+            F.col("ends").alias("k_ends"),
+        )
+        moved = going.join(via, _same(going, "to", via, "k_call")).select(
+            "conv_id",
+            "call_id",
+            F.col("k_to").alias("to"),
+            (F.col("steps") + F.col("k_steps")).alias("steps"),
+            F.col("k_ends").alias("ends"),
+        )
+        hops = cut_lineage(hops.where("ends").unionByName(moved))
+        left = hops.where("NOT ends").count()
+        if left == under_way:
+            break
+        under_way = left
+    return hops
+
+
 def call_levels(calls: DataFrame) -> DataFrame:
     """Topological level of every call: (conv_id, call_id, level, missing).
 
     Calls that name no call of their conversation have level 0, others one more
     than the highest they name. Calls on a cycle, or after one, have no level.
-    `missing` counts names of calls that do not exist. One round of joins per
-    level; only calls that still wait take part, and each round is written to the
-    checkpoint folder.
+    `missing` counts names of calls that do not exist; a name given twice counts once.
+
+    Calls that name one call form runs, which are followed by doubling (see
+    `_chain_ends`): a conversation of n calls one after the other takes log2 n
+    rounds. Calls that name several wait in rounds, one for each of them on the
+    longest way; only those that still wait take part. Every round is written to
+    the checkpoint folder. Calls are never gathered by conversation.
     """
     known = calls.dropna(subset=["call_id"]).select("conv_id", "call_id").distinct()
     named = (
@@ -174,42 +230,80 @@ def call_levels(calls: DataFrame) -> DataFrame:
         .dropna(subset=["needs"])
         .distinct()
     )
-    same = lambda a, b: a["conv_id"].eqNullSafe(b["k_conv"]) & (a["needs"] == b["k_call"])
     targets = known.select(F.col("conv_id").alias("k_conv"), F.col("call_id").alias("k_call"))
-    missing = named.join(targets, same(named, targets), "left_anti").groupBy("conv_id", "call_id")
+    found = _same(named, "needs", targets, "k_call")
+    missing = named.join(targets, found, "left_anti").groupBy("conv_id", "call_id")
     missing = missing.agg(F.count(F.lit(1)).alias("missing"))
-    waiting = cut_lineage(named.join(targets, same(named, targets), "left_semi"))
+    edges = cut_lineage(named.join(targets, found, "left_semi"))
 
-    blocked = waiting.select("conv_id", "call_id").distinct()
-    pair = lambda a, b: (
-        a["conv_id"].eqNullSafe(b["conv_id"]) & (a["call_id"] == b["call_id"])
+    named_by = edges.groupBy("conv_id", "call_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("needs").alias("to")
     )
-    ready = cut_lineage(
-        known.join(blocked, pair(known, blocked), "left_anti").withColumn("level", F.lit(0))
+    hops = _chain_ends(named_by.where("n = 1").drop("n"))
+    several = named_by.where("n > 1").select(
+        F.col("conv_id").alias("k_conv"), F.col("call_id").alias("k_call")
     )
-    levels, level = [ready], 0
+    naming = edges.select(F.col("conv_id").alias("k_conv"), F.col("call_id").alias("k_call")).distinct()
+    free = known.join(naming, _same(known, "call_id", naming, "k_call"), "left_anti")
+
+    # Every call's way to the next one that names none or several, null where a cycle bars it.
+    itself = F.col("call_id").alias("head"), F.lit(0).cast("long").alias("steps")
+    ways = hops.select(
+        "conv_id", "call_id", F.when(F.col("ends"), F.col("to")).alias("head"), "steps"
+    )
+    for others in (free, several.select(F.col("k_conv").alias("conv_id"), F.col("k_call").alias("call_id"))):
+        ways = ways.unionByName(others.select("conv_id", "call_id", *itself))
+    ways = cut_lineage(ways)
+
+    own = ways.select(
+        F.col("conv_id").alias("k_conv"), F.col("call_id").alias("k_call"), "head", "steps"
+    )
+    waiting = edges.join(several, _same(edges, "call_id", several, "k_call"), "left_semi")
+    waiting = cut_lineage(
+        waiting.join(own, _same(waiting, "needs", own, "k_call")).select(
+            "conv_id",
+            "call_id",
+            "head",
+            (F.col("steps") + 1).alias("steps"),
+            F.lit(None).cast("long").alias("reached"),
+        )
+    )
+    ready = free.withColumn("level", F.lit(0).cast("long"))
+    levels = [ready]
     while not waiting.isEmpty() and not ready.isEmpty():
-        level += 1
-        done = ready.select(F.col("conv_id").alias("k_conv"), F.col("call_id").alias("k_call"))
-        left = cut_lineage(waiting.join(done, same(waiting, done), "left_anti"))
-        before, after = (t.select("conv_id", "call_id").distinct() for t in (waiting, left))
+        done = ready.select(
+            F.col("conv_id").alias("k_conv"), F.col("call_id").alias("k_call"), "level"
+        )
+        waiting = cut_lineage(
+            waiting.join(done, _same(waiting, "head", done, "k_call"), "left").select(
+                "conv_id",
+                "call_id",
+                "head",
+                "steps",
+                F.coalesce("reached", F.col("steps") + F.col("level")).alias("reached"),
+            )
+        )
         ready = cut_lineage(
-            before.join(after, pair(before, after), "left_anti").withColumn("level", F.lit(level))
+            waiting.groupBy("conv_id", "call_id")
+            .agg(F.count(F.lit(1)).alias("n"), F.count("reached").alias("k"), F.max("reached").alias("level"))
+            .where("n = k")
+            .select("conv_id", "call_id", "level")
         )
         levels.append(ready)
-        waiting = left
-    stuck = waiting.select("conv_id", "call_id").distinct().withColumn("level", F.lit(None).cast("int"))
-    every = stuck
-    for part in levels:
-        every = every.unionByName(part)
+        past = ready.select(F.col("conv_id").alias("k_conv"), F.col("call_id").alias("k_call"))
+        waiting = waiting.join(past, _same(waiting, "call_id", past, "k_call"), "left_anti")
+    tops = reduce(DataFrame.unionByName, levels).select(
+        F.col("conv_id").alias("k_conv"), F.col("call_id").alias("k_call"), "level"
+    )
+    every = ways.join(tops, _same(ways, "head", tops, "k_call"), "left").select(
+        "conv_id", "call_id", (F.col("steps") + F.col("level")).cast("int").alias("level")
+    )
     missing = missing.select(
         F.col("conv_id").alias("k_conv"), F.col("call_id").alias("k_call"), "missing"
     )
-    return every.join(
-        missing,
-        every["conv_id"].eqNullSafe(missing["k_conv"]) & (every["call_id"] == missing["k_call"]),
-        "left",
-    ).select("conv_id", "call_id", "level", F.coalesce("missing", F.lit(0)).alias("missing"))
+    return every.join(missing, _same(every, "call_id", missing, "k_call"), "left").select(
+        "conv_id", "call_id", "level", F.coalesce("missing", F.lit(0)).alias("missing")
+    )
 
 
 def _rules(parameters: str) -> tuple[list[tuple], int]:
@@ -276,12 +370,17 @@ def argument_errors(calls: DataFrame, tools: DataFrame) -> DataFrame:
     errors unless additionalProperties allows them or, in an inner object, its
     schema names none. A null name is an unknown tool.
 
-    The tool table has one row per name and is small: it is the set of tools a
-    model is given, not data of the corpus. It is read on the driver.
+    Of several tools with one name the one with the smallest parameters text counts;
+    one without parameters is unknown. The tool table is the set of tools a model is
+    given, not data of the corpus: it is compiled on the driver and broadcast, and
+    refused with a ValueError above MAX_TOOL_BYTES.
     """
     spark, compiled, depth = calls.sparkSession, [], 0
-    one_each = tools.groupBy("name").agg(F.min("parameters").alias("parameters"))
-    for name, parameters in one_each.dropna().collect():
+    one_each = tools.groupBy("name").agg(F.min("parameters").alias("parameters")).dropna()
+    size = one_each.agg(F.sum(F.octet_length("name") + F.octet_length("parameters"))).first()[0] or 0
+    if size > MAX_TOOL_BYTES:
+        raise ValueError(f"tools of {size} bytes; at most {MAX_TOOL_BYTES} are taken")
+    for name, parameters in one_each.collect():
         rules, below = _rules(parameters)
         compiled.append((name, rules))
         depth = max(depth, below)

@@ -199,6 +199,45 @@ def test_calls_are_linked_ordered_and_validated(spark):
     assert nothing.count() == 0
 
 
+def plain_levels(after: dict[str, list[str]]) -> dict[str, int | None]:
+    """Longest ways of one conversation; None on and behind cycles."""
+    needs = {c: [n for n in ns if n in after] for c, ns in after.items()}
+    levels: dict[str, int] = {}
+    while ready := [c for c, ns in needs.items() if c not in levels and all(n in levels for n in ns)]:
+        levels.update({c: 1 + max((levels[n] for n in needs[c]), default=-1) for c in ready})
+    return {c: levels.get(c) for c in after}
+
+
+def test_levels_of_long_chains_and_graphs(spark, monkeypatch):
+    rounds = []
+    cut = tool_calls.cut_lineage
+    monkeypatch.setattr(tool_calls, "cut_lineage", lambda df: rounds.append(1) or cut(df))
+    rng = random.Random(3)
+    graphs = {
+        1: {f"c{i}": [f"c{i - 1}"] if i else [] for i in range(1000)},
+        None: {f"c{i}": [f"c{i - 1}"] if i else [] for i in range(5)},
+        2: {f"c{i}": [f"c{(i + 1) % 7}"] for i in range(7)} | {"t0": ["c0"], "t1": ["t0"], "m": ["t1", "e"], "e": []},
+    }
+    for g in range(3, 20):
+        graphs[g] = {
+            f"c{i}": [f"c{rng.randrange(40 if rng.random() < 0.01 else max(i, 1))}" for _ in range(rng.choice([0, 1, 1, 1, 2, 3]))]
+            for i in range(40)
+        }
+    rows = [(g, c, ns) for g, graph in graphs.items() for c, ns in graph.items()]
+    calls = spark.createDataFrame(rows, "conv_id long, call_id string, after array<string>")
+    got = {(r.conv_id, r.call_id): r.level for r in tool_calls.call_levels(calls).collect()}
+    assert got == {(g, c): v for g, graph in graphs.items() for c, v in plain_levels(graph).items()}
+    assert got[1, "c999"] == 999 and len(rounds) < 60
+
+
+def test_tool_tables_of_any_size_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(tool_calls, "MAX_TOOL_BYTES", 10)
+    tools = spark.createDataFrame([("find", '{"type": "object"}')], "name string, parameters string")
+    calls = spark.createDataFrame([("find", "{}")], "name string, arguments string")
+    with pytest.raises(ValueError):
+        tool_calls.argument_errors(calls, tools)
+
+
 def test_arguments_are_checked_at_any_depth(spark):
     schema = {
         "type": "object",
