@@ -18,12 +18,14 @@ as $ref, anyOf, pattern or minimum, are not.
 from __future__ import annotations
 
 import json
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
+from passagedex.llm.common import Scratch
 from passagedex.session import cut_lineage
+from passagedex.sources.storage import fresh_folder
 
 # Type names of a JSON schema and the kinds of values they admit.
 KINDS = {
@@ -169,47 +171,118 @@ def _same(a: DataFrame, left: str, b: DataFrame, right: str) -> Column:
     return a["conv_id"].eqNullSafe(b["k_conv"]) & (a[left] == b[right])
 
 
-def _chain_ends(edges: DataFrame) -> DataFrame:
+def _keyed(df: DataFrame, *columns) -> DataFrame:
+    """The table with conv_id and call_id as k_conv and k_call, for joins with `_same`."""
+    return df.select(F.col("conv_id").alias("k_conv"), F.col("call_id").alias("k_call"), *columns)
+
+
+def _chain_ends(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """Where single-file runs of calls begin: (conv_id, call_id, to, steps, ends).
 
-    Edges have one row per call: the only call it names. Following them from a call
-    leads over `steps` calls to the first one that is not in the table, `to`. Every
-    round doubles the steps of the calls still under way, so there are about log2 of
-    the longest run. Calls that run into a cycle never get there; they are all that
-    is left when a round brings nobody there, and have ends = false.
+    Edges (conv_id, call_id, to, steps) have one row per call. Following them from a
+    call leads in `steps` to the first `to` that has no row, or is null. Every round
+    doubles the way of the calls still going, so there are about log2 of the longest
+    run. Calls that run into a cycle never arrive; they are all that is left when a
+    round lets nobody arrive, and have ends = false.
     """
-    inside = edges.select(F.col("conv_id").alias("k_conv"), F.col("call_id").alias("k_call"))
-    hops = edges.withColumn("steps", F.lit(1).cast("long"))
-    onward = hops.join(inside, _same(hops, "to", inside, "k_call"), "left_semi")
-    there = hops.join(inside, _same(hops, "to", inside, "k_call"), "left_anti")
-    hops = cut_lineage(
+    inside = _keyed(edges)
+    onward = edges.join(inside, _same(edges, "to", inside, "k_call"), "left_semi")
+    there = edges.join(inside, _same(edges, "to", inside, "k_call"), "left_anti")
+    hops = scratch.keep(
         onward.withColumn("ends", F.lit(False)).unionByName(there.withColumn("ends", F.lit(True)))
     )
-    under_way = hops.where("NOT ends").count()
-    while under_way:
-        going = hops.where("NOT ends")
-        via = hops.select(
-            F.col("conv_id").alias("k_conv"),
-            F.col("call_id").alias("k_call"),
+    going = hops.where("NOT ends").count()
+    while going:
+        rest = hops.where("NOT ends")
+        via = _keyed(
+            hops,
             F.col("to").alias("k_to"),
             F.col("steps").alias("k_steps"),
             F.col("ends").alias("k_ends"),
         )
-        moved = going.join(via, _same(going, "to", via, "k_call")).select(
+        moved = rest.join(via, _same(rest, "to", via, "k_call")).select(
             "conv_id",
             "call_id",
             F.col("k_to").alias("to"),
             (F.col("steps") + F.col("k_steps")).alias("steps"),
             F.col("k_ends").alias("ends"),
         )
-        hops = cut_lineage(hops.where("ends").unionByName(moved))
-        left = hops.where("NOT ends").count()
-        if left == under_way:
+        before, hops = hops, scratch.keep(hops.where("ends").unionByName(moved))
+        scratch.drop(before)
+        left, going = going, hops.where("NOT ends").count()
+        if left == going:
             break
-        under_way = left
     return hops
 
 
+def _longest_ways(calls: DataFrame, edges: DataFrame, free: DataFrame) -> DataFrame:
+    """(conv_id, call_id, level) of the calls in `edges`, which name known calls.
+
+    A way (call, to, steps) says that the call comes `steps` after `to`, or has that
+    level where `to` is null. Of several ways of a call to the same place the longest
+    counts. Calls with one way left are followed to where runs begin, by doubling,
+    and the ways of the others are led on to there, where they may meet in turn.
+    Ways to calls without names of their own all meet at the bottom, so each round
+    settles at least the lowest calls that name several. Rounds that settle nothing
+    leave calls on or behind cycles, which get no level.
+    """
+    spark = calls.sparkSession
+    scratch, settled = Scratch(spark, "levels"), fresh_folder(spark, "levels")
+    bottom = _keyed(free, F.lit(True).alias("k_free"))
+
+    def shortened(ways: DataFrame) -> DataFrame:
+        longest = ways.groupBy("conv_id", "call_id", "to").agg(F.max("steps").alias("steps"))
+        return scratch.keep(longest)
+
+    ways = shortened(
+        edges.join(bottom, _same(edges, "needs", bottom, "k_call"), "left").select(
+            "conv_id",
+            "call_id",
+            F.when(F.col("k_free").isNull(), F.col("needs")).alias("to"),
+            F.lit(1).cast("long").alias("steps"),
+        )
+    )
+    levels = StructType([*ways.select("conv_id", "call_id").schema, StructField("level", LongType())])
+    n_ways, n_round = ways.count(), 0
+    while n_ways:
+        counted = ways.groupBy("conv_id", "call_id").agg(
+            F.count(F.lit(1)).alias("n"), F.max("to").alias("to"), F.max("steps").alias("steps")
+        )
+        hops = _chain_ends(scratch, counted.where("n = 1").drop("n"))
+        hops.where("ends AND to IS NULL").select(
+            "conv_id", "call_id", F.col("steps").alias("level")
+        ).write.parquet(f"{settled}/{n_round}")
+        via = _keyed(
+            hops,
+            F.col("to").alias("k_to"),
+            F.col("steps").alias("k_steps"),
+            F.col("ends").alias("k_ends"),
+        )
+        single = _keyed(hops)
+        others = ways.join(single, _same(ways, "call_id", single, "k_call"), "left_anti")
+        # A way into a cycle becomes a cycle of its own call, which never settles.
+        led = others.join(via, _same(others, "to", via, "k_call"), "left").select(
+            "conv_id",
+            "call_id",
+            F.when(F.col("k_ends").isNull(), F.col("to"))
+            .when(F.col("k_ends"), F.col("k_to"))
+            .otherwise(F.col("call_id"))
+            .alias("to"),
+            (F.col("steps") + F.when(F.col("k_ends"), F.col("k_steps")).otherwise(0)).alias("steps"),
+        )
+        going = hops.where("ends AND to IS NOT NULL").drop("ends")
+        barred = hops.where("NOT ends").select("conv_id", "call_id", F.col("call_id").alias("to"))
+        barred = barred.withColumn("steps", F.lit(1).cast("long"))
+        before, ways = ways, shortened(led.unionByName(going).unionByName(barred))
+        scratch.drop(before, hops)
+        left, n_ways, n_round = n_ways, ways.count(), n_round + 1
+        if n_ways == left:
+            break
+    if not n_round:
+        return spark.createDataFrame([], levels)
+    return spark.read.schema(levels).option("recursiveFileLookup", "true").parquet(settled)
+
+
 def call_levels(calls: DataFrame) -> DataFrame:
     """Topological level of every call: (conv_id, call_id, level, missing).
 
@@ -217,11 +290,10 @@ def call_levels(calls: DataFrame) -> DataFrame:
     than the highest they name. Calls on a cycle, or after one, have no level.
     `missing` counts names of calls that do not exist; a name given twice counts once.
 
-    Calls that name one call form runs, which are followed by doubling (see
-    `_chain_ends`): a conversation of n calls one after the other takes log2 n
-    rounds. Calls that name several wait in rounds, one for each of them on the
-    longest way; only those that still wait take part. Every round is written to
-    the checkpoint folder. Calls are never gathered by conversation.
+    A conversation of n calls one after the other takes log2 n rounds of joins (see
+    `_longest_ways`); calls that name several add rounds only where their ways do not
+    meet. Every round is written to the shared folder. Calls are never gathered by
+    conversation.
     """
     known = calls.dropna(subset=["call_id"]).select("conv_id", "call_id").distinct()
     named = (
@@ -230,76 +302,20 @@ def call_levels(calls: DataFrame) -> DataFrame:
         .dropna(subset=["needs"])
         .distinct()
     )
-    targets = known.select(F.col("conv_id").alias("k_conv"), F.col("call_id").alias("k_call"))
+    targets = _keyed(known)
     found = _same(named, "needs", targets, "k_call")
-    missing = named.join(targets, found, "left_anti").groupBy("conv_id", "call_id")
+    missing = _keyed(named.join(targets, found, "left_anti")).groupBy("k_conv", "k_call")
     missing = missing.agg(F.count(F.lit(1)).alias("missing"))
     edges = cut_lineage(named.join(targets, found, "left_semi"))
-
-    named_by = edges.groupBy("conv_id", "call_id").agg(
-        F.count(F.lit(1)).alias("n"), F.min("needs").alias("to")
-    )
-    hops = _chain_ends(named_by.where("n = 1").drop("n"))
-    several = named_by.where("n > 1").select(
-        F.col("conv_id").alias("k_conv"), F.col("call_id").alias("k_call")
-    )
-    naming = edges.select(F.col("conv_id").alias("k_conv"), F.col("call_id").alias("k_call")).distinct()
+    naming = _keyed(edges).distinct()
     free = known.join(naming, _same(known, "call_id", naming, "k_call"), "left_anti")
+    free = cut_lineage(free)
 
-    # Every call's way to the next one that names none or several, null where a cycle bars it.
-    itself = F.col("call_id").alias("head"), F.lit(0).cast("long").alias("steps")
-    ways = hops.select(
-        "conv_id", "call_id", F.when(F.col("ends"), F.col("to")).alias("head"), "steps"
-    )
-    for others in (free, several.select(F.col("k_conv").alias("conv_id"), F.col("k_call").alias("call_id"))):
-        ways = ways.unionByName(others.select("conv_id", "call_id", *itself))
-    ways = cut_lineage(ways)
-
-    own = ways.select(
-        F.col("conv_id").alias("k_conv"), F.col("call_id").alias("k_call"), "head", "steps"
-    )
-    waiting = edges.join(several, _same(edges, "call_id", several, "k_call"), "left_semi")
-    waiting = cut_lineage(
-        waiting.join(own, _same(waiting, "needs", own, "k_call")).select(
-            "conv_id",
-            "call_id",
-            "head",
-            (F.col("steps") + 1).alias("steps"),
-            F.lit(None).cast("long").alias("reached"),
-        )
-    )
-    ready = free.withColumn("level", F.lit(0).cast("long"))
-    levels = [ready]
-    while not waiting.isEmpty() and not ready.isEmpty():
-        done = ready.select(
-            F.col("conv_id").alias("k_conv"), F.col("call_id").alias("k_call"), "level"
-        )
-        waiting = cut_lineage(
-            waiting.join(done, _same(waiting, "head", done, "k_call"), "left").select(
-                "conv_id",
-                "call_id",
-                "head",
-                "steps",
-                F.coalesce("reached", F.col("steps") + F.col("level")).alias("reached"),
-            )
-        )
-        ready = cut_lineage(
-            waiting.groupBy("conv_id", "call_id")
-            .agg(F.count(F.lit(1)).alias("n"), F.count("reached").alias("k"), F.max("reached").alias("level"))
-            .where("n = k")
-            .select("conv_id", "call_id", "level")
-        )
-        levels.append(ready)
-        past = ready.select(F.col("conv_id").alias("k_conv"), F.col("call_id").alias("k_call"))
-        waiting = waiting.join(past, _same(waiting, "call_id", past, "k_call"), "left_anti")
-    tops = reduce(DataFrame.unionByName, levels).select(
-        F.col("conv_id").alias("k_conv"), F.col("call_id").alias("k_call"), "level"
-    )
-    every = ways.join(tops, _same(ways, "head", tops, "k_call"), "left").select(
-        "conv_id", "call_id", (F.col("steps") + F.col("level")).cast("int").alias("level")
-    )
-    missing = missing.select(
-        F.col("conv_id").alias("k_conv"), F.col("call_id").alias("k_call"), "missing"
+    above = _keyed(_longest_ways(calls, edges, free), "level")
+    lowest = _keyed(free, F.lit(0).cast("long").alias("level"))
+    tops = above.unionByName(lowest)
+    every = known.join(tops, _same(known, "call_id", tops, "k_call"), "left").select(
+        "conv_id", "call_id", F.col("level").cast("int").alias("level")
     )
     return every.join(missing, _same(every, "call_id", missing, "k_call"), "left").select(
         "conv_id", "call_id", "level", F.coalesce("missing", F.lit(0)).alias("missing")

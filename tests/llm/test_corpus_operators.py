@@ -210,8 +210,8 @@ def plain_levels(after: dict[str, list[str]]) -> dict[str, int | None]:
 
 def test_levels_of_long_chains_and_graphs(spark, monkeypatch):
     rounds = []
-    cut = tool_calls.cut_lineage
-    monkeypatch.setattr(tool_calls, "cut_lineage", lambda df: rounds.append(1) or cut(df))
+    keep = tool_calls.Scratch.keep
+    monkeypatch.setattr(tool_calls.Scratch, "keep", lambda self, df: rounds.append(1) or keep(self, df))
     rng = random.Random(3)
     graphs = {
         1: {f"c{i}": [f"c{i - 1}"] if i else [] for i in range(1000)},
