@@ -245,6 +245,28 @@ def test_scores_are_summed_without_a_shuffle(spark, built):
     assert "WindowGroupLimit" in search
 
 
+def test_matches_move_to_their_query_once(spark, built):
+    plan = built[0].search(asked(spark, QUERIES), 5)._jdf.queryExecution().executedPlan().toString()
+    moves = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+    assert not [line for line in moves if "doc_key" in line]
+    # One of the matches, one of the bare query ids that ask for padding.
+    assert len([line for line in moves if "term" not in line]) == 2
+
+
+def test_rankings_of_many_rows_are_cut_in_slices(spark, built):
+    index = open_index(spark, built[1])
+    index.rows_per_ranking = 20
+    check(index, spark, corpus(), QUERIES, 10)
+    check(index, spark, corpus(), QUERIES[:3], 200)
+
+
+def test_a_query_given_twice_is_one_query(spark, built):
+    once = hits(built[0].search(asked(spark, ["w59", "zzz"]), 6))
+    rows = [(0, "w59"), (1, "zzz"), (1, None), (1, ""), (0, "")]
+    again = spark.createDataFrame(rows, "query_id int, text string")
+    assert hits(built[0].search(again, 6)) == once
+
+
 def test_writers_never_share_a_batch_number(spark, tmp_path):
     path = str(tmp_path / "index")
     first = create_index(spark, path, 2)
