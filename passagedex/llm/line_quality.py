@@ -24,6 +24,10 @@ BOILERPLATE = (
     "powered by|follow us on|share this page"
 )
 
+# Marks that end sentences or clauses, by script: Latin, full-width and ideographic,
+# Arabic and Urdu, Devanagari, Armenian, Ethiopic, Myanmar, Khmer, Tibetan. Fixed values.
+SENTENCE_ENDS = ".!?:;…" "。！？：；｡" "؟؛۔" "।॥" "։" "።፣፤፥፧፨" "၊။" "។៕" "།༎"
+
 
 @dataclass(frozen=True)
 class LineRules:
@@ -36,6 +40,7 @@ class LineRules:
     max_symbol_percent: int = 10
     max_shouted_percent: int = 20
     unpunctuated_words: int = 25
+    boilerplate_words: int = 25
     max_loss_percent: int = 50
 
 
@@ -58,7 +63,8 @@ def _pairs(text: Column, mark: str) -> Column:
 def line_fails(line: Column, rules: LineRules) -> Column:
     """Whether a line is navigation, boilerplate, symbols, shouting or an endless list.
 
-    Lines without a word never fail.
+    Lines without a word never fail. A phrase of page furniture counts in lines of
+    fewer than `boilerplate_words` words only: longer ones are prose that mentions it.
     """
     letters = _letters(line)
     blanks = _count(line, BLANKS)
@@ -69,8 +75,8 @@ def line_fails(line: Column, rules: LineRules) -> Column:
     shouted = (_pairs(line, "!!") >= 3) & (
         _pairs(line, "!!") * 100 >= (blanks + 1) * rules.max_shouted_percent
     )
-    unpunctuated = (blanks + 1 >= rules.unpunctuated_words) & (_count(line, ".!?:;…。！？") == 0)
-    boilerplate = F.lower(line).rlike(BOILERPLATE)
+    unpunctuated = (blanks + 1 >= rules.unpunctuated_words) & (_count(line, SENTENCE_ENDS) == 0)
+    boilerplate = (blanks + 1 < rules.boilerplate_words) & F.lower(line).rlike(BOILERPLATE)
     return (letters > 0) & (navigation | symbols | shouted | unpunctuated | boilerplate)
 
 

@@ -87,8 +87,8 @@ WITH d AS (
 ), judged AS (
   SELECT *, letters > 0 AND (marks >= 2 OR symbols * 100 >= letters * 10
     OR (shouts >= 3 AND shouts * 100 >= blanks * 20)
-    OR (blanks >= 25 AND NOT regexp_matches(line, '[.!?:;…。！？]'))
-    OR regexp_matches(lower(line), 'all rights reserved|cookie policy|privacy policy|terms of service|terms of use|enable javascript|click here|subscribe to our|sign up for|log in to|skip to content|powered by|follow us on|share this page')) AS bad
+    OR (blanks >= 25 AND NOT regexp_matches(line, '[.!?:;…。！？：；｡؟؛۔।॥։።፣፤፥፧፨၊။។៕།༎]'))
+    OR blanks < 25 AND regexp_matches(lower(line), 'all rights reserved|cookie policy|privacy policy|terms of service|terms of use|enable javascript|click here|subscribe to our|sign up for|log in to|skip to content|powered by|follow us on|share this page')) AS bad
   FROM lines
 ), per_line AS (
   SELECT rid, count(*) FILTER (worded) - count(DISTINCT line) FILTER (worded) AS n_dup_lines,

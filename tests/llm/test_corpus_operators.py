@@ -576,6 +576,20 @@ def test_line_measures(spark, docs, rows, empty):
     assert line_quality.measure_lines(empty).count() == 0
 
 
+def test_prose_of_other_scripts_and_mentions_of_phrases_stay(spark):
+    ends = {"hindi": "।", "arabic": "؟", "urdu": "۔", "chinese": "。", "amharic": "።"}
+    words = [f"{a}{b}" for a in "कखगघचछ" for b in "टठडढणतथ"]
+    mention = " ".join(f"word{i}" for i in range(30)) + " as our privacy policy says here."
+    table = [(name, " ".join(words) + end) for name, end in ends.items()]
+    table += [("mention", mention), ("endless", " ".join(words)), ("short", "Read our privacy policy")]
+    df = spark.createDataFrame(table, "doc_id string, text string")
+    got = {r.doc_id: (r.quality.n_failed_lines, r.quality.kept) for r in line_quality.measure_lines(df).collect()}
+    assert {k: v for k, v in got.items() if k not in ("endless", "short")} == {
+        name: (0, True) for name in [*ends, "mention"]
+    }
+    assert got["endless"] == (1, False) and got["short"][0] == 1
+
+
 def test_lines_that_fail(spark):
     prose = "These are plain words of a sentence that ends well. " * 3
     bad = [
