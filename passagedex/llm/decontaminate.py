@@ -10,6 +10,7 @@ places in the original text.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
 import numpy as np
@@ -23,7 +24,7 @@ from passagedex.session import cut_lineage
 WINDOW = 10
 
 # Item text that one automaton is built from; about half a gigabyte of nodes in a
-# worker. More items are scanned in several rounds.
+# worker. More items have several automata.
 MAX_ITEM_BYTES = 1 << 20
 
 # A-Z to a-z, other ASCII but letters and digits to space, bytes of longer
@@ -146,6 +147,29 @@ def _scanner(docs: DataFrame, items: list, width: int):
     return scanned
 
 
+def _text_key(text: Column) -> Column:
+    return F.sha2(text.cast("binary"), 256)
+
+
+def _found_by(docs: DataFrame, texts: Column, items: list, width: int) -> DataFrame:
+    """(key, found) of the different texts that hold a window of these items."""
+    # Not deterministic: else the filter would scan every text a second time.
+    scanner = _scanner(docs, items, width).asNondeterministic()
+    scanned = docs.select(_text_key(texts).alias("key"), scanner(texts).alias("found"))
+    return cut_lineage(scanned.where(F.size("found.hits") > 0).dropDuplicates(["key"]))
+
+
+def _of_all_blocks(parts: list[DataFrame]) -> DataFrame:
+    """What several automata found in a text, a row for each text; runs are still apart."""
+    every = reduce(DataFrame.unionByName, parts).groupBy("key")
+    return every.agg(
+        F.struct(
+            F.flatten(F.collect_list("found.hits")).alias("hits"),
+            F.flatten(F.collect_list("found.items")).alias("items"),
+        ).alias("found")
+    )
+
+
 def find_benchmark(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -164,22 +188,26 @@ def find_benchmark(
     words than the window is one window. Repeated rows are scanned one by one.
     An input column `leaks` is replaced.
 
-    Benchmarks above the bound of one automaton are scanned in further rounds
-    over a written copy of the table, each with its own automaton.
+    Benchmarks above the bound of one automaton have one automaton for every megabyte.
+    Each scans the table; what the later ones find, and nothing else, is written, by a
+    hash of the text, and joined to the rows at the end.
     """
     docs = docs.drop("leaks")
-    found = unused(docs, "found")
-    scanned, n_rounds = docs, 0
-    for block in _item_blocks(benchmark, item_id, item_text):
-        scanner = _scanner(docs, block, width)
-        if n_rounds:
-            scanned = cut_lineage(scanned)
-            scanned = scanned.withColumn(found + "2", scanner(column(scanned, text)))
-            both = _merged(F.col(found), F.col(found + "2"))
-            scanned = scanned.withColumn(found, both).drop(found + "2")
-        else:
-            scanned = scanned.withColumn(found, scanner(column(scanned, text)))
-        n_rounds += 1
+    found, key = unused(docs, "found"), unused(docs, "text_key")
+    found_later, key_later = unused(docs, "found_later"), unused(docs, "key_later")
+    texts = column(docs, text)
+    blocks = _item_blocks(benchmark, item_id, item_text)
+    scanned = docs.withColumn(found, _scanner(docs, next(blocks), width)(texts))
+    later = [_found_by(docs, texts, block, width) for block in blocks]
+    if later:
+        other = _of_all_blocks(later).withColumnsRenamed({"key": key_later, "found": found_later})
+        scanned = scanned.withColumn(key, _text_key(column(scanned, text)))
+        scanned = scanned.join(other, F.col(key) == F.col(key_later), "left").withColumn(
+            found,
+            F.when(F.col(key_later).isNull(), F.col(found)).otherwise(
+                _merged(F.col(found), F.col(found_later))
+            ),
+        )
     f = F.col(found)
     n_hit = F.aggregate(
         f["hits"], F.lit(0).cast("long"), lambda acc, x: acc + x["last"] - x["first"] + 1
@@ -189,7 +217,7 @@ def find_benchmark(
 
 
 def _merged(one: Column, two: Column) -> Column:
-    """What two rounds found in the same text; runs that touch or overlap become one."""
+    """What automata found in the same text; runs that touch or overlap become one."""
 
     def joined(acc: Column, run: Column) -> Column:
         last = F.element_at(acc, -1)
