@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from passagedex.functions.bm25 import Parameters
+from passagedex.operators import statistics
 from passagedex.plans import lexical
 from passagedex.plans.lexical import build_index, create_index, open_index, rebuild_from_passages
 from tests import plain
@@ -305,3 +306,48 @@ def test_a_writer_publishing_inside_another_publish_loses_nothing(spark, tmp_pat
     for name in ("zero", "one", "two"):
         best = last.records(last.search_one(name, 1)).first()
         assert best["document"] == f"only {name}"
+
+
+def test_a_shard_is_small_whatever_the_input():
+    for n_bytes in (10**8, 10**9, 6 * 10**9, 10**11):
+        assert n_bytes / lexical.shards_for(n_bytes) <= 8_000_000
+
+
+def test_unpruned_rankings_leave_out_matches_below_the_floor(spark, built):
+    index = open_index(spark, built[1])
+    index.direct_postings, index.worth_pruning = 0, 0.0
+    check(index, spark, corpus(), QUERIES, 5)
+    queries = asked(spark, QUERIES)
+    (block,) = index._blocks(queries)
+    kept = {(r["query_id"], r["doc_key"]) for r in index._best_matches(block, 5).collect()}
+    scored = {(r["query_id"], r["doc_key"]) for r in index.scores(queries).collect()}
+    assert kept < scored
+
+
+def test_postings_are_made_from_few_passages_a_task(spark, tmp_path, monkeypatch):
+    tasks = {}
+    insert = lexical.LexicalIndex._insert
+
+    def noted(self, table, rows, batch_id):
+        tasks[table] = rows.rdd.getNumPartitions()
+        insert(self, table, rows, batch_id)
+
+    monkeypatch.setattr(lexical.LexicalIndex, "_insert", noted)
+    split = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    texts = [f"w{i} w{i % 7} w{i % 3}" for i in range(400)]
+    index = build_index(spark, passages(spark, texts), str(tmp_path / "ix"), n_shards=64)
+    # Some 64 files of 4 MB, as Spark reckons the cost of opening one.
+    assert tasks[index._postings] >= 16
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == split
+
+
+def test_postings_meet_their_terms_in_more_tasks_the_more_there_are(spark, monkeypatch):
+    rows = [(f"t{i % 40}", f"d{i}", 1, 3) for i in range(400)]
+    postings = spark.createDataFrame(rows, lexical.POSTING)
+    stats = statistics.document_frequencies(postings).withColumn("idf", F.lit(1.5))
+    monkeypatch.setattr(statistics, "POSTINGS_PER_TASK", 20)
+    joined = statistics.join_term_stats(postings, stats, 400 * 40)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "800)" in plan
+    found = {(r["term"], r["doc_key"], r["df"]) for r in joined.collect()}
+    assert found == {(term, key, 10) for term, key, _, _ in rows}
