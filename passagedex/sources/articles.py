@@ -244,6 +244,11 @@ def list_files(spark: SparkSession, folder: str, glob: str) -> DataFrame:
     )
 
 
+def file_bytes(spark: SparkSession, path: str) -> bytes:
+    """The content of one file."""
+    return spark.read.format("binaryFile").load(_literal(path)).select("content").first()[0]
+
+
 def files_not_in(files: DataFrame, ledger: DataFrame) -> DataFrame:
     """Files whose relative path the ledger does not hold yet."""
     return files.join(ledger.select("rel_path").distinct(), "rel_path", "left_anti")

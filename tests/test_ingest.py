@@ -3,6 +3,7 @@ import json
 
 import pytest
 
+from passagedex import registry
 from passagedex.operators.passages import flatten_articles
 from passagedex.plans.lexical import build_index, open_index
 from passagedex.streaming import ingest
@@ -99,3 +100,25 @@ def test_a_folder_of_damaged_files_gives_an_empty_index(spark, tmp_path):
     (source / "1.bz2").write_bytes(b"BZh9 nothing")
     index = ingest.ingest_folder(spark, str(source), path)
     assert index.document_count() == 0 and ingest.damaged(index).count() == 1
+
+
+def test_the_damaged_file_is_one_tasks_file(spark, tmp_path, monkeypatch):
+    rows = [
+        (i, f"title {i}\nwords of {i}. more", "fr" if i % 3 else "de", f"s{i % 2}", 20)
+        for i in range(200)
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars int")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    tasks = []
+    write = registry._write_lines
+
+    def noted(docs, folder):
+        tasks.append(docs.rdd.getNumPartitions())
+        write(docs, folder)
+
+    monkeypatch.setattr(registry, "_write_lines", noted)
+    found = registry.quarantine_damaged_files(spark, str(tmp_path)).collect()
+    french = sum(row[2] == "fr" for row in rows)
+    # A title and a paragraph each.
+    assert sorted(map(tuple, found)) == [(0, 2 * (200 - french), 1), (1, 2 * french, 0)]
+    assert min(tasks) > 1
