@@ -56,6 +56,9 @@ class HashedWords:
     dimension = 32
     centre = 7.5
 
+    # Words whose vectors are remembered, some 600 bytes each; the others are made again.
+    most_known = 50_000
+
     def __init__(self) -> None:
         self._known: dict[str, np.ndarray] = {}
 
@@ -64,7 +67,7 @@ class HashedWords:
         if vector is None:
             digest = hashlib.md5(word.encode("utf-8")).hexdigest()
             vector = np.array([int(digit, 16) for digit in digest]) - self.centre
-            if len(self._known) < 200_000:
+            if len(self._known) < self.most_known:
                 self._known[word] = vector
         return vector
 

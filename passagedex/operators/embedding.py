@@ -14,6 +14,9 @@ from passagedex.functions.text import as_text
 
 ENCODE_BATCH = 64
 
+# Rows whose texts a task holds as Python strings, and sorts by length, at a time.
+ROWS_AT_ONCE = 1024
+
 Encoder = Callable[[list[str]], np.ndarray]
 
 
@@ -35,17 +38,21 @@ def embed(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder()
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            by_length = sorted(range(len(texts)), key=lambda i: len(texts[i] or ""))
-            rows: list = [None] * len(texts)
-            for at in range(0, len(texts), batch_size):
-                places = by_length[at : at + batch_size]
-                made = np.asarray(encode([texts[i] for i in places]), dtype="float32")
-                for place, row in zip(places, made, strict=True):
-                    rows[place] = row
-            vectors = pa.array(rows, type=pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), vectors], names=[key, "embedding"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(start, ROWS_AT_ONCE)
+                texts = batch.column(1).to_pylist()
+                by_length = sorted(range(len(texts)), key=lambda i: len(texts[i] or ""))
+                rows: list = [None] * len(texts)
+                for at in range(0, len(texts), batch_size):
+                    places = by_length[at : at + batch_size]
+                    made = np.asarray(encode([texts[i] for i in places]), dtype="float32")
+                    for place, row in zip(places, made, strict=True):
+                        rows[place] = row
+                vectors = pa.array(rows, type=pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), vectors], names=[key, "embedding"]
+                )
 
     return df.select(key, as_text(df, column).alias("text")).mapInArrow(run, schema)
 

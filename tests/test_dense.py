@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from passagedex.functions.encoders import HashedWords, masked_mean, pooled
-from passagedex.operators import neighbours
+from passagedex.operators import embedding, neighbours
 from passagedex.operators.embedding import embed, mean_pool
 from passagedex.operators.neighbours import Cells, Sizes, nearest
 from passagedex.plans.dense import build_vector_index, open_vector_index, save_vectors
@@ -216,3 +216,29 @@ def test_pooled_vectors_are_cut_and_do_not_depend_on_batches(spark):
             assert row["embedding"] == pytest.approx(want)
     with pytest.raises(ValueError, match="max_tokens"):
         pooled(letters_model, 0)
+
+
+def test_texts_are_taken_from_a_batch_in_parts(spark, monkeypatch):
+    texts = [f"word{i} again" for i in range(50)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
+    whole = {r["id"]: r["embedding"] for r in embed(df, "id", "text", HashedWords).collect()}
+    monkeypatch.setattr(embedding, "ROWS_AT_ONCE", 7)
+    parts = embed(df, "id", "text", HashedWords)
+    assert {r["id"]: r["embedding"] for r in parts.collect()} == whole
+
+    def at_most_seven():
+        def encode(texts):
+            assert len(texts) <= 7
+            return np.ones((len(texts), 1))
+
+        return encode
+
+    assert embed(df, "id", "text", at_most_seven).count() == 50
+
+
+def test_few_word_vectors_are_remembered(monkeypatch):
+    monkeypatch.setattr(HashedWords, "most_known", 3)
+    words = HashedWords()
+    texts = [f"w{i} w{i + 1}" for i in range(9)]
+    assert (words(texts) == HashedWords()(texts)).all()
+    assert len(words._known) == 3
