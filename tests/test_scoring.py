@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 
 from passagedex.operators import scoring
+from passagedex.plans import lexical
 from passagedex.plans.lexical import build_index, open_index
 from tests.test_lexical import QUERIES, asked, check, corpus, passages
 
@@ -115,3 +116,21 @@ def test_queries_beyond_a_task_and_beyond_a_broadcast(spark, built):
     blocks = index._ranked_blocks(asked(spark, QUERIES))
     assert len(blocks) > 1 and {block.small for block in blocks} == {True, False}
     check(index, spark, corpus(), QUERIES, 10)
+
+
+def test_postings_of_a_large_shard_are_made_by_many_tasks(spark, tmp_path, monkeypatch):
+    tasks = {}
+    insert = lexical.LexicalIndex._insert
+
+    def noted(self, table, rows, batch_id):
+        tasks[table] = rows.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+        insert(self, table, rows, batch_id)
+
+    monkeypatch.setattr(lexical.LexicalIndex, "_insert", noted)
+    monkeypatch.setattr(lexical, "POSTINGS_SPLIT", 20_000)
+    dice = random.Random(9)
+    texts = [" ".join(f"w{dice.randrange(10**6)}" for _ in range(40)) for _ in range(600)]
+    index = build_index(spark, passages(spark, texts), str(tmp_path / "ix"), n_shards=1)
+    made = tasks[index._postings]
+    assert sum(made) >= 600 * 39 and max(made) < sum(made) / 3
+    check(index, spark, texts, [texts[3], "w1 w2", texts[7]], 5)
