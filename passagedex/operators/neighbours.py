@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -38,6 +39,16 @@ MARGIN = 1e-9
 # Query rows handled by one matrix product.
 QUERY_CHUNK = 256
 
+# Queries that must meet no more slices than this are sent to them.
+FEW_SLICES = 4
+
+# Bytes of vectors in a row of a stream, and of the queries that a task holds meanwhile.
+PACK = 256 * 1024
+HELD = 16 * 1024 * 1024
+
+# Tasks a core that a stream is cut into.
+TASKS_PER_CORE = 3
+
 
 def _matrix(column: pa.ChunkedArray | pa.Array, dimension: int) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
@@ -67,18 +78,28 @@ class _Nearest:
         for chunk, start in enumerate(range(0, len(self.queries), QUERY_CHUNK)):
             part = slice(start, start + QUERY_CHUNK)
             queries, q_norms = self.queries[part], self.norms[part]
-            rough = q_norms[:, None] + norms[None, :] - 2.0 * (queries @ vectors.T)
+            rough = queries @ vectors.T
+            rough *= -2.0
+            rough += q_norms[:, None]
+            rough += norms[None, :]
             # The product form rounds; keep a margin and settle on exact gaps.
             margin = MARGIN * (1.0 + q_norms + norms.max(initial=0.0))
-            limit = self.worst[part]
-            if len(keys) > self.k:
-                limit = np.minimum(limit, np.partition(rough, self.k - 1, axis=1)[:, self.k - 1])
-            row, col = np.nonzero(rough <= (limit + margin)[:, None])
+            near = rough <= (self.worst[part] + margin)[:, None]
+            if len(keys) > self.k and np.count_nonzero(near) > self.k * len(queries):
+                limit = np.partition(rough, self.k - 1, axis=1)[:, self.k - 1]
+                near &= rough <= (limit + margin)[:, None]
+            row, col = np.divmod(np.flatnonzero(near), len(keys))
+            if not len(row):
+                continue
             exact = ((queries[row] - vectors[col]) ** 2).sum(axis=1)
-            old_row, old_distance, old_key = self.kept[chunk]
-            row = np.concatenate([old_row, row])
-            distance = np.concatenate([old_distance, exact])
-            key = np.concatenate([old_key, keys[col]])
+            # Only queries that found something are ranked anew.
+            kept = self.kept[chunk]
+            found = np.zeros(len(queries), dtype=bool)
+            found[row] = True
+            again = found[kept[0]]
+            row = np.concatenate([kept[0][again], row])
+            distance = np.concatenate([kept[1][again], exact])
+            key = np.concatenate([kept[2][again], keys[col]])
             order = np.lexsort((key, distance, row))
             row, distance, key = row[order], distance[order], key[order]
             first = np.searchsorted(row, row, side="left")
@@ -86,7 +107,10 @@ class _Nearest:
             best = place < self.k
             last = row[place == self.k - 1]
             self.worst[start + last] = distance[place == self.k - 1]
-            self.kept[chunk] = (row[best], distance[best], key[best])
+            ranked = (row[best], distance[best], key[best])
+            self.kept[chunk] = tuple(
+                np.concatenate([old[~again], new]) for old, new in zip(kept, ranked, strict=True)
+            )
 
     def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         shifted = [
@@ -164,6 +188,23 @@ def _squares(points: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.maximum(norms - 2.0 * (points @ pivots.T), 0.0)
 
 
+def _even_parts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most so many rows."""
+    for batch in batches:
+        ends = np.linspace(0, batch.num_rows, math.ceil(batch.num_rows / most) + 1).astype(int)
+        for start, end in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            yield batch.slice(start, end - start)
+
+
+def _kind(df: DataFrame) -> str:
+    """What the values of its vectors are kept as in bytes."""
+    return "f4" if df.schema["embedding"].dataType.elementType == T.FloatType() else "f8"
+
+
+def _one_list(values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], type=pa.int32()), values)
+
+
 def _numbers(part: str, count: Column) -> Column:
     return F.explode(F.sequence(F.lit(0).cast("bigint"), (count - 1).cast("bigint"))).alias(part)
 
@@ -180,7 +221,10 @@ class Cells:
 
     A cell is cut into slices by a hash of the key, and the queries sent to it
     into blocks, so a cell with a third of all vectors or queries is many tasks.
-    Only the pivots and one row a cell pass the driver.
+    Only queries with few slices to meet are sent to them. The others, which would
+    be copied as often as there are slices, stay in tasks that read the vectors
+    one pack after another, so what is shuffled grows with queries and vectors
+    and not with their product. Only the pivots and one row a cell pass the driver.
     """
 
     def __init__(self, vectors: DataFrame, dimension: int, sizes: Sizes):
@@ -193,7 +237,7 @@ class Cells:
         # Any vectors serve as pivots; a hash of the key takes the same ones again.
         chosen = vectors.orderBy(F.xxhash64("doc_key"), "doc_key").limit(n_pivots)
         self.pivots = _matrix(chosen.select("embedding").toArrow()["embedding"], dimension)
-        self.placed = self._placed()
+        self.placed = cut_lineage(self._placed())
         found = (
             self.placed.groupBy("cell")
             .agg(F.count(F.lit(1)).alias("n"), F.max("gap").alias("reach"))
@@ -230,11 +274,27 @@ class Cells:
 
         return self.vectors.select("doc_key", "embedding").mapInArrow(place, schema)
 
+    def _near_cells(self):
+        """A function of (query_id, embedding, ceiling) rows: ceilings, squared distances to
+        the pivots, and which cells may hold something below the ceiling."""
+        pivots, reach, dimension = self.pivots[self.cells], self.reach, self.dimension
+        scale = 1.0 + (pivots**2).sum(axis=1) + reach**2
+
+        def near_cells(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            points = _matrix(batch.column(1), dimension)
+            gaps = _squares(points, pivots)
+            ceiling = batch.column(2).to_numpy(zero_copy_only=False).astype("float64")
+            slack = MARGIN * (scale[None, :] + (points**2).sum(axis=1)[:, None])
+            least = np.sqrt(np.maximum(gaps - slack, 0.0)) - np.sqrt(reach**2 + slack)
+            near = np.maximum(least, 0.0) ** 2 <= ceiling[:, None] + slack
+            near[np.isnan(ceiling)] = False
+            return ceiling, gaps, near
+
+        return near_cells
+
     def _sent(self, queries: DataFrame) -> DataFrame:
         """A row per query and slice it must meet; `ceiling` null: one slice of its own cell."""
-        pivots = self.pivots[self.cells]
-        cells, reach, slices, dimension = self.cells, self.reach, self.slices, self.dimension
-        scale = 1.0 + (pivots**2).sum(axis=1) + reach**2
+        cells, slices, near_cells = self.cells, self.slices, self._near_cells()
         columns = ["query_id", "embedding", "ceiling"]
         schema = T.StructType(
             [
@@ -249,13 +309,7 @@ class Cells:
                 # A query may go to every slice: rows are made from few at a time.
                 for at in range(0, whole.num_rows, QUERY_CHUNK):
                     batch = whole.slice(at, QUERY_CHUNK)
-                    points = _matrix(batch.column(1), dimension)
-                    gaps = _squares(points, pivots)
-                    ceiling = batch.column(2).to_numpy(zero_copy_only=False).astype("float64")
-                    slack = MARGIN * (scale[None, :] + (points**2).sum(axis=1)[:, None])
-                    least = np.sqrt(np.maximum(gaps - slack, 0.0)) - np.sqrt(reach**2 + slack)
-                    near = np.maximum(least, 0.0) ** 2 <= ceiling[:, None] + slack
-                    near[np.isnan(ceiling)] = False
+                    ceiling, gaps, near = near_cells(batch)
                     row, place = np.nonzero(near)
                     repeat = slices[place]
                     piece = np.arange(repeat.sum()) - np.repeat(repeat.cumsum() - repeat, repeat)
@@ -316,6 +370,122 @@ class Cells:
         left = left.select("query_id", "embedding", "ceiling", *group)
         return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(meet, schema)
 
+    def _faced(self, queries: DataFrame) -> DataFrame:
+        """The queries with their own cell and the number of slices they must meet."""
+        cells, slices, near_cells = self.cells, self.slices, self._near_cells()
+        columns = ["query_id", "embedding", "ceiling"]
+        schema = T.StructType(
+            [
+                *[queries.schema[c] for c in columns],
+                T.StructField("cell", T.LongType()),
+                T.StructField("n_slices", T.LongType()),
+            ]
+        )
+
+        def face(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in _even_parts(batches if len(cells) else (), QUERY_CHUNK):
+                _, gaps, near = near_cells(batch)
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.array(cells[gaps.argmin(axis=1)]), pa.array(near @ slices)],
+                    names=schema.names,
+                )
+
+        return queries.select(*columns).mapInArrow(face, schema)
+
+    def _packed(self, rows: DataFrame, columns: list[T.StructField], most: int, pack) -> DataFrame:
+        """Up to so many rows of neighbouring cells in one; `pack` makes the columns of them."""
+        schema = T.StructType([*columns, T.StructField("vectors", T.BinaryType())])
+        dimension, kind = self.dimension, _kind(rows)
+
+        def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in _even_parts(batches, most):
+                vectors = _matrix(part.column("embedding"), dimension).astype(kind).tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [*pack(part), pa.array([vectors], type=pa.binary())], names=schema.names
+                )
+
+        # By the first column too: a cell may hold any share of the rows.
+        together = rows.repartitionByRange("cell", F.xxhash64(rows.columns[0]))
+        packs = together.sortWithinPartitions("cell").mapInArrow(make, schema)
+        return packs.withColumn("pack", F.monotonically_increasing_id())
+
+    def _packed_vectors(self) -> DataFrame:
+        """(keys, cells, vectors, pack)"""
+        columns = [
+            T.StructField("keys", T.ArrayType(self.placed.schema["doc_key"].dataType)),
+            T.StructField("cells", T.ArrayType(T.LongType())),
+        ]
+
+        def pack(part: pa.RecordBatch) -> list[pa.Array]:
+            return [_one_list(part.column("doc_key")), _one_list(part.column("cell").unique())]
+
+        most = max(1, min(self.sizes.slice, PACK) // (self.dimension * 4))
+        rows = self.placed.select("doc_key", "embedding", "cell")
+        return self._packed(rows, columns, most, pack)
+
+    def _packed_queries(self, faced: DataFrame) -> DataFrame:
+        """(ids, ceilings, near, vectors, pack): near are the cells that any of them must meet."""
+        cells, near_cells = self.cells, self._near_cells()
+        columns = [
+            T.StructField("ids", T.ArrayType(faced.schema["query_id"].dataType)),
+            T.StructField("ceilings", T.ArrayType(T.DoubleType())),
+            T.StructField("near", T.ArrayType(T.LongType())),
+        ]
+
+        def pack(part: pa.RecordBatch) -> list[pa.Array]:
+            near = near_cells(part)[2].any(axis=0)
+            found = [part.column("query_id"), part.column("ceiling"), pa.array(cells[near])]
+            return [_one_list(values) for values in found]
+
+        return self._packed(faced, columns, self._queries_per_pack(), pack)
+
+    def _queries_per_pack(self) -> int:
+        return max(1, min(self.sizes.block, PACK) // (self.dimension * 4))
+
+    def _streamed(self, faced: DataFrame, n: int, k: int, schema: T.StructType) -> DataFrame:
+        """The k nearest of n queries: every task holds some and reads the vectors' packs once."""
+        enough = TASKS_PER_CORE * self.spark.sparkContext.defaultParallelism
+        held = math.ceil(n * self.dimension * 4 / HELD)
+        n_query_parts = max(held, min(enough, math.ceil(n / self._queries_per_pack())))
+        # Few queries: the vectors are read in parts, and each part gives k rows a query.
+        n_vector_parts = math.ceil(enough / n_query_parts)
+        asked = cut_lineage(self._packed_queries(faced).repartition(n_query_parts))
+        vectors = cut_lineage(self._packed_vectors().repartition(n_vector_parts))
+        asked = asked.withColumnsRenamed({"vectors": "asked", "pack": "query_pack"})
+        vectors = vectors.withColumnRenamed("pack", "vector_pack")
+        # A task keeps the right side's part and reads the left side's row by row.
+        kept = asked.hint("shuffle_replicate_nl")
+        pairs = vectors.join(kept, F.arrays_overlap("cells", "near")).drop("cells", "near")
+        dimension = self.dimension
+        kind, asked_kind = _kind(self.placed), _kind(faced)
+
+        def matrix(value: pa.Scalar, kind: str) -> np.ndarray:
+            return np.frombuffer(value.as_buffer(), kind).reshape(-1, dimension).astype("float64")
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found: dict[int, tuple[pa.Array, _Nearest]] = {}
+            key_type, at = None, None
+            for batch in batches:
+                column = dict(zip(batch.schema.names, batch.columns, strict=True))
+                key_type = column["keys"].type.value_type
+                packs = (column[c].to_pylist() for c in ("vector_pack", "query_pack"))
+                for row, (vector_pack, query_pack) in enumerate(zip(*packs, strict=True)):
+                    if vector_pack != at:
+                        at = vector_pack
+                        keys = np.array(column["keys"][row].values.to_pylist(), dtype=object)
+                        points = matrix(column["vectors"][row], kind)
+                    if query_pack not in found:
+                        limits = column["ceilings"][row].values.to_numpy(zero_copy_only=False)
+                        # Taken out of the batch, which would stay in memory for them.
+                        ids = column["ids"][row].values.take(pa.array(np.arange(len(limits))))
+                        of_queries = matrix(column["asked"][row], asked_kind)
+                        found[query_pack] = ids, _Nearest(of_queries, k, limits)
+                    found[query_pack][1].add(keys, points)
+            for ids, best in found.values():
+                yield _result(ids, best, key_type)
+
+        return pairs.mapInArrow(meet, schema)
+
     def nearest(self, queries: DataFrame, k: int, schema: T.StructType) -> DataFrame:
         """At least the k nearest of every query, with others."""
         own = self._sent(queries.withColumn("ceiling", F.lit(None).cast("double")))
@@ -325,5 +495,13 @@ class Cells:
         )
         known = queries.select("query_id", "embedding").join(ceilings, "query_id", "left")
         no_limit = F.coalesce("ceiling", F.lit(float("inf"))).alias("ceiling")
-        sent = cut_lineage(self._sent(known.select("query_id", "embedding", no_limit)))
-        return self._meet(sent, k, schema)
+        faced = cut_lineage(self._faced(known.select("query_id", "embedding", no_limit)))
+        few = F.col("n_slices") <= FEW_SLICES
+        n = faced.agg(F.count_if(few).alias("few"), F.count_if(~few).alias("many")).first()
+        parts = []
+        if n["few"] or not n["many"]:
+            parts.append(self._meet(cut_lineage(self._sent(faced.where(few))), k, schema))
+        if n["many"]:
+            streamed = faced.where(~few).select("query_id", "embedding", "ceiling", "cell")
+            parts.append(self._streamed(streamed, n["many"], k, schema))
+        return reduce(DataFrame.union, parts)

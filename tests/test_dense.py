@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from passagedex.functions.encoders import HashedWords, masked_mean, pooled
 from passagedex.operators import embedding, neighbours
@@ -95,6 +96,67 @@ def test_cells_of_equal_vectors_and_no_vectors(spark):
     assert nearest(rows.limit(0), asked, 3, SMALL).count() == 0
 
 
+def test_queries_with_many_slices_to_meet_are_not_copied_to_them(spark, matrices, monkeypatch):
+    vectors, queries = matrices
+    rows = table(spark, vectors, "doc_key").withColumn(
+        "doc_key", F.concat(F.lit("v"), F.lpad(F.col("doc_key").cast("string"), 4, "0"))
+    )
+    asked = table(spark, np.vstack([queries, vectors[400:]]), "query_id").repartition(3)
+    monkeypatch.setattr(neighbours, "PACK", 12 * 4 * 16)
+    monkeypatch.setattr(neighbours, "HELD", 12 * 4 * 40)
+    sent, send = [], Cells._sent
+
+    def noted(self, queries):
+        found = send(self, queries)
+        sent.append(found.count())
+        return found
+
+    monkeypatch.setattr(Cells, "_sent", noted)
+    found = collected(nearest(rows, asked, 6, SMALL))
+    want = brute(vectors, np.vstack([queries, vectors[400:]]), 6)
+    same(found, {q: [(f"v{key:04}", d) for key, d in best] for q, best in want.items()})
+    assert Cells(rows, 12, SMALL).slices.sum() >= 12
+    assert sum(sent) <= (1 + neighbours.FEW_SLICES) * len(want)
+
+
+def test_queries_of_few_and_of_many_slices_and_repeated_ids(spark, monkeypatch):
+    dice = np.random.default_rng(3)
+    centres = dice.normal(size=(9, 12)) * 50
+    vectors = np.vstack([c + dice.normal(size=(50, 12)) for c in centres]).astype("float32")
+    queries = np.vstack([vectors[::9], dice.normal(size=(20, 12)) * 500]).astype("float32")
+    rows, asked = table(spark, vectors, "doc_key"), table(spark, queries, "query_id")
+    monkeypatch.setattr(neighbours, "PACK", 12 * 4 * 16)
+    monkeypatch.setattr(neighbours, "FEW_SLICES", 2)
+    streamed, stream = [], Cells._streamed
+
+    def noted(self, faced, n, k, schema):
+        streamed.append(n)
+        return stream(self, faced, n, k, schema)
+
+    monkeypatch.setattr(Cells, "_streamed", noted)
+    same(collected(nearest(rows, asked, 4, SMALL)), brute(vectors, queries, 4))
+    assert len(streamed) == 1 and 0 < streamed[0] < len(queries)
+    twice = collected(nearest(rows, asked.union(asked), 4, SMALL))
+    for query, best in brute(vectors, queries, 4).items():
+        want = [best[0], best[0], best[1], best[1]]
+        assert [key for key, _ in twice[query]] == [key for key, _ in want]
+
+
+def test_packs_hold_every_row_once_and_few_bytes(spark, matrices, monkeypatch):
+    vectors = matrices[0]
+    monkeypatch.setattr(neighbours, "PACK", 12 * 4 * 16)
+    cells = Cells(table(spark, vectors, "doc_key").repartition(3), 12, SMALL)
+    places = {r["doc_key"]: r["cell"] for r in cells.placed.select("doc_key", "cell").collect()}
+    packs = cells._packed_vectors().collect()
+    assert sorted(key for p in packs for key in p["keys"]) == list(range(len(vectors)))
+    assert len({p["pack"] for p in packs}) == len(packs)
+    for pack in packs:
+        assert len(pack["keys"]) <= 16
+        assert sorted(pack["cells"]) == sorted({places[key] for key in pack["keys"]})
+        kept = np.frombuffer(pack["vectors"], "f4").reshape(-1, 12)
+        assert (kept == vectors[pack["keys"]]).all()
+
+
 def test_k_beyond_the_vectors(spark, matrices):
     vectors, queries = matrices[0][:4], matrices[1][:3]
     found = nearest(table(spark, vectors, "doc_key"), table(spark, queries, "query_id"), 50)
