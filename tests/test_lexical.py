@@ -351,3 +351,75 @@ def test_postings_meet_their_terms_in_more_tasks_the_more_there_are(spark, monke
     assert "800)" in plan
     found = {(r["term"], r["doc_key"], r["df"]) for r in joined.collect()}
     assert found == {(term, key, 10) for term, key, _, _ in rows}
+
+
+def scored(df):
+    rows = [((r["query_id"], r["doc_key"]), r["units"] / 2**40) for r in df.collect()]
+    assert len(rows) == len(dict(rows))
+    return dict(rows)
+
+
+def test_scores_are_those_of_every_passage_sharing_a_term(spark, built):
+    texts, queries = corpus(), [*QUERIES, "w59 " * 400_000]
+    want = {}
+    for number, query in enumerate(queries):
+        words = query.lower().split()
+        for i, score in enumerate(plain.bm25(texts, words)):
+            if set(words) & set(texts[i].split()):
+                want[number, f"f//{i:03d}#000000"] = score
+    index = open_index(spark, built[1])
+    # The last query's sums come close to the end of a bigint: Spark adds them.
+    for some in (queries[:-1], queries):
+        found = scored(index.scores(asked(spark, some)))
+        assert found == pytest.approx({k: v for k, v in want.items() if k[0] < len(some)}, rel=1e-9)
+    index.broadcast_rows = 2
+    again = scored(index.scores(asked(spark, QUERIES)))
+    assert again == pytest.approx({k: v for k, v in want.items() if k[0] < len(QUERIES)}, rel=1e-9)
+
+
+def test_passages_of_one_key_are_scored_together(spark, tmp_path):
+    rows = passages(spark, ["a b", "a c", "d"])
+    twice = rows.unionByName(rows.where("id = 0"))
+    index = build_index(spark, twice, str(tmp_path / "ix"), n_shards=2)
+    once = scored(index.scores(asked(spark, ["b c"])))
+    weights = {}
+    for r in index.weights().where("term IN ('b', 'c')").collect():
+        weights[0, r["doc_key"]] = weights.get((0, r["doc_key"]), 0) + r["weight"]
+    assert once == pytest.approx(weights, abs=1e-9)
+    assert set(once) == {(0, "f//000#000000"), (0, "f//001#000000")}
+
+
+def test_pairs_of_query_and_passage_are_not_hashed(spark, built):
+    plan = built[0].scores(asked(spark, QUERIES))._jdf.queryExecution().executedPlan().toString()
+    made = plan.split("FileScan")[0]
+    assert "keys=[doc_key" in made and "keys=[query_id" not in made
+
+
+@pytest.mark.parametrize("n_files", [1, 16])
+def test_postings_are_sorted_by_term_alone(spark, tmp_path, monkeypatch, n_files):
+    monkeypatch.setattr(lexical, "OPEN_FILES", n_files)
+    insert, plans = lexical.LexicalIndex._insert, {}
+
+    def noted(self, table, rows, batch_id):
+        columns = ", ".join(c for c in spark.table(table).columns if c != "batch_id")
+        explained = spark.sql(
+            f"EXPLAIN INSERT OVERWRITE TABLE {table} PARTITION (batch_id = {batch_id}) "
+            f"SELECT {columns} FROM {{rows}}",
+            rows=rows,
+        )
+        plans[table] = explained.first()[0]
+        insert(self, table, rows, batch_id)
+
+    monkeypatch.setattr(lexical.LexicalIndex, "_insert", noted)
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    texts = corpus()
+    index = build_index(spark, passages(spark, texts), str(tmp_path / "ix"), n_shards=8)
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+    sorts = [line for line in plans[index._postings].splitlines() if "Sort [" in line]
+    assert len(sorts) == 1 and "Sort [term" in sorts[0]
+    check(index, spark, texts, QUERIES, 10)
+    files = index.postings().select("term", F.input_file_name().alias("file")).collect()
+    by_file = {}
+    for row in files:
+        by_file.setdefault(row["file"], []).append(row["term"])
+    assert len(by_file) >= 8 and all(terms == sorted(terms) for terms in by_file.values())

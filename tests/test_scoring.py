@@ -3,7 +3,9 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from passagedex.functions import bm25
 from passagedex.operators import scoring
 from passagedex.plans import lexical
 from passagedex.plans.lexical import build_index, open_index
@@ -134,3 +136,51 @@ def test_postings_of_a_large_shard_are_made_by_many_tasks(spark, tmp_path, monke
     made = tasks[index._postings]
     assert sum(made) >= 600 * 39 and max(made) < sum(made) / 3
     check(index, spark, texts, [texts[3], "w1 w2", texts[7]], 5)
+
+
+@pytest.mark.parametrize("pairs, sparse", [(5, 8), (10**6, 8), (40, 0)])
+def test_every_pair_that_shares_a_term_is_summed(monkeypatch, pairs, sparse):
+    monkeypatch.setattr(scoring, "PAIRS", pairs)
+    monkeypatch.setattr(scoring, "SPARSE", sparse)
+    # t0 counts for nothing, but a passage that holds it is matched.
+    factor = {"t0": 0.0, "t1": 1.0, "t2": -1.0, "t3": 2.5}
+    queries = {"a": ["t0"], "b": ["t1", "t2", "t3"], None: ["t3"], "c": ["t9"]}
+    rows = [(q, t, factor.get(t, 1.0), True, 0, 0) for q, terms in queries.items() for t in terms]
+    dice = random.Random(2)
+    postings = {
+        None if i == 4 else f"k{i}": {t: 0.5 * (1 + i % 3) for t in factor if dice.random() < 0.6}
+        for i in range(40)
+    }
+    table = factors(rows)
+    terms = table["term"].combine_chunks().unique()
+    number = {t: n for n, t in enumerate(terms.to_pylist())}
+    every = scoring._All(list(scoring.query_parts(table, terms, 2)), len(terms))
+    batch = pa.record_batch(
+        {
+            "doc_key": pa.array(list(postings), pa.string()),
+            "numbers": pa.array([[number[t] for t in has] for has in postings.values()], pa.list_(pa.int32())),
+            "weights": pa.array([list(has.values()) for has in postings.values()], pa.list_(pa.float64())),
+        }
+    )
+    names = ["query_id", "doc_key", "units"]
+    found = [tuple(r.values()) for b in every.rows(batch, names) for r in b.to_pylist()]
+    want = {
+        (q, key): round(sum(factor[t] * has[t] for t in asks if t in has) * 2**40)
+        for key, has in postings.items()
+        for q, asks in queries.items()
+        if any(t in has for t in asks)
+    }
+    assert len(found) == len(want) and {(q, key): u for q, key, u in found} == want
+
+
+def test_scores_are_rounded_as_round_does(spark):
+    dice = random.Random(6)
+    some = [dice.randrange(2 ** dice.randint(1, 57)) for _ in range(3000)]
+    # Ties of the fourth decimal, and the numbers next to what would be one.
+    some += [(2 * i + 1) * 2**35 + d for i in range(200) for d in (-1, 0, 1)]
+    some += [round((i + 0.5) * 2**40 / 10_000) + d for i in range(0, 10**6, 4999) for d in (-1, 0, 1)]
+    rows = [(s * u,) for u in some for s in (1, -1)]
+    units = spark.createDataFrame(rows, "units bigint")
+    plain = F.round(bm25.from_units(F.col("units")), 4)
+    both = units.select("units", plain.alias("a"), bm25.rounded_units(F.col("units")).alias("b"))
+    assert not both.where(F.col("a").cast("string") != F.col("b").cast("string")).collect()
